@@ -61,7 +61,8 @@ def _kept_positions(gap: int):
     def positions(times: pd.Series) -> pd.Series:
         return times.map(lambda row: keep_after_gap(np.asarray(row, dtype=np.int64), gap))
 
-    return positions
+    # otherwise Spark repeats the call in a filter it derives from the explode
+    return positions.asNondeterministic()
 
 
 def _suppress_small(rows: DataFrame, gap: int, payload: list[str]) -> DataFrame:

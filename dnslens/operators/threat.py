@@ -47,19 +47,22 @@ def name_features(df: DataFrame, name: str = "domain", prefix: str = "", typosqu
 
 
 def _apply_rules(df: DataFrame) -> DataFrame:
-    """Points, score, level and reasons from feature columns; drops the helpers."""
+    """Points, score, level and reasons from feature columns; drops the helpers.
+
+    Score and level come out of ``inline``: a filter on them stays above it and is
+    evaluated on ready values, where a plain projection would let Spark push the
+    filter down and compute every rule twice. Filters on other columns still reach
+    the scan, and unused reasons are pruned.
+    """
     features = {key: F.col(_PREFIX + key) for key in FEATURES}
     record_type, rcode = F.col("record_type"), F.col("rcode")
     points = rules.rule_points(features, record_type, rcode)
     df = df.withColumns({_POINTS + key: value for key, value in points.items()})
     points = {key: F.col(_POINTS + key) for key in points}
-    df = df.withColumn("threat_score", rules.total_score(points))
-    df = df.withColumns(
-        {
-            "threat_level": rules.threat_level(F.col("threat_score")),
-            "threat_reasons": rules.rule_reasons(points, features, record_type, rcode),
-        }
-    )
+    score = rules.total_score(points)
+    result = F.struct(score.alias("threat_score"), rules.threat_level(score).alias("threat_level"))
+    df = df.select("*", F.inline(F.array(result)))
+    df = df.withColumn("threat_reasons", rules.rule_reasons(points, features, record_type, rcode))
     return df.drop(*[c for c in df.columns if c.startswith((_PREFIX, _POINTS))])
 
 

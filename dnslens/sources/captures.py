@@ -123,30 +123,32 @@ def peel_headers(frames: DataFrame) -> DataFrame:
         .when(F.col("link_type") == 0, 4)
         .when(F.col("link_type").isin(101, 12, 228, 229), 0)
     )
-    step = frames.withColumn("_ip", start).filter(F.col("_ip").isNotNull())
-    step = step.withColumn("_first", _number(frame, F.col("_ip"), 1))
-    step = step.withColumn("_version", F.shiftright("_first", 4)).filter(F.col("_version").isin(4, 6))
+    step = frames.withColumn("_ip", start).withColumn("_first", _number(frame, F.col("_ip"), 1))
+    step = step.withColumn("_version", F.shiftright("_first", 4))
     v4, ip = F.col("_version") == 4, F.col("_ip")
     step = step.withColumns(
         {
             "_protocol": F.when(v4, _number(frame, ip + 9, 1)).otherwise(_number(frame, ip + 6, 1)),
-            "_source": F.when(v4, _bytes(frame, ip + 12, 4)).otherwise(_bytes(frame, ip + 8, 16)),
-            "_destination": F.when(v4, _bytes(frame, ip + 16, 4)).otherwise(_bytes(frame, ip + 24, 16)),
             "_port": ip + F.when(v4, F.col("_first").bitwiseAND(15) * 4).otherwise(40),
         }
-    ).filter(F.col("_protocol").isin(6, 17))
+    )
     tcp, port = F.col("_protocol") == 6, F.col("_port")
     # TCP messages carry a two-byte length in front
     payload = port + F.when(tcp, F.shiftright(_number(frame, port + 12, 1), 4) * 4 + 2).otherwise(8)
-    return step.select(
-        *[name for name in frames.columns if name not in ("frame", "link_type")],
+    headers = F.struct(
         F.when(tcp, "tcp").otherwise("udp").alias("transport"),
         _number(frame, port + zero, 2).alias("source_port"),
         _number(frame, port + 2, 2).alias("destination_port"),
-        "_source",
-        "_destination",
+        F.when(v4, _bytes(frame, ip + 12, 4)).otherwise(_bytes(frame, ip + 8, 16)).alias("_source"),
+        F.when(v4, _bytes(frame, ip + 16, 4)).otherwise(_bytes(frame, ip + 24, 16)).alias("_destination"),
         F.substring(frame, payload + 1, F.length(frame)).alias("_message"),
     )
+    usable = F.col("_version").isin(4, 6) & F.col("_protocol").isin(6, 17)
+    # no row for other frames; later filters work on the peeled values
+    return step.select(
+        *[name for name in frames.columns if name not in ("frame", "link_type")],
+        F.inline(F.when(usable, F.array(headers))),
+    )
 
 
 # --- step 3: messages --------------------------------------------------------------
@@ -235,7 +237,8 @@ def decode_frames(frames: DataFrame, ports: list[int] | None = None) -> DataFram
     ports = ports or MESSAGE_PORTS
     peeled = peel_headers(frames)
     dns = peeled.filter(F.col("source_port").isin(ports) | F.col("destination_port").isin(ports))
-    decoded = dns.withColumn("_m", _decode_messages("_message"))
+    # otherwise Spark decodes once more for the filter
+    decoded = dns.withColumn("_m", _decode_messages.asNondeterministic()("_message"))
     kept = [name for name in peeled.columns if not name.startswith("_")]
     return decoded.filter(F.col("_m.dns_id").isNotNull()).select(
         *kept,
