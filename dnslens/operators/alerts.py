@@ -159,7 +159,8 @@ def alerts(
         rows = rows.withColumns({"_key": F.col("domain"), "_order": F.col("_time")})
     elif scope == "arrival":
         runs = with_island(rows, [], ["domain"], island="_key", chunk_rows=chunk_rows)
-        rows = runs.withColumn("_order", F.col("seq"))
+        # read three times below, and dear to compute: keep the compact candidates
+        rows = cut_lineage(runs.withColumn("_order", F.col("seq")))
     else:
         raise ValueError(f"unknown scope: {scope}")
 
@@ -202,9 +203,19 @@ def traffic_series(events: DataFrame, bucket: str = "1 second", buckets: int = 6
     return joined.select("bucket_start", F.coalesce("events", F.lit(0)).alias("events"))
 
 
-def suppress_batch(rows: Iterable[pd.DataFrame], gap: int, last: int | None) -> tuple[pd.DataFrame, int | None]:
-    """Suppression of one key's rows of a micro-batch, given the last alert before them."""
-    pdf = pd.concat(list(rows), ignore_index=True).sort_values(["event_ts", "seq"], ignore_index=True)
+def suppress_batch(rows: Iterable[pd.DataFrame], gap: int, last: dict[str, int]) -> pd.DataFrame:
+    """Suppression of a micro-batch's rows of some names.
+
+    ``last`` holds the time of each name's last alert and is brought up to date.
+    """
+    pdf = pd.concat(list(rows), ignore_index=True).sort_values(["domain", "event_ts", "seq"], ignore_index=True)
     times = pdf["event_ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
-    kept = keep_after_gap(times, gap, last)
-    return pdf.iloc[kept], (int(times[kept[-1]]) if kept else last)
+    names = pdf["domain"].to_numpy()
+    starts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
+    kept: list[int] = []
+    for start, end in zip(starts, np.r_[starts[1:], len(names)]):
+        found = keep_after_gap(times[start:end], gap, last.get(names[start]))
+        if found:
+            last[names[start]] = int(times[start + found[-1]])
+            kept.extend(start + at for at in found)
+    return pdf.iloc[kept]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +32,12 @@ def top_values(df: DataFrame, dimension: str, k: int) -> DataFrame:
     return top_k(breakdown(df, dimension), k).select(dimension, "events")
 
 
-def breakdowns(df: DataFrame) -> DataFrame:
-    """All breakdowns in one scan and one shuffle: ``(dimension, value, events, first_seq, last_seq)``."""
+def breakdowns(df: DataFrame, dimensions: Sequence[str] = DIMENSIONS) -> DataFrame:
+    """Several breakdowns in one scan and one shuffle: ``(dimension, value, events, first_seq, last_seq)``.
+
+    Counts are added up in every task before the shuffle, so a hot value sends one
+    row per task.
+    """
 
     def entry(name: str) -> Column:
         if name == "threat_level":
@@ -40,7 +46,7 @@ def breakdowns(df: DataFrame) -> DataFrame:
             value = F.when(known(name), F.col(name))
         return F.struct(F.lit(name).alias("dimension"), value.alias("value"))
 
-    entries = F.array(*[entry(name) for name in DIMENSIONS])
+    entries = F.array(*[entry(name) for name in dimensions])
     pairs = df.select("seq", F.explode(entries).alias("_e")).select("seq", "_e.dimension", "_e.value")
     return counts(pairs.filter(F.col("value").isNotNull()), ["dimension", "value"])
 
@@ -89,7 +95,7 @@ def scalars(df: DataFrame) -> DataFrame:
         rank = F.struct("events", "last_seq")
         return F.max_by(F.when(F.col("dimension") == name, F.col("value")), F.when(F.col("dimension") == name, rank)).alias(alias)
 
-    tops = breakdowns(df).agg(
+    tops = breakdowns(df, ("domain", "source_ip", "record_type")).agg(
         F.count_if(F.col("dimension") == "domain").alias("unique_domains"),
         top("domain", "top_domain"),
         top("source_ip", "top_source_ip"),

@@ -37,6 +37,8 @@ def events(spark: SparkSession, folder: str, score: bool = True, **scoring) -> D
 
 def raw_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The same records as a stream over the table's file."""
-    schema = table(spark, folder, "events").schema
-    files = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-    return raw_from(files)
+    events = table(spark, folder, "events")
+    files = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    cores = spark.sparkContext.defaultParallelism
+    # as in ``spread``: only a small table is dealt out to the cores
+    return raw_from(files.repartition(cores) if events.rdd.getNumPartitions() < cores else files)

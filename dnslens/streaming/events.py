@@ -50,12 +50,16 @@ def traffic(events: DataFrame, bucket: str = "1 second", delay: str = "10 second
     return traffic_counts(events.withWatermark("event_ts", delay), bucket)
 
 
-def alerts(events: DataFrame, gap: str = DEFAULT_GAP, delay: str = "10 seconds") -> DataFrame:
+def alerts(
+    events: DataFrame, gap: str = DEFAULT_GAP, delay: str = "10 seconds", shards: int = 512
+) -> DataFrame:
     """Alerts per name with suppression across micro-batches (append mode).
 
-    The state is the time of a name's last alert; it is dropped once the watermark
-    has passed its gap. A micro-batch bounds the rows of one name in one task: set
-    the source's rate limits accordingly.
+    Names are dealt to ``shards`` by hash, so that one Python call serves many names;
+    use several shards per shuffle partition. A shard's state holds the last alert of
+    its names and forgets those the watermark has left behind by more than the gap. A
+    micro-batch bounds the rows of one name in one task: set the source's rate limits
+    accordingly.
     """
     wanted = gap_micros(gap)
     columns = [part.split()[0] for part in ALERT_SCHEMA.split(", ")]
@@ -64,17 +68,19 @@ def alerts(events: DataFrame, gap: str = DEFAULT_GAP, delay: str = "10 seconds")
         if state.hasTimedOut:
             state.remove()
             return
-        before = state.get[0] if state.exists else None
-        kept, last = suppress_batch(rows, wanted, before)
-        if last is not None:
-            state.update((last,))
-            state.setTimeoutTimestamp(max((last + wanted) // 1000, state.getCurrentWatermarkMs()) + 1)
+        last = dict(zip(*state.get)) if state.exists else {}
+        kept = suppress_batch(rows, wanted, last)
+        watermark = state.getCurrentWatermarkMs()
+        last = {name: at for name, at in last.items() if at + wanted > watermark * 1000}
+        state.update((list(last), list(last.values())))
+        state.setTimeoutTimestamp(max(max(last.values(), default=0) // 1000 + wanted // 1000, watermark) + 1)
         if len(kept):
             yield kept[columns]
 
     candidates = alert_candidates(events.withWatermark("event_ts", delay))
-    return candidates.groupBy("domain").applyInPandasWithState(
-        step, ALERT_SCHEMA, "last bigint", "append", GroupStateTimeout.EventTimeTimeout
+    sharded = candidates.withColumn("shard", F.pmod(F.xxhash64("domain"), F.lit(shards)))
+    return sharded.groupBy("shard").applyInPandasWithState(
+        step, ALERT_SCHEMA, "names array<string>, times array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

@@ -132,8 +132,9 @@ def test_alerts_split_and_small_against_brute_force(spark, scope, seed):
 def test_batches_continue_from_the_last_alert():
     import pandas as pd
 
-    frame = pd.DataFrame({"seq": [2, 1, 3], "event_ts": pd.to_datetime([12, 5, 30], unit="s")})
-    kept, last = suppress_batch([frame[:1], frame[1:]], 10_000_000, 0)
-    assert list(kept["seq"]) == [2, 3] and last == 30_000_000
-    kept, last = suppress_batch([frame[:1]], 10_000_000, 11_000_000)
-    assert len(kept) == 0 and last == 11_000_000
+    frame = pd.DataFrame({"domain": list("aaab"), "seq": [2, 1, 3, 4], "event_ts": pd.to_datetime([12, 5, 30, 5], unit="s")})
+    last = {"a": 0}
+    kept = suppress_batch([frame[:1], frame[1:]], 10_000_000, last)
+    assert sorted(kept["seq"]) == [2, 3, 4] and last == {"a": 30_000_000, "b": 5_000_000}
+    last = {"a": 11_000_000}
+    assert len(suppress_batch([frame[:1]], 10_000_000, last)) == 0 and last == {"a": 11_000_000}
