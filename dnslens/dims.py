@@ -165,6 +165,29 @@ MAX_LABELS = 5
 LEVEL_HIGH = 60
 LEVEL_MEDIUM = 30
 
+# Texts of the reasons; %s takes the value.
+REASON_TLD_BAD = "Suspicious TLD (.%s)"
+REASON_TLD_POOR = "Suboptimal TLD (.%s)"
+REASON_ENTROPY_HIGH = "High domain entropy (%s)"
+REASON_ENTROPY_ELEVATED = "Elevated domain entropy (%s)"
+REASON_NAME_VERY_LONG = "Very long domain name (%s chars)"
+REASON_NAME_LONG = "Long domain name (%s chars)"
+REASON_NUMERIC_LABEL = "Numeric-heavy subdomain label"
+REASON_CONSONANT_RUN = "DGA heuristic (%s consecutive consonants)"
+REASON_DEPTH = "Excessive subdomain depth (%s labels)"
+REASON_UNUSUAL_TYPE = "Unusual record type (%s)"
+REASON_NXDOMAIN = "NXDOMAIN response"
+REASON_ERROR_RESPONSE = "Error response (%s)"
+REASON_TYPOSQUAT = "Potential typosquatting of %s"
+
+# Texts of notes, alerts and errors; %s takes the value.
+NOTE_OBSERVED = "Observed %s query for %s"
+NOTE_FOCUS = "Observed targeted activity from %s for %s"
+NOTE_ALERT = "Suspicious activity detected"
+NOTE_OPEN_PORT = "Open %s port"
+ERROR_UNREADABLE = "Unreadable monitor payload: %s"
+ERROR_UNKNOWN = "Unknown capture error"
+
 # Quick filter groups of record types.
 TYPE_GROUPS = {
     "browser": ["A", "AAAA", "CNAME", "HTTPS"],

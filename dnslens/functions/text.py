@@ -28,6 +28,15 @@ def first_non_empty(*cols: Column) -> Column:
     return F.coalesce(*[non_empty(col) for col in cols])
 
 
+def fill(template: str, *values: Column | str) -> Column:
+    """A fixed text with its ``%s`` places filled in order (plain concatenation)."""
+    parts = template.split("%s")
+    pieces = [F.lit(parts[0])]
+    for value, part in zip(values, parts[1:], strict=True):
+        pieces += [F.lit(value) if isinstance(value, str) else value.cast("string"), F.lit(part)]
+    return F.concat(*pieces)
+
+
 def clean_domain(col: Column) -> Column:
     """A query name without trailing dots; null when nothing is left (drop those rows)."""
     return non_empty(F.rtrim(col, F.lit(".")))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from dnslens import dims
 from dnslens.functions.rounding import fixed_text, round_even
+from dnslens.functions.text import fill
 
 
 # --- features of the name ----------------------------------------------------
@@ -138,36 +139,37 @@ def rule_reasons(
     """Reason texts of the rules that scored, in rule order."""
     f = features
 
-    def text(*parts: str | Column) -> Column:
-        return F.concat(*[F.lit(part) if isinstance(part, str) else part.cast("string") for part in parts])
+    def when(rule: str, texts: dict[int, Column]) -> Column:
+        """The text that belongs to the points a rule gave."""
+        choice = None
+        for value, text in texts.items():
+            hit = points[rule] == value
+            choice = F.when(hit, text) if choice is None else choice.when(hit, text)
+        return choice
 
     bits = fixed_text(round_even(f["entropy"], 2), 2)
     choices = [
-        F.when(points["tld"] == dims.POINTS_TLD_BAD, text("Suspicious TLD (.", f["tld"], ")")).when(
-            points["tld"] == dims.POINTS_TLD_POOR, text("Suboptimal TLD (.", f["tld"], ")")
-        ),
-        F.when(
-            points["entropy"] == dims.POINTS_ENTROPY_HIGH, text("High domain entropy (", bits, ")")
-        ).when(points["entropy"] > 0, text("Elevated domain entropy (", bits, ")")),
-        F.when(
-            points["length"] == dims.POINTS_NAME_VERY_LONG,
-            text("Very long domain name (", f["name_length"], " chars)"),
-        ).when(points["length"] > 0, text("Long domain name (", f["name_length"], " chars)")),
-        F.when(points["numeric"] > 0, text("Numeric-heavy subdomain label")),
-        F.when(
-            points["consonants"] > 0,
-            text("DGA heuristic (", f["consonant_run"], " consecutive consonants)"),
-        ),
-        F.when(
-            points["depth"] > 0, text("Excessive subdomain depth (", f["label_count"], " labels)")
-        ),
-        F.when(points["record_type"] > 0, text("Unusual record type (", record_type, ")")),
-        F.when(points["rcode"] == dims.POINTS_NXDOMAIN, text("NXDOMAIN response")).when(
-            points["rcode"] > 0, text("Error response (", rcode, ")")
-        ),
-        F.when(
-            points["typosquat"] > 0, text("Potential typosquatting of ", f["typo_target"])
-        ),
+        when("tld", {
+            dims.POINTS_TLD_BAD: fill(dims.REASON_TLD_BAD, f["tld"]),
+            dims.POINTS_TLD_POOR: fill(dims.REASON_TLD_POOR, f["tld"]),
+        }),
+        when("entropy", {
+            dims.POINTS_ENTROPY_HIGH: fill(dims.REASON_ENTROPY_HIGH, bits),
+            dims.POINTS_ENTROPY_ELEVATED: fill(dims.REASON_ENTROPY_ELEVATED, bits),
+        }),
+        when("length", {
+            dims.POINTS_NAME_VERY_LONG: fill(dims.REASON_NAME_VERY_LONG, f["name_length"]),
+            dims.POINTS_NAME_LONG: fill(dims.REASON_NAME_LONG, f["name_length"]),
+        }),
+        when("numeric", {dims.POINTS_NUMERIC_LABEL: F.lit(dims.REASON_NUMERIC_LABEL)}),
+        when("consonants", {dims.POINTS_CONSONANT_RUN: fill(dims.REASON_CONSONANT_RUN, f["consonant_run"])}),
+        when("depth", {dims.POINTS_DEPTH: fill(dims.REASON_DEPTH, f["label_count"])}),
+        when("record_type", {dims.POINTS_UNUSUAL_TYPE: fill(dims.REASON_UNUSUAL_TYPE, record_type)}),
+        when("rcode", {
+            dims.POINTS_NXDOMAIN: F.lit(dims.REASON_NXDOMAIN),
+            dims.POINTS_ERROR_RESPONSE: fill(dims.REASON_ERROR_RESPONSE, rcode),
+        }),
+        when("typosquat", {dims.POINTS_TYPOSQUAT: fill(dims.REASON_TYPOSQUAT, f["typo_target"])}),
     ]
     return F.array_compact(F.array(*choices))
 

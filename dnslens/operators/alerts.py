@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dnslens import dims
-from dnslens.functions.text import non_empty
+from dnslens.functions.text import fill, non_empty
 from dnslens.operators.ordered import with_island, with_previous_max
-from dnslens.session import cut_lineage
+from dnslens.session import broadcast_if_small, cut_lineage
 
 DEFAULT_GAP = "10 seconds"
 # Candidates one key may have before its suppression is split over many tasks.
@@ -30,7 +30,7 @@ def gap_micros(gap: str) -> int:
 def alert_message() -> Column:
     """The first two reasons, or a default text."""
     text = F.array_join(F.slice(F.coalesce("threat_reasons", F.array().cast("array<string>")), 1, 2), " • ")
-    return F.coalesce(non_empty(text), F.lit("Suspicious activity detected"))
+    return F.coalesce(non_empty(text), F.lit(dims.NOTE_ALERT))
 
 
 def alert_candidates(events: DataFrame) -> DataFrame:
@@ -168,6 +168,7 @@ def alerts(
     hot = cut_lineage(hot)
     if hot.isEmpty():
         return _suppress_small(rows, wanted, payload)
+    hot = broadcast_if_small(hot)
     large = rows.join(hot, "_key", "left_semi")
     if scope == "arrival":
         # a row can only be kept when it is later than everything before it in its run
@@ -180,7 +181,7 @@ def alerts(
 
 def focus_alerts(events: DataFrame, address: str) -> DataFrame:
     """One note per event from or to ``address``; error level for high threats."""
-    note = F.concat(F.lit(f"Observed targeted activity from {address} for "), F.col("domain"))
+    note = fill(dims.NOTE_FOCUS, address, F.col("domain"))
     level = F.when(F.col("threat_level") == "high", "error").otherwise("warning")
     hit = (F.col("source_ip") == address) | (F.col("destination_ip") == address)
     return events.filter(hit).select("seq", "event_ts", level.alias("level"), note.alias("message"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dnslens import dims
-from dnslens.functions.text import non_empty, strip
+from dnslens.functions.text import fill, non_empty, strip
 from dnslens.operators.ordered import newest_per_key, with_island, with_rank
 
 SESSION_DIMENSIONS = ("domain", "record_type", "source_ip", "transport", "rcode")
@@ -60,7 +60,7 @@ def activity_sample(df: DataFrame, chunk_rows: int = dims.CHUNK_ROWS) -> DataFra
     """Notes for the 1st, 5th and every 25th event of a session."""
     ranked = with_rank(df, ["session_id"], chunk_rows=chunk_rows)
     due = F.col("rank").isin(1, 5) | (F.col("rank") % 25 == 0)
-    note = F.concat(F.lit("Observed "), F.col("record_type"), F.lit(" query for "), F.col("domain"))
+    note = fill(dims.NOTE_OBSERVED, F.col("record_type"), F.col("domain"))
     return ranked.filter(due).select(
         "session_id", "seq", "event_ts", "rank", F.lit("info").alias("level"), note.alias("message")
     )
@@ -99,7 +99,7 @@ def status_messages(status: DataFrame) -> DataFrame:
 
 def error_messages(errors: DataFrame) -> DataFrame:
     """Error records with their default text."""
-    text = F.coalesce(non_empty(F.col("message")), F.lit("Unknown capture error"))
+    text = F.coalesce(non_empty(F.col("message")), F.lit(dims.ERROR_UNKNOWN))
     return errors.withColumn("message", strip(text))
 
 

@@ -101,10 +101,10 @@ def scalars(df: DataFrame) -> DataFrame:
         top("source_ip", "top_source_ip"),
         top("record_type", "top_record_type"),
     )
-    return _attach_row(totals(df), tops)
+    return attach_row(totals(df), tops)
 
 
-def _attach_row(left: DataFrame, row: DataFrame) -> DataFrame:
+def attach_row(left: DataFrame, row: DataFrame) -> DataFrame:
     """Add the columns of a one-row frame by a scalar subquery."""
     packed = left.withColumn("_row", row.select(F.struct(*row.columns)).scalar())
     return packed.select(*left.columns, "_row.*")
@@ -142,4 +142,4 @@ def summary_record(df: DataFrame, top_domains: int = 8, top_sources: int = 5) ->
         top_list("domain", "top_domains"),
         top_list("source_ip", "top_source_ips"),
     )
-    return _attach_row(scalars(df), packed)
+    return attach_row(scalars(df), packed)

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dnslens import dims
-from dnslens.operators.summary import _attach_row
+from dnslens.operators.summary import attach_row
 from dnslens.operators.views import csv_rows, json_rows
 
 
@@ -45,7 +43,7 @@ def export_metadata(view: DataFrame, filters: dict[str, str] | None = None, summ
         F.struct(*[F.lit(value).alias(name) for name, value in named.items()]).alias("filters"),
     )
     if summary is not None:
-        row = _attach_row(row, summary.select(F.struct(*summary.columns).alias("sessionSummary")))
+        row = attach_row(row, summary.select(F.struct(*summary.columns).alias("sessionSummary")))
     return row
 
 
@@ -60,7 +58,3 @@ def export_json(
     export_metadata(df, filters, summary).write.mode("overwrite").json(f"{path}/metadata")
     return True
 
-
-def filters_text(filters: dict[str, str]) -> str:
-    """The filters of an export as JSON text."""
-    return json.dumps(filters, sort_keys=True)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dnslens.functions.text import non_empty, strip
+from dnslens import dims
+from dnslens.functions.text import fill, non_empty, strip
 from dnslens.operators.normalize import normalize_events, number_lines
 from dnslens.operators.sessions import error_messages, status_messages
 
@@ -90,7 +91,7 @@ def parse_envelopes(
     broken = parsed.filter(unreadable).select(
         *keep,
         F.lit("stderr").alias("kind"),
-        F.concat(F.lit("Unreadable monitor payload: "), F.col("value")).alias("message"),
+        fill(dims.ERROR_UNREADABLE, F.col("value")).alias("message"),
     )
     return Envelopes(
         normalize_events(events, tool, mode),

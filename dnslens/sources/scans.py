@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dnslens import dims
+from dnslens.functions.text import fill
 from dnslens.operators.normalize import build_events
 
 SYN_ACK = 0x12
@@ -28,7 +30,7 @@ def scan_events(replies: DataFrame) -> DataFrame:
         port.cast("string").alias("destination_port"),
         F.lit(None).cast("string").alias("rcode_raw"),
         F.lit(None).cast("bigint").alias("ttl"),
-        F.array(F.concat(F.lit("Open "), protocol, F.lit(" port"))).alias("answers"),
+        F.array(fill(dims.NOTE_OPEN_PORT, protocol)).alias("answers"),
         F.lit(None).cast("boolean").alias("is_response"),
     )
     return build_events(raw, tool="scapy-scanner", mode="scan")
