@@ -205,6 +205,9 @@ TERMINAL_STATUSES = ["completed", "interrupted", "stopped"]
 CONFIDENCE = "observed"
 EVENT_SOURCE = "python-monitor"
 
+# Action of a redirected query.
+ACTION_REDIRECTED = "sinkholed"
+
 # Answers kept per event, and read per captured frame.
 MAX_ANSWERS = 10
 MAX_FRAME_ANSWERS = 20

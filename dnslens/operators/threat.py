@@ -114,7 +114,7 @@ def apply_redirect(df: DataFrame, address: str | None) -> DataFrame:
     )
     return df.withColumns(
         {
-            "action": F.when(redirected, F.lit("sinkholed")),
+            "action": F.when(redirected, F.lit(dims.ACTION_REDIRECTED)),
             "answers": F.when(redirected, F.array(F.lit(address))).otherwise(F.col("answers")),
         }
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dnslens import dims
 from dnslens.functions.codes import method_class
 from dnslens.functions.text import non_empty
 from dnslens.functions.times import iso_millis
@@ -17,7 +18,7 @@ def _or(name: str, default: str) -> Column:
 def table_view(df: DataFrame) -> DataFrame:
     """Ten display columns (and the method class) with their defaults."""
     protocol, transport = _or("protocol", "DNS"), _or("transport", "udp")
-    spoofed = F.coalesce(F.col("action") == "sinkholed", F.lit(False))
+    spoofed = F.coalesce(F.col("action") == dims.ACTION_REDIRECTED, F.lit(False))
     return df.select(
         "seq",
         F.col("event_ts").alias("time"),
