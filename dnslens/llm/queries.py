@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from dnslens.llm import bpe, urls
+from dnslens.llm import bpe, substrings, urls
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
+    "op9_substring_dedup": substrings.op9_substring_dedup,
     "op10_url_filters": urls.op10_url_filters,
 }
 ORACLES = {
+    "op9_substring_dedup": substrings.SQL,
     "op10_url_filters": urls.SQL,
 }
