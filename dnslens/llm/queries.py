@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from dnslens.llm import bpe, chat, fingerprints, near, substrings, urls
+from dnslens.llm import bpe, chat, fingerprints, licences, near, substrings, urls
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
     "op3_document_fingerprints": fingerprints.op3_document_fingerprints,
     "op4_chat_formatting": chat.op4_chat_formatting,
+    "op5_license_scans": licences.op5_license_scans,
     "op8_minhash_near_dedup": near.op8_minhash_near_dedup,
     "op9_substring_dedup": substrings.op9_substring_dedup,
     "op10_url_filters": urls.op10_url_filters,
 }
 ORACLES = {
+    "op5_license_scans": licences.SQL,
     "op4_chat_formatting": chat.SQL,
     "op8_minhash_near_dedup": near.SQL,
     "op9_substring_dedup": substrings.SQL,
