@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from dnslens.llm import bpe, chat, fingerprints, licences, near, substrings, urls
+from dnslens.llm import bpe, chat, decontamination, fingerprints, licences, near, substrings, toxicity, urls
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
     "op3_document_fingerprints": fingerprints.op3_document_fingerprints,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_license_scans": licences.op5_license_scans,
+    "op6_benchmark_decontamination": decontamination.op6_benchmark_decontamination,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_minhash_near_dedup": near.op8_minhash_near_dedup,
     "op9_substring_dedup": substrings.op9_substring_dedup,
     "op10_url_filters": urls.op10_url_filters,
