@@ -144,9 +144,9 @@ WITH texts AS (
     UNION ALL SELECT NULL, license, {_sql_spelled('text')} FROM (VALUES {', '.join(f'({_sql_text(a)}, {_sql_text(b)})' for a, b in KNOWN)}) AS k(license, text)),
 forms AS (
     SELECT doc_id, license,
-           [trim(regexp_replace(x, '[^\\p{{L}}\p{{N}}]+', ' ', 'g')) FOR x IN string_split(t, chr(10))
+           [trim(regexp_replace(x, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) FOR x IN string_split(t, chr(10))
             IF NOT regexp_matches(x, '{COPYRIGHT_LINE}')] AS bare,
-           [trim(regexp_replace(x, '[^\\p{{L}}\p{{N}}]+', ' ', 'g')) FOR x IN string_split(t, chr(10))] AS lines
+           [trim(regexp_replace(x, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) FOR x IN string_split(t, chr(10))] AS lines
     FROM texts),
 digests AS (
     SELECT doc_id, license, list_filter(lines, lambda x: x <> '') AS lines,

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from dnslens.llm import bpe, chat, decontamination, fingerprints, licences, near, substrings, toxicity, urls
+from dnslens.llm import bpe, chat, decontamination, fingerprints, licences, lines, near, substrings, toxicity, urls
 
 QUERIES = {
+    "op1_line_dedup": lines.op1_line_dedup,
     "op2_bpe": bpe.op2_bpe,
     "op3_document_fingerprints": fingerprints.op3_document_fingerprints,
     "op4_chat_formatting": chat.op4_chat_formatting,
@@ -16,6 +17,7 @@ QUERIES = {
     "op10_url_filters": urls.op10_url_filters,
 }
 ORACLES = {
+    "op1_line_dedup": lines.SQL,
     "op5_license_scans": licences.SQL,
     "op4_chat_formatting": chat.SQL,
     "op8_minhash_near_dedup": near.SQL,

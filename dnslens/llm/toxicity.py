@@ -276,5 +276,19 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", **options)
     return score(plain, fit(plain, labels, **options))
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:
+    """The rows of ``docs``, all columns, that the chain does not hold to be toxic; null and empty texts stay."""
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(text).alias("_text"))
+    chain = fit(plain, labels, **options)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Known(chain.index)
+        for batch in blocks(batches, text):
+            scores = [chain.probabilities(*_found(known, x or ""))[-1] for x in batch.column(text).to_pylist()]
+            yield batch.filter(pa.array([p < threshold for p in scores], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return classify(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
