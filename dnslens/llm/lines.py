@@ -79,7 +79,7 @@ def recurring_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> Data
 
 
 def drop_recurring(docs: DataFrame, text: str = "text", min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """``docs`` with the recurring lines taken out of ``text``, and n_lines, n_dropped appended as ``_n_lines``, ``_n_dropped``.
+    """``docs`` with the recurring lines taken out of ``text``, and its counts as ``_n_lines``, ``_n_dropped``.
 
     All rows and columns stay. A null text stays null, an empty one empty, with no lines; a text of which
     every line goes becomes empty. Blank lines and lines of fewer than three tokens are kept. Repeated
@@ -89,15 +89,16 @@ def drop_recurring(docs: DataFrame, text: str = "text", min_documents: int = MIN
     key = F.xxhash64("doc_id", value)
     plain = docs.select(key.alias("row"), value.alias("_text"))
     dropped = recurring_lines(plain, min_documents).groupBy("row").agg(F.collect_set("pos").alias("_gone"))
-    joined = docs.withColumn("_row", key).join(dropped.withColumnRenamed("row", "_row"), "_row", "left")
+    gone = dropped.select(F.col("row").alias("_dedup_row"), F.col("_gone").alias("_dedup_gone"))
+    joined = docs.withColumn("_dedup_key", key).join(gone, F.col("_dedup_key") == F.col("_dedup_row"), "left")
     lines = F.split(F.col(text), "\n")
-    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("_gone", i)), "\n")
+    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("_dedup_gone", i)), "\n")
     count = F.when(F.coalesce(F.col(text), F.lit("")) == "", 0).otherwise(F.size(lines))
     return joined.withColumns({
         "_n_lines": count.cast("long"),
-        "_n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
-        text: F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept),
-    }).drop("_row", "_gone")
+        "_n_dropped": F.coalesce(F.size("_dedup_gone"), F.lit(0)).cast("long"),
+        text: F.when(F.col("_dedup_gone").isNull(), F.col(text)).otherwise(kept),
+    }).drop("_dedup_key", "_dedup_row", "_dedup_gone")
 
 
 def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
