@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,3 +93,21 @@ def grams(words: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     for k in range(n):
         value = (value ^ (value >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + words[k : k + count]
     return mix(value)
+
+
+def squeezed(docs: DataFrame) -> DataFrame:
+    """doc_id and ``_text`` with each text compressed, for joins that send all texts through a shuffle."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in blocks(batches, "_text"):
+            small = pa.array([press.compress(x) for x in batch.column("_text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), small], ["doc_id", "_text"])
+
+    return docs.select("doc_id", "_text").mapInArrow(run, "doc_id long, _text binary")
+
+
+def unsqueezed(column: pa.Array) -> Iterator[bytes]:
+    """The texts of a compressed column, one at a time."""
+    press = zstandard.ZstdDecompressor()
+    for value in column:
+        yield press.decompress(value.as_py())

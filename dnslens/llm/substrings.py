@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dnslens.llm.common import BLOCK_BYTES, WordHashes, blocks, grams, read_table, staged, text_bytes
+from dnslens.llm.common import BLOCK_BYTES, WordHashes, blocks, grams, read_table, squeezed, staged, text_bytes, unsqueezed
 from dnslens.session import broadcast_if_small
 
 WINDOW = 50
@@ -75,7 +75,7 @@ def packed(shared: DataFrame, docs: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "_text"):
-            for ids, text, runs in zip(batch.column("doc_id"), batch.column("_text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
+            for ids, text, runs in zip(batch.column("doc_id"), unsqueezed(batch.column("_text")), batch.column("runs").to_pylist(), strict=True):
                 words = text.split()
                 runs = [r for r in runs if r["start"] + r["n"] + window - 1 <= len(words)]
                 for at in range(0, len(runs), 2000):
@@ -87,7 +87,7 @@ def packed(shared: DataFrame, docs: DataFrame, window: int) -> DataFrame:
                         pa.array(texts, pa.binary()),
                     ], ["minimiser", "doc_id", "start", "key", "words"])
 
-    return docs.join(wanted, "doc_id").mapInArrow(run, "minimiser long, doc_id long, start int, key binary, words binary")
+    return squeezed(docs).join(wanted, "doc_id").mapInArrow(run, "minimiser long, doc_id long, start int, key binary, words binary")
 
 
 def _count_bucket(hashes: WordHashes, keys: list, texts: list[bytes], first: np.ndarray, window: int) -> pa.RecordBatch:
@@ -215,14 +215,14 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "_text"):
-            rows = [_keep(x, r, window) for x, r in zip(batch.column("_text").to_pylist(), batch.column("runs").to_pylist(), strict=True)]
+            rows = [_keep(x, r, window) for x, r in zip(unsqueezed(batch.column("_text")), batch.column("runs").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array([n for _, n in rows], pa.int64()),
                 pa.array([n - len(kept) for kept, n in rows], pa.int64()),
                 pc.cast(pa.array([b" ".join(kept) for kept, _ in rows], pa.binary()), pa.string()),
             ], ["doc_id", "n_words", "n_removed", "text"])
 
-    return plain.join(lost, "doc_id", "left").mapInArrow(run, "doc_id long, n_words long, n_removed long, text string")
+    return squeezed(plain).join(lost, "doc_id", "left").mapInArrow(run, "doc_id long, n_words long, n_removed long, text string")
 
 
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
