@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dnslens.llm.common import UPPER, WordHashes, blocks, grams, mix, read_table, staged, text_bytes
+from dnslens.llm.common import UPPER, WordHashes, blocks, grams, mix, read_table, squeezed, staged, text_bytes, unsqueezed
 
 #: 32 bands of 4 rows: two sets that share 0.8 of their union miss every band with probability 5e-8.
 BANDS, ROWS = 32, 4
@@ -28,7 +27,7 @@ PROPOSED = 4
 
 def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
     base = mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return base[:n] | np.uint64(1), base[n:]
+    return (base[:n] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (base[n:] >> np.uint64(32)).astype(np.uint32)
 
 
 def _sets(words: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,6 +57,7 @@ def _sets(words: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray,
 def _signatures(values: np.ndarray, begin: np.ndarray, bands: int, rows: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Band hashes and odd sketches of sets (none of them empty).
 
+    Each sample is the least of the hashes' upper halves under a permutation of 32-bit numbers.
     The odd sketch folds the samples, as elements (number, least hash), into the parity of bits:
     equal samples of two sets cancel in the XOR, each differing pair flips two bits.
     """
@@ -66,8 +66,9 @@ def _signatures(values: np.ndarray, begin: np.ndarray, bands: int, rows: int, bi
     band = np.zeros((count, bands), np.uint64)
     parity = np.zeros((count, bits), bool)
     each = np.arange(count)
+    short = (values >> np.uint64(32)).astype(np.uint32)
     for k in range(bands * rows):
-        least = mix(np.minimum.reduceat(values * mul[k] + add[k], begin[:-1]) + np.uint64(k))
+        least = mix(np.minimum.reduceat(short * mul[k] + add[k], begin[:-1]).astype(np.uint64) + (np.uint64(k + 1) << np.uint64(32)))
         band[:, k // rows] = mix(band[:, k // rows] ^ least)
         parity[each, (least >> np.uint64(17)) % np.uint64(bits)] ^= True
     band ^= mix(np.arange(1, bands + 1, dtype=np.uint64))[None, :]
@@ -103,13 +104,13 @@ def signatures(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS,
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id and the full set of shingle hashes of each document."""
+    """doc_id and the full set of shingle hashes of each document (compressed texts)."""
     lowered = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in blocks(batches, "_text"):
-            words, starts = hashes.of([x.translate(lowered) for x in batch.column("_text").to_pylist()])
+            words, starts = hashes.of([x.translate(lowered) for x in unsqueezed(batch.column("_text"))])
             values, begin = _sets(words, starts, size)
             shingles = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(values.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), shingles], ["doc_id", "shingles"])
@@ -162,29 +163,67 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * (size - both)).select("a", "b")
 
 
-def _proposals(most: int, begin: int, end: int):
-    """Compares two blocks of a bucket; a row's partners are taken by likeness, ``begin`` to ``end``."""
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = rows[rows.side], rows[~rows.side]
-        x = np.frombuffer(b"".join(left.sketch), np.uint64).reshape(len(left), -1)
-        y = np.frombuffer(b"".join(right.sketch), np.uint64).reshape(len(right), -1)
-        ids, comps = right.doc_id.to_numpy(), right.comp.to_numpy()
-        a, b, more = [], [], False
-        for doc, comp, own in zip(left.doc_id, left.comp, x, strict=True):
-            bits = np.bitwise_count(y ^ own).sum(axis=1, dtype=np.int32)
-            near = np.flatnonzero((bits <= most) & (ids != doc))
-            order = near[np.lexsort((ids[near], bits[near]))]
-            more |= bool((comps[order[end:]] != comp).any())
-            some = order[begin:end]
-            some = some[comps[some] != comp]
-            a += [doc] * len(some)
-            b += ids[some].tolist()
-        out = pd.DataFrame({"a": a, "b": b, "more": False}).astype({"a": "int64", "b": "int64"})
-        if more:
-            out.loc[len(out)] = [-1, -1, True]
-        return out.astype({"a": "int64", "b": "int64", "more": "bool"})
-
-    return compare
+def _partners(left: dict, right: dict, most: int, end: int) -> tuple[list[np.ndarray], bool]:
+    """Pairs (a, b) of the likeliest ``end`` partners of other components that each row of a block has, and whether any has more."""
+    out, more = [], False
+    for at in range(0, len(left["doc"]), 64):
+        rows = slice(at, at + 64)
+        bits = np.bitwise_count(left["sketch"][rows, None, :] ^ right["sketch"][None, :, :]).sum(axis=2, dtype=np.int32)
+        near = (bits <= most) & (left["comp"][rows, None] != right["comp"][None, :])
+        for i in np.flatnonzero(near.any(axis=1)):
+            some = np.flatnonzero(near[i])
+            some = some[np.lexsort((right["doc"][some], bits[i][some]))]
+            more |= len(some) > end
+            out.append(np.stack([np.full(min(end, len(some)), left["doc"][at + i]), right["doc"][some[:end]]], axis=1))
+    return out, more
+
+
+def proposals(tasks: DataFrame, most: int, end: int) -> DataFrame:
+    """a, b: pairs to confirm; and, with ``more`` set, the buckets in which a row has further partners.
+
+    Each task's rows (two blocks of at most ``BLOCK`` rows or so) lie together, sorted, in one partition;
+    they pass by in order, so memory holds one task.
+    """
+    names = ["bucket", "kind", "i", "j"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+
+        def work(table: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table | None]:
+            keys = np.stack([table.column(n).to_numpy() for n in names], axis=1)
+            side = table.column("side").to_numpy(zero_copy_only=False)
+            change = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            bounds = np.concatenate([[0], change, [len(keys)]])
+            if not last:
+                bounds = bounds[:-1]
+            data = {"doc": table.column("doc_id").to_numpy(), "comp": table.column("comp").to_numpy(),
+                    "sketch": np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(keys), -1)}
+            pairs, again = [np.zeros((0, 2), np.int64)], []
+            for begin, stop in zip(bounds[:-1], bounds[1:], strict=True):
+                cut = begin + int(np.searchsorted(side[begin:stop], 1))
+                left, right = ({k: v[x:y] for k, v in data.items()} for x, y in ((cut, stop), (begin, cut)))
+                found, more = _partners(left, right, most, end)
+                pairs += found
+                if more:
+                    again.append(keys[begin, 0])
+            both = np.concatenate(pairs)
+            out = pa.RecordBatch.from_arrays([
+                pa.array(np.append(both[:, 0], again).astype(np.int64)), pa.array(np.append(both[:, 1], again).astype(np.int64)),
+                pa.array(np.arange(len(both) + len(again)) >= len(both))], ["a", "b", "more"])
+            return out, None if last else table.slice(int(bounds[-1]))
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            rest = pa.concat_tables([rest, table]) if rest is not None else table
+            if len(rest):
+                out, rest = work(rest, False)
+                yield out
+        if rest is not None and len(rest):
+            yield work(rest, True)[0]
+
+    parts = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = tasks.repartition(parts, *names).sortWithinPartitions(*names, "side")
+    return dealt.select(*names, "side", "doc_id", "comp", "sketch").mapInArrow(run, "a long, b long, more boolean")
 
 
 def _tasks(members: DataFrame, comp: DataFrame) -> DataFrame:
@@ -192,7 +231,7 @@ def _tasks(members: DataFrame, comp: DataFrame) -> DataFrame:
 
     In a bucket, members of the component that its least member belongs to are the inside, the others
     the outside. Links may be missing between outside and inside and among the outside. Both are dealt
-    into blocks; a task gets an outside block (side true) and another block. Work so grows with the
+    into blocks; a task gets an outside block (side 1) and another block. Work so grows with the
     outside, which is empty once a bucket's copies are one component.
     """
     own = members.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
@@ -205,7 +244,7 @@ def _tasks(members: DataFrame, comp: DataFrame) -> DataFrame:
     block = F.pmod("h", F.when(F.col("outer"), F.col("outs")).otherwise(F.col("ins")))
     dealt = dealt.withColumn("block", block.cast("int"))
 
-    def tasks(rows: DataFrame, count: Column, kind: str, side: bool, mine_first: bool) -> DataFrame:
+    def tasks(rows: DataFrame, count: Column, kind: int, side: int, mine_first: bool) -> DataFrame:
         each = rows.withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
         first, second = ("block", "other") if mine_first else ("other", "block")
         return each.select("bucket", F.lit(kind).alias("kind"), F.col(first).alias("i"), F.col(second).alias("j"),
@@ -213,10 +252,10 @@ def _tasks(members: DataFrame, comp: DataFrame) -> DataFrame:
 
     out, inner = dealt.filter("outer"), dealt.filter(~F.col("outer"))
     return (
-        tasks(out, F.col("ins"), "in", True, True)
-        .union(tasks(inner, F.col("outs"), "in", False, False))
-        .union(tasks(out, F.col("outs"), "out", True, True))
-        .union(tasks(out, F.col("outs"), "out", False, False))
+        tasks(out, F.col("ins"), 0, 1, True)
+        .union(tasks(inner, F.col("outs"), 0, 0, False))
+        .union(tasks(out, F.col("outs"), 1, 1, True))
+        .union(tasks(out, F.col("outs"), 1, 0, False))
     )
 
 
@@ -239,25 +278,26 @@ def near_components(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
     once = buckets.groupBy("n", "lo", "mark").agg(F.min("bucket").alias("bucket"))
     members = staged(exploded.join(once.select("bucket", "lo"), "bucket"))
     wanted = members.select("doc_id").distinct()
-    sets = staged(shingle_sets(docs.join(wanted, "doc_id"), size).dropDuplicates(["doc_id"]))
+    sets = staged(shingle_sets(squeezed(docs).join(wanted, "doc_id"), size).dropDuplicates(["doc_id"]))
     sketches = staged(reps.select("doc_id", "sketch").join(wanted, "doc_id").dropDuplicates(["doc_id"]))
     most = most_bits(percent, BANDS * ROWS)
     first = members.filter("doc_id <> lo").groupBy("doc_id").agg(F.min("lo").alias("b")).select(F.col("doc_id").alias("a"), "b")
     links = staged(confirmed(first, sets, percent))
     comp = staged(components(links))
-    begin, step = 0, PROPOSED
+    end, open_members = PROPOSED, members
+    tried = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     while True:
-        tasks = _tasks(members, comp).join(sketches, "doc_id")
-        found = staged(tasks.groupBy("bucket", "kind", "i", "j").applyInPandas(_proposals(most, begin, begin + step), "a long, b long, more boolean"))
+        found = staged(proposals(_tasks(open_members, comp).join(sketches, "doc_id"), most, end))
         pairs = found.filter("not more").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"))
         new = staged(confirmed(pairs, sets, percent))
-        more = not found.filter("more").isEmpty()
         if not new.isEmpty():
             links = links.unionByName(new)
             comp = staged(components(links))
-        if not more:
-            break
-        begin, step = begin + step, step * 4
+        again = found.filter("more").select(F.col("a").alias("bucket")).distinct()
+        if again.isEmpty():
+            break  # every pair across components was proposed, and so confirmed or refuted
+        open_members, tried, end = open_members.join(again, "bucket"), tried.unionByName(pairs), end * 4
     whole = marks.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left").join(
         comp.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("comp", "rep", "doc_id")
