@@ -243,12 +243,15 @@ def fold(node):
     """Constants worked out: expressions of constants, tests with a known result, neighbouring texts."""
     match node:
         case list():
-            out: list = []
+            flat: list = []
             for child in map(fold, node):
-                if isinstance(child, If) and isinstance(child.test, Const):
-                    out += child.body if child.test.value else child.other
-                elif out and isinstance(child, Output) and isinstance(out[-1], Output) and isinstance(child.value, Const) and isinstance(out[-1].value, Const):
-                    out[-1] = Output(Const(f"{out[-1].value.value}{child.value.value}"))
+                known = isinstance(child, If) and isinstance(child.test, Const)
+                flat += (child.body if child.test.value else child.other) if known else [child]
+            out: list = []
+            for child in flat:
+                both = [x.value for x in (*out[-1:], child) if isinstance(x, Output) and isinstance(x.value, Const)]
+                if len(both) == 2:
+                    out[-1] = Output(Const(f"{both[0].value}{both[1].value}"))
                 else:
                     out.append(child)
             return out

@@ -17,9 +17,9 @@ from dnslens.llm.common import blocks, read_table, staged, text_bytes
 #: Labelled texts the models are fitted on at most (those with the least hash of their id), and features a category takes.
 SAMPLE, FEATURES = 20_000, 20_000
 #: A feature must stand in so many labelled texts, and deviate by so many standard deviations.
-LEAST_TEXTS, LEAST_Z = 4, 4.0
+LEAST_TEXTS, LEAST_Z = 3, 4.0
 FOLDS = 5
-THRESHOLD = 0.5
+THRESHOLD = 0.4
 PREFIXES = (4, 5, 6, 7)
 EDGES = ".,!?;:\"'()[]{}|<>*%#…«»"
 CACHE_WORDS = 150_000
