@@ -149,25 +149,30 @@ def alerts(
     the gap. ``scope='arrival'``: only the name of the last alert is remembered, in
     arrival order, so a different name in between lifts the suppression.
 
-    Keys with up to ``max_group_rows`` candidates are handled in one shuffle. Larger
-    keys (counted first) are split by time.
+    An event without a time can be within no gap: it always alerts, and takes no part
+    in the suppression of others.
+
+    The candidates are scored once and kept as a compact table. Keys with up to
+    ``max_group_rows`` candidates (counted) are then handled in one shuffle, larger
+    ones are split by time; both give the same rows.
     """
     wanted = gap_micros(gap)
-    rows = alert_candidates(events).withColumn("_time", F.unix_micros("event_ts"))
     payload = ["event_ts", "domain", "threat_level", "message"]
+    if scope not in ("domain", "arrival"):
+        raise ValueError(f"unknown scope: {scope}")
+    candidates = cut_lineage(alert_candidates(events))
+    untimed = candidates.filter(F.col("event_ts").isNull()).select("seq", *payload)
+    rows = candidates.filter(F.col("event_ts").isNotNull()).withColumn("_time", F.unix_micros("event_ts"))
     if scope == "domain":
         rows = rows.withColumns({"_key": F.col("domain"), "_order": F.col("_time")})
-    elif scope == "arrival":
-        runs = with_island(rows, [], ["domain"], island="_key", chunk_rows=chunk_rows)
-        # read three times below, and dear to compute: keep the compact candidates
-        rows = cut_lineage(runs.withColumn("_order", F.col("seq")))
     else:
-        raise ValueError(f"unknown scope: {scope}")
+        runs = with_island(rows, [], ["domain"], island="_key", chunk_rows=chunk_rows)
+        rows = cut_lineage(runs.withColumn("_order", F.col("seq")))  # read three times below
 
     hot = rows.groupBy("_key").count().filter(F.col("count") > max_group_rows).select("_key")
     hot = cut_lineage(hot)
     if hot.isEmpty():
-        return _suppress_small(rows, wanted, payload)
+        return _suppress_small(rows, wanted, payload).unionByName(untimed)
     hot = broadcast_if_small(hot)
     large = rows.join(hot, "_key", "left_semi")
     if scope == "arrival":
@@ -176,7 +181,7 @@ def alerts(
         large = large.filter(F.col("previous_max").isNull() | (F.col("_time") > F.col("previous_max")))
     split = _suppress_split(large, wanted, payload)
     small = _suppress_small(rows.join(hot, "_key", "left_anti"), wanted, payload)
-    return small.unionByName(split)
+    return small.unionByName(split).unionByName(untimed)
 
 
 def focus_alerts(events: DataFrame, address: str) -> DataFrame:
@@ -194,12 +199,17 @@ def traffic_counts(events: DataFrame, bucket: str = "1 second") -> DataFrame:
 
 
 def traffic_series(events: DataFrame, bucket: str = "1 second", buckets: int = 60) -> DataFrame:
-    """The last ``buckets`` time buckets up to the newest event, idle ones with 0."""
-    counted = traffic_counts(events, bucket)
-    step = F.expr(f"INTERVAL {bucket}")
-    last = counted.agg(F.max("bucket_start").alias("last")).filter(F.col("last").isNotNull())
-    span = F.expr(f"INTERVAL '{(buckets - 1) * gap_micros(bucket) // 1_000_000}' SECOND")
-    grid = last.select(F.explode(F.sequence(F.col("last") - span, F.col("last"), step)).alias("bucket_start"))
+    """The last ``buckets`` time buckets up to the newest event, idle ones with 0.
+
+    The newest time comes first (one number); only events of the buckets shown are counted.
+    """
+    step = gap_micros(bucket)
+    newest = events.agg(F.max(F.unix_micros("event_ts")).alias("at"))
+    last = newest.select((F.col("at") - F.pmod("at", F.lit(step))).alias("last")).filter(F.col("last").isNotNull())
+    first = newest.select(F.timestamp_micros(F.col("at") - F.pmod("at", F.lit(step)) - F.lit((buckets - 1) * step))).scalar()
+    counted = traffic_counts(events.filter(F.col("event_ts") >= first), bucket)
+    places = F.sequence(F.col("last") - F.lit((buckets - 1) * step), F.col("last"), F.lit(step).cast("long"))
+    grid = last.select(F.explode(places).alias("at")).select(F.timestamp_micros("at").alias("bucket_start"))
     joined = grid.join(counted, "bucket_start", "left")
     return joined.select("bucket_start", F.coalesce("events", F.lit(0)).alias("events"))
 
@@ -207,16 +217,19 @@ def traffic_series(events: DataFrame, bucket: str = "1 second", buckets: int = 6
 def suppress_batch(rows: Iterable[pd.DataFrame], gap: int, last: dict[str, int]) -> pd.DataFrame:
     """Suppression of a micro-batch's rows of some names.
 
-    ``last`` holds the time of each name's last alert and is brought up to date.
+    ``last`` holds the time of each name's last alert and is brought up to date. Rows
+    without a time are all kept.
     """
-    pdf = pd.concat(list(rows), ignore_index=True).sort_values(["domain", "event_ts", "seq"], ignore_index=True)
+    everything = pd.concat(list(rows), ignore_index=True)
+    untimed = everything[everything["event_ts"].isna()]
+    pdf = everything[everything["event_ts"].notna()].sort_values(["domain", "event_ts", "seq"], ignore_index=True)
     times = pdf["event_ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
     names = pdf["domain"].to_numpy()
-    starts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
+    starts = np.flatnonzero(np.r_[len(names) > 0, names[1:] != names[:-1]])
     kept: list[int] = []
     for start, end in zip(starts, np.r_[starts[1:], len(names)]):
         found = keep_after_gap(times[start:end], gap, last.get(names[start]))
         if found:
             last[names[start]] = int(times[start + found[-1]])
             kept.extend(start + at for at in found)
-    return pdf.iloc[kept]
+    return pd.concat([pdf.iloc[kept], untimed]) if len(untimed) and kept else untimed if len(untimed) else pdf.iloc[kept]

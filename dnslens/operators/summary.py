@@ -11,6 +11,7 @@ from dnslens.functions.rounding import fixed_text, round_even, round_up
 from dnslens.operators.filters import known
 from dnslens.operators.ordered import newest_per_key
 from dnslens.operators.windows import counts, top_k
+from dnslens.session import cut_lineage
 
 # Dimensions of the breakdowns.
 DIMENSIONS = ("domain", "source_ip", "record_type", "transport", "rcode", "threat_level")
@@ -84,18 +85,21 @@ def totals(df: DataFrame) -> DataFrame:
     return row.withColumn("avg_qps", avg_qps(F.col("events_per_minute")))
 
 
-def scalars(df: DataFrame) -> DataFrame:
+def scalars(df: DataFrame, broken_down: DataFrame | None = None) -> DataFrame:
     """One row of totals, distinct names and the most common values.
 
     Pass ``windows.latest(df)`` for the summary of the event buffer. The tops are
-    aggregates over the breakdown (one row per value), never over the events.
+    aggregates over the breakdown (one row per value), never over the events. No
+    threat column is read: pass events without scores.
     """
 
     def top(name: str, alias: str) -> Column:
         rank = F.struct("events", "last_seq")
         return F.max_by(F.when(F.col("dimension") == name, F.col("value")), F.when(F.col("dimension") == name, rank)).alias(alias)
 
-    tops = breakdowns(df, ("domain", "source_ip", "record_type")).agg(
+    if broken_down is None:
+        broken_down = breakdowns(df, ("domain", "source_ip", "record_type"))
+    tops = broken_down.agg(
         F.count_if(F.col("dimension") == "domain").alias("unique_domains"),
         top("domain", "top_domain"),
         top("source_ip", "top_source_ip"),
@@ -111,8 +115,15 @@ def attach_row(left: DataFrame, row: DataFrame) -> DataFrame:
 
 
 def summary_long(df: DataFrame, top_domains: int = 8, top_sources: int = 5) -> DataFrame:
-    """Breakdowns and top lists in long form: ``(section, value, events, last_seq)``."""
-    broken = breakdowns(df)
+    """Breakdowns and top lists in long form: ``(section, value, events, last_seq)``.
+
+    The breakdown (one row per value) is written once and read for every section, so
+    the events are scanned and scored once.
+    """
+    return _sections(cut_lineage(breakdowns(df)), top_domains, top_sources)
+
+
+def _sections(broken: DataFrame, top_domains: int, top_sources: int) -> DataFrame:
     small = broken.filter(F.col("dimension").isin("record_type", "transport", "rcode", "threat_level"))
     lists = broken.filter(F.col("dimension").isin("domain", "source_ip"))
     tops = top_per_dimension(lists, max(top_domains, top_sources))
@@ -126,7 +137,8 @@ def summary_long(df: DataFrame, top_domains: int = 8, top_sources: int = 5) -> D
 
 def summary_record(df: DataFrame, top_domains: int = 8, top_sources: int = 5) -> DataFrame:
     """The summary as one row with maps and arrays (small: types, transports, codes, levels, tops)."""
-    long = summary_long(df, top_domains, top_sources)
+    broken = cut_lineage(breakdowns(df))
+    long = _sections(broken, top_domains, top_sources)
     entry = F.struct(F.col("value"), F.col("events"))
 
     def breakdown_map(name: str) -> Column:
@@ -142,4 +154,4 @@ def summary_record(df: DataFrame, top_domains: int = 8, top_sources: int = 5) ->
         top_list("domain", "top_domains"),
         top_list("source_ip", "top_source_ips"),
     )
-    return attach_row(scalars(df), packed)
+    return attach_row(scalars(df, broken), packed)

@@ -217,12 +217,12 @@ def url_threats(spark, folder):
 
 @query
 def summary_scalars(spark, folder):
-    return flat(summary.scalars(t.events(spark, folder)))
+    return flat(summary.scalars(t.events(spark, folder, score=False)))
 
 
 @query
 def buffer_summary(spark, folder):
-    return flat(summary.scalars(windows.latest(t.events(spark, folder))))
+    return flat(summary.scalars(windows.latest(t.events(spark, folder, score=False))))
 
 
 @query
@@ -562,6 +562,26 @@ def alerts_arrival(spark, folder):
     return flat(al.alerts(names, GAP, scope="arrival"))
 
 
+def _field_line_events(raw):
+    """Scored events of field lines, every seventh without a time."""
+    return build_events(fields.parse_fields(derived.field_lines(raw)), "tshark", "manual")
+
+
+@query
+def alerts_field_lines(spark, folder):
+    return flat(al.alerts(_field_line_events(t.raw(spark, folder)), GAP))
+
+
+@query
+def alerts_field_lines_split(spark, folder):
+    return flat(al.alerts(_field_line_events(t.raw(spark, folder)), GAP, max_group_rows=1))
+
+
+@query
+def traffic_series_ms(spark, folder):
+    return flat(al.traffic_series(t.events(spark, folder, score=False), "100 milliseconds"))
+
+
 @query
 def focus_alerts(spark, folder):
     return flat(al.focus_alerts(t.events(spark, folder), FOCUS))
@@ -720,6 +740,12 @@ def stream_alerts(spark, folder):
     return flat(drain_append(streams.alerts(_stream(spark, folder), GAP), "alerts"))
 
 
+@query
+def stream_alerts_field_lines(spark, folder):
+    events = _field_line_events(t.raw_stream(spark, folder))
+    return flat(drain_append(streams.alerts(events, GAP), "alerts"))
+
+
 @query
 def stream_focus_alerts(spark, folder):
     return flat(drain_append(al.focus_alerts(_stream(spark, folder), FOCUS), "focus"))

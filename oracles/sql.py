@@ -378,6 +378,10 @@ oracle("traffic_series", EVENTS + """,
 c AS (SELECT date_trunc('hour', event_ts) AS b, count(*) AS n FROM ev GROUP BY 1),
 g AS (SELECT unnest(generate_series((SELECT max(b) FROM c) - INTERVAL 59 HOUR, (SELECT max(b) FROM c), INTERVAL 1 HOUR)) AS b)""", """
 SELECT g.b AS bucket_start, coalesce(c.n, 0) AS events FROM g LEFT JOIN c ON c.b = g.b""")
+oracle("traffic_series_ms", EVENTS + """,
+c AS (SELECT time_bucket(INTERVAL 100 MILLISECOND, event_ts) AS b, count(*) AS n FROM ev GROUP BY 1),
+g AS (SELECT unnest(generate_series((SELECT max(b) FROM c) - INTERVAL 5900 MILLISECOND, (SELECT max(b) FROM c), INTERVAL 100 MILLISECOND)) AS b)""", """
+SELECT g.b AS bucket_start, coalesce(c.n, 0) AS events FROM g LEFT JOIN c ON c.b = g.b""")
 ALERT_ROWS = SCORED + """,
 cand AS (SELECT seq, event_ts, domain, threat_level,
   CASE WHEN len(reasons) = 0 THEN 'Suspicious activity detected' ELSE array_to_string(reasons[1:2], ' • ') END AS message
@@ -394,6 +398,16 @@ SELECT arg_min(k.seq, k.seq) AS seq, k.event_ts, k.domain, arg_min(k.threat_leve
 FROM cand k JOIN chain c ON c.domain = k.domain AND c.ts = k.event_ts GROUP BY k.domain, k.event_ts""", recursive=True)
 ORACLES["alerts_split"] = ORACLES["alerts"]
 ORACLES["stream_alerts"] = ORACLES["alerts"]
+oracle("alerts_field_lines", ALERT_ROWS.replace("cand AS (SELECT seq", "everything AS (SELECT seq") + """,
+lined AS (SELECT e.* REPLACE (CASE WHEN e.seq % 7 = 6 THEN NULL ELSE e.event_ts END AS event_ts)
+ FROM everything e JOIN dns_raw r ON r.seq = e.seq WHERE r.domain IS NOT NULL),
+cand AS (SELECT * FROM lined WHERE event_ts IS NOT NULL)""" + CHAIN, """
+SELECT arg_min(k.seq, k.seq) AS seq, k.event_ts, k.domain, arg_min(k.threat_level, k.seq) AS threat_level,
+ arg_min(k.message, k.seq) AS message
+FROM cand k JOIN chain c ON c.domain = k.domain AND c.ts = k.event_ts GROUP BY k.domain, k.event_ts
+UNION ALL SELECT seq, event_ts, domain, threat_level, message FROM lined WHERE event_ts IS NULL""", recursive=True)
+ORACLES["alerts_field_lines_split"] = ORACLES["alerts_field_lines"]
+ORACLES["stream_alerts_field_lines"] = ORACLES["alerts_field_lines"]
 oracle("alerts_arrival", ALERT_ROWS + """,
 short AS (SELECT * REPLACE (string_split(domain, '.')[-1] AS domain), row_number() OVER (ORDER BY seq) AS n FROM cand),
 walk AS (
