@@ -10,11 +10,13 @@ from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dnslens import dims
 from dnslens.functions.text import non_empty
+from dnslens.session import cut_lineage
 
 JOINED_FIELDS = ("domain", "record_type", "source_ip", "destination_ip", "tool", "mode", "transport")
 ANY_FIELDS = (
@@ -81,19 +83,46 @@ def snapshot(df: DataFrame, term: str = "", limit: int = 0) -> DataFrame:
     return found.orderBy(F.col("seq").desc()).limit(limit) if limit > 0 else found
 
 
+_CLASS_OR_SIGN = re.compile(r"\\.|\[\^?(?:\\.|[^\]\\])*\]|\$", re.DOTALL)
+
+
+def _java_pattern(body: str, multiline: bool) -> str:
+    """A browser's regular expression in the dialect of the JVM.
+
+    Inside a class ``[`` and ``&&`` are plain characters there; ``[^]`` is any character and
+    ``[]`` none; ``$`` is the very end, not before a last line break.
+    """
+    def turned(found: re.Match) -> str:
+        text = found[0]
+        if text == "$":
+            return "$" if multiline else r"\z"
+        if text[0] != "[":
+            return text
+        if text in ("[^]", "[]"):
+            return r"[\s\S]" if text == "[^]" else "(?!)"
+        inside = re.sub(r"\\.|\[|&&", lambda m: {"[": r"\[", "&&": r"&\&"}.get(m[0], m[0]), text[1:-1], flags=re.DOTALL)
+        return f"[{inside}]"
+
+    return _CLASS_OR_SIGN.sub(turned, body)
+
+
 def _pattern(term: str) -> str | None:
-    """A regular expression for ``/pattern/flags`` terms that Spark accepts, else null."""
+    """The JVM's form of a ``/pattern/flags`` term, null for other terms and invalid patterns."""
     parts = re.fullmatch(r"/(.+)/([gimsuy]*)", term)
     if not parts or len(set(parts[2])) != len(parts[2]):
         return None
     body, flags = parts.groups()
+    body = _java_pattern(body, "m" in flags)
     inline = "i" + "".join(flag for flag in "ms" if flag in flags)
     pattern = f"(?{inline})" + (rf"\A(?:{body})" if "y" in flags else body)
-    spark = SparkSession.getActiveSession()
+    # constants of a local row are worked out while the query is planned: no job runs
+    row = SparkSession.active().sql("VALUES ('')")
     try:
-        spark.range(1).select(F.lit("").rlike(pattern)).collect()
-    except Exception:
-        return None
+        row.select(F.lit("").rlike(pattern)).collect()
+    except PySparkException as error:
+        if (error.getCondition() or "").startswith("INVALID_PARAMETER_VALUE"):
+            return None
+        raise
     return pattern
 
 
@@ -181,9 +210,9 @@ def select_rows(view: DataFrame, ids: DataFrame | None) -> DataFrame:
     """
     if ids is None:
         return view
-    chosen = ids.select("id").distinct()
-    marked = view.join(chosen.withColumn("_chosen", F.lit(True)), "id", "left")
-    any_chosen = view.join(chosen, "id", "left_semi").agg(F.count("*") > 0).scalar()
+    chosen = ids.select("id").distinct().withColumn("_chosen", F.lit(True))
+    marked = cut_lineage(view.join(chosen, "id", "left"))  # read twice below, from one scan of the view and the ids
+    any_chosen = marked.agg(F.coalesce(F.max("_chosen"), F.lit(False))).scalar()
     return marked.filter(F.col("_chosen") | ~any_chosen).drop("_chosen")
 
 

@@ -55,6 +55,7 @@ def export_json(
         return False
     ordered = json_rows(df.orderBy(F.col("seq").desc()))
     ordered.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/events")
-    export_metadata(df, filters, summary).write.mode("overwrite").json(f"{path}/metadata")
+    written = df.sparkSession.read.text(f"{path}/events")  # counted instead of working the view out again
+    export_metadata(written, filters, summary).write.mode("overwrite").json(f"{path}/metadata")
     return True
 

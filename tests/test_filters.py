@@ -108,3 +108,24 @@ def test_session_view(spark):
     )
     rows = [tuple(r) for r in session_view(df).select("session", "mode", "events_seen", "status").collect()]
     assert rows == [("17041164", "MANUAL", 3, "completed"), ("unknown", "LIVE", 0, "error")]
+
+
+@pytest.mark.parametrize(
+    "term, hits",
+    [
+        ("/[^]1/", ["a1", "[1"]),  # any character, then 1
+        ("/^[[]/", ["[1", "["]),
+        ("/[a-z&&b]/", ["a1", "b", "&"]),  # a plain class: letters, & and b
+        ("/[]/", []),
+        ("/b$/", ["b"]),
+        ("/[\\]\\[]1/", ["[1"]),
+        ("/(/", []),  # invalid: searched as text
+    ],
+)
+def test_browser_patterns(spark, term, hits):
+    words = ["a1", "[1", "[", "b", "&", "1"]
+    df = spark.createDataFrame([(w,) for w in words], "domain string")
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    match = filters.term_match(term, "domain")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup()) == jobs  # no job for a term
+    assert [r.domain for r in df.filter(match).collect()] == hits
