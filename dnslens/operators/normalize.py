@@ -10,6 +10,7 @@ from dnslens.functions.codes import detect_protocol, lookup, resolve_rcode, reso
 from dnslens.functions.text import first_non_empty, non_empty, strip
 from dnslens.functions.times import iso_micros, parse_iso
 from dnslens.operators.threat import score_events
+from dnslens.session import broadcast_if_small, cut_lineage
 
 # Decoded fields of one packet, as sources hand them to ``build_events``.
 RAW_COLUMNS = (
@@ -140,17 +141,18 @@ def number_lines(df: DataFrame, seq: str = "seq") -> DataFrame:
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_place"),
     )
-    totals = placed.groupBy("_file", "_block").agg(
+    totals = cut_lineage(placed.groupBy("_file", "_block").agg(
         F.count("*").alias("_rows"), F.min("_place").alias("_first")
-    )
-    # one row per file block: small, whatever the data size
+    ))
+    # one row per file block: a window without a partition over these is tolerable (a million of them for 128 TB)
     order = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(
         "_file",
         "_block",
         (F.coalesce(F.sum("_rows").over(order), F.lit(0)) + 1 - F.col("_first")).alias("_shift"),
     )
-    numbered = placed.join(starts, ["_file", "_block"])
+    # counted before it is broadcast, so that the lines themselves need no exchange
+    numbered = placed.join(broadcast_if_small(starts), ["_file", "_block"])
     return numbered.withColumn(seq, F.col("_place") + F.col("_shift")).drop("_file", "_block", "_place", "_shift")
 
 

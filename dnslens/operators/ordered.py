@@ -10,7 +10,6 @@ over the summaries and joined back.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,38 +19,41 @@ from dnslens import dims
 _CHUNK = "_chunk"
 
 
-def _with_chunk(df: DataFrame, seq: str, chunk_rows: int) -> DataFrame:
-    return df.withColumn(_CHUNK, F.col(seq) - F.pmod(F.col(seq), F.lit(chunk_rows)))
+_KEY = "_k"
 
 
-def _join_back(rows: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join the chunk summaries to the rows; null keys meet null keys."""
-    on = [*keys, _CHUNK]
-    renamed = summary.withColumnsRenamed({name: "_s_" + name for name in on})
-    same = reduce(
-        lambda left, right: left & right, [rows[name].eqNullSafe(renamed["_s_" + name]) for name in on]
-    )
-    return rows.join(renamed, same).drop(*["_s_" + name for name in on])
+def _with_chunk(df: DataFrame, keys: Sequence[str], seq: str, chunk_rows: int) -> DataFrame:
+    """Rows with their chunk and their key as one value that is never null (a struct of nulls equals itself).
+
+    Window, summary and join all use this pair, so they share one exchange of the rows.
+    """
+    key = F.struct(*keys) if keys else F.lit(0)
+    return df.withColumns({_KEY: key, _CHUNK: F.col(seq) - F.pmod(F.col(seq), F.lit(chunk_rows))})
+
+
+def _join_back(rows: DataFrame, summary: DataFrame) -> DataFrame:
+    """Join the chunk summaries to the rows."""
+    return rows.join(summary, [_KEY, _CHUNK])
 
 
-def _before(keys: Sequence[str]):
+def _before():
     """All earlier chunks of the key (a window over summaries only)."""
-    return Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    return Window.partitionBy(_KEY).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def with_rank(
     df: DataFrame, keys: Sequence[str], seq: str = "seq", rank: str = "rank", chunk_rows: int = dims.CHUNK_ROWS
 ) -> DataFrame:
     """Exact ``row_number`` per key by ``seq``."""
-    rows = _with_chunk(df, seq, chunk_rows)
-    sizes = rows.groupBy(*keys, _CHUNK).agg(F.count("*").alias("_rows"))
+    rows = _with_chunk(df, keys, seq, chunk_rows)
+    sizes = rows.groupBy(_KEY, _CHUNK).agg(F.count("*").alias("_rows"))
     offsets = sizes.select(
-        *keys, _CHUNK, F.coalesce(F.sum("_rows").over(_before(keys)), F.lit(0)).alias("_offset")
+        _KEY, _CHUNK, F.coalesce(F.sum("_rows").over(_before()), F.lit(0)).alias("_offset")
     )
-    local = Window.partitionBy(*keys, _CHUNK).orderBy(seq)
+    local = Window.partitionBy(_KEY, _CHUNK).orderBy(seq)
     rows = rows.withColumn("_local", F.row_number().over(local))
-    ranked = _join_back(rows, offsets, keys)
-    return ranked.withColumn(rank, F.col("_local") + F.col("_offset")).drop("_local", "_offset", _CHUNK)
+    ranked = _join_back(rows, offsets)
+    return ranked.withColumn(rank, F.col("_local") + F.col("_offset")).drop("_local", "_offset", _CHUNK, _KEY)
 
 
 def with_island(
@@ -64,33 +66,33 @@ def with_island(
 ) -> DataFrame:
     """Label runs of consecutive rows with equal ``values``: the ``seq`` of the run's first row."""
     value = F.struct(*values)
-    local = Window.partitionBy(*keys, _CHUNK).orderBy(seq)
-    rows = _with_chunk(df, seq, chunk_rows)
+    local = Window.partitionBy(_KEY, _CHUNK).orderBy(seq)
+    rows = _with_chunk(df, keys, seq, chunk_rows)
     rows = rows.withColumn("_value", value).withColumn("_prev", F.lag("_value").over(local))
     changed = F.col("_prev").isNotNull() & ~F.col("_value").eqNullSafe(F.col("_prev"))
     rows = rows.withColumn("_start", F.when(changed, F.col(seq)))
     running = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("_local", F.max("_start").over(running))
 
-    summary = rows.groupBy(*keys, _CHUNK).agg(
+    summary = rows.groupBy(_KEY, _CHUNK).agg(
         F.min(seq).alias("_first_seq"),
         F.min_by("_value", seq).alias("_first_value"),
         F.max_by("_value", seq).alias("_last_value"),
         F.max("_start").alias("_last_start"),
     )
-    by_chunk = Window.partitionBy(*keys).orderBy(_CHUNK)
+    by_chunk = Window.partitionBy(_KEY).orderBy(_CHUNK)
     summary = summary.withColumn("_tail", F.lag("_last_value").over(by_chunk))
     continues = F.col("_tail").isNotNull() & F.col("_first_value").eqNullSafe(F.col("_tail"))
     opened = F.when(~continues, F.col("_first_seq"))
     summary = summary.withColumn("_opened", opened)
     latest = F.coalesce(F.col("_last_start"), F.col("_opened"))
     summary = summary.withColumn("_latest", latest)
-    carried = F.last("_latest", ignorenulls=True).over(_before(keys))
-    entry = summary.select(*keys, _CHUNK, F.coalesce(F.col("_opened"), carried).alias("_entry"))
+    carried = F.last("_latest", ignorenulls=True).over(_before())
+    entry = summary.select(_KEY, _CHUNK, F.coalesce(F.col("_opened"), carried).alias("_entry"))
 
-    labelled = _join_back(rows, entry, keys)
+    labelled = _join_back(rows, entry)
     return labelled.withColumn(island, F.coalesce("_local", "_entry")).drop(
-        "_value", "_prev", "_start", "_local", "_entry", _CHUNK
+        "_value", "_prev", "_start", "_local", "_entry", _CHUNK, _KEY
     )
 
 
@@ -103,13 +105,13 @@ def with_previous_max(
     chunk_rows: int = dims.CHUNK_ROWS,
 ) -> DataFrame:
     """Greatest ``col`` among the earlier rows of the key (null for the first)."""
-    local = Window.partitionBy(*keys, _CHUNK).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    rows = _with_chunk(df, seq, chunk_rows)
-    tops = rows.groupBy(*keys, _CHUNK).agg(F.max(col).alias("_top"))
-    tops = tops.select(*keys, _CHUNK, F.max("_top").over(_before(keys)).alias("_before"))
+    local = Window.partitionBy(_KEY, _CHUNK).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    rows = _with_chunk(df, keys, seq, chunk_rows)
+    tops = rows.groupBy(_KEY, _CHUNK).agg(F.max(col).alias("_top"))
+    tops = tops.select(_KEY, _CHUNK, F.max("_top").over(_before()).alias("_before"))
     rows = rows.withColumn("_local", F.max(col).over(local))
-    joined = _join_back(rows, tops, keys)
-    return joined.withColumn(out, F.greatest("_local", "_before")).drop("_local", "_before", _CHUNK)
+    joined = _join_back(rows, tops)
+    return joined.withColumn(out, F.greatest("_local", "_before")).drop("_local", "_before", _CHUNK, _KEY)
 
 
 def newest_per_key(df: DataFrame, keys: Sequence[str], n: int, order: Sequence[Column]) -> DataFrame:

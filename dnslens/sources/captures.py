@@ -42,6 +42,8 @@ _BATCH = 4096
 
 def _pcap_frames(data: bytes) -> Iterator[tuple[float, int, int, bytes]]:
     magic = data[:4]
+    if len(data) < 24:
+        return  # no header, no frames
     order = "<" if magic in (b"\xd4\xc3\xb2\xa1", b"\x4d\x3c\xb2\xa1") else ">"
     unit = 1e-9 if magic in (b"\x4d\x3c\xb2\xa1", b"\xa1\xb2\x3c\x4d") else 1e-6
     (link,) = struct.unpack_from(order + "I", data, 20)
@@ -77,6 +79,13 @@ def _pcapng_frames(data: bytes) -> Iterator[tuple[float, int, int, bytes]]:
             interface, high, low, size, length = struct.unpack_from(order + "IIIII", body, 0)
             link, resolution = links[interface]
             yield ((high << 32) | low) * resolution, link, length, body[20 : 20 + size]
+        elif kind == 2:  # the older packet block
+            interface, _, high, low, size, length = struct.unpack_from(order + "HHIIII", body, 0)
+            link, resolution = links[interface]
+            yield ((high << 32) | low) * resolution, link, length, body[20 : 20 + size]
+        elif kind == 3 and links:  # simple packet block: no time
+            (length,) = struct.unpack_from(order + "I", body, 0)
+            yield 0.0, links[0][0], length, body[4 : 4 + length]
         at += total
 
 
@@ -115,9 +124,10 @@ def _number(data: Column, at: Column, size: int) -> Column:
 def peel_headers(frames: DataFrame) -> DataFrame:
     """Addresses, ports and the transport payload of IP frames (UDP and TCP)."""
     frame, zero = F.col("frame"), F.lit(0)
-    tagged = _number(frame, F.lit(12), 2) == 0x8100
+    tagged, twice = (_number(frame, F.lit(place), 2).isin(0x8100, 0x88A8) for place in (12, 16))
     start = (
-        F.when((F.col("link_type") == 1) & tagged, 18)
+        F.when((F.col("link_type") == 1) & tagged & twice, 22)
+        .when((F.col("link_type") == 1) & tagged, 18)
         .when(F.col("link_type") == 1, 14)
         .when(F.col("link_type") == 113, 16)
         .when(F.col("link_type") == 0, 4)
@@ -143,7 +153,9 @@ def peel_headers(frames: DataFrame) -> DataFrame:
         F.when(v4, _bytes(frame, ip + 16, 4)).otherwise(_bytes(frame, ip + 24, 16)).alias("_destination"),
         F.substring(frame, payload + 1, F.length(frame)).alias("_message"),
     )
-    usable = F.col("_version").isin(4, 6) & F.col("_protocol").isin(6, 17)
+    # later fragments have no ports
+    whole = ~v4 | (_number(frame, ip + 6, 2).bitwiseAND(0x1FFF) == 0)
+    usable = F.col("_version").isin(4, 6) & F.col("_protocol").isin(6, 17) & whole
     # no row for other frames; later filters work on the peeled values
     return step.select(
         *[name for name in frames.columns if name not in ("frame", "link_type")],
@@ -156,14 +168,15 @@ def peel_headers(frames: DataFrame) -> DataFrame:
 
 def _name(data: bytes, at: int) -> tuple[str, int]:
     """A possibly compressed name and the position after it."""
-    labels, end, hops = [], None, 0
+    labels, end, lowest = [], None, at
     while True:
         size = data[at]
         if size >= 0xC0:
             end = at + 2 if end is None else end
-            at, hops = ((size & 0x3F) << 8) | data[at + 1], hops + 1
-            if hops > 64:
+            target = ((size & 0x3F) << 8) | data[at + 1]
+            if target >= lowest:  # pointers lead backwards, else the name loops
                 raise ValueError("name loops")
+            at = lowest = target
             continue
         at += 1
         if size == 0:
@@ -202,15 +215,18 @@ def _message(data: bytes) -> tuple | None:
             at += 4
         answers, ttls = [], []
         response = bool(flags & 0x8000)
-        for _ in range(records if response else 0):
-            _, at = _name(data, at)
-            kind, _, ttl, size = struct.unpack_from("!HHIH", data, at)
-            at += 10
-            text = _record_text(data, at, size, kind)
-            ttls.append(ttl)
-            if text:
-                answers.append(text)
-            at += size
+        try:
+            for _ in range(records if response else 0):
+                _, at = _name(data, at)
+                kind, _, ttl, size = struct.unpack_from("!HHIH", data, at)
+                at += 10
+                text = _record_text(data, at, size, kind)
+                ttls.append(ttl)
+                if text:
+                    answers.append(text)
+                at += size
+        except (struct.error, IndexError, ValueError):
+            pass  # cut off: question, header and the answers read so far stay
         return number, response, flags & 15, domain, qtype, answers, ttls
     except (struct.error, IndexError, ValueError):
         return None

@@ -138,3 +138,29 @@ def test_batches_continue_from_the_last_alert():
     assert sorted(kept["seq"]) == [2, 3, 4] and last == {"a": 30_000_000, "b": 5_000_000}
     last = {"a": 11_000_000}
     assert len(suppress_batch([frame[:1]], 10_000_000, last)) == 0 and last == {"a": 11_000_000}
+
+
+@pytest.mark.parametrize("operator", [lambda f: with_rank(f, ["key"]), lambda f: with_island(f, ["key"], ["v"]), lambda f: with_previous_max(f, ["key"], "n")])
+def test_rows_are_exchanged_once(spark, frame, operator):
+    """Window and join of the rows share one exchange; the other is that of the chunk summaries' keys."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = operator(frame)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning(_k" in line]
+    rows = [line for line in exchanges if "_chunk" in line]
+    assert len(rows) <= 3, plan  # rows once; their summary (from the same partitioning) after its window
+
+
+def test_alerts_without_times(spark):
+    rows = [(i, None if i % 2 else f"2024-01-01 00:00:{i:02d}", "a.example", "high", ["r"]) for i in range(10)]
+    frame = spark.createDataFrame(rows, "seq bigint, ts string, domain string, threat_level string, threat_reasons array<string>")
+    frame = frame.withColumn("event_ts", F.col("ts").cast("timestamp"))
+    for scope in ("domain", "arrival"):
+        for limit in (1, 1000):
+            got = sorted(r.seq for r in alerts(frame, "10 seconds", scope=scope, max_group_rows=limit).collect())
+            assert got == [0, 1, 3, 5, 7, 9], (scope, limit)
+    nothing = frame.filter("event_ts is null")
+    assert alerts(nothing, "10 seconds").count() == alerts(nothing, "10 seconds", max_group_rows=1).count() == 5

@@ -191,3 +191,28 @@ def test_packet_report(packets):
     rows = packet_metadata(packets).filter("transport = 'TCP' or qtype = 'NS'").collect()
     assert {(r.iso_time, r.domain, r.qtype, r.is_response) for r in rows} == {
         ("2023-11-14T22:13:22+00:00", "t.example", "TXT", True), ("2023-11-14T22:13:26+00:00", "", "NS", False)}
+
+
+def test_captures_with_damage(spark, tmp_path):
+    cut = message(5, 0x8180, "cut.example", 1, [(1, 30, b"\x01\x02\x03\x04"), (1, 40, b"\x05\x06\x07\x08")])[:-6]
+    # 71 labels, each before a pointer to the one written earlier
+    places, names = [12], b"\1a\0"
+    for _ in range(70):
+        places.append(12 + len(names))
+        names += b"\1b" + struct.pack("!H", 0xC000 | places[-2])
+    assert captures._name(b"\0" * 12 + names, places[-1])[0].count(".") == 70
+    assert captures._message(cut)[3:6] == ("cut.example", 1, ["1.2.3.4"])
+    with pytest.raises(ValueError):
+        captures._name(b"\xc0\x00", 0)
+    double = packet(message(8, 0x0100, "vlan.example", 1), "10.0.0.1", "1.1.1.1", 40000, 53, vlan=True)
+    double = double[:12] + b"\x88\xa8\0\7" + double[12:]
+    late = bytearray(packet(message(9, 0x0100, "late.example", 1), "10.0.0.1", "1.1.1.1", 40000, 53))
+    late[14 + 7] = 5  # a later fragment
+    (tmp_path / "empty.pcap").write_bytes(b"")
+    (tmp_path / "odd.pcap").write_bytes(pcap([(1.0, double), (2.0, bytes(late))]))
+    simple = packet(message(10, 0x0100, "simple.example", 1), "10.0.0.1", "1.1.1.1", 40000, 53)
+    body = struct.pack("<I", len(simple)) + simple + b"\0" * (-len(simple) % 4)
+    size = struct.pack("<I", len(body) + 12)
+    (tmp_path / "simple.pcapng").write_bytes(pcapng([]) + struct.pack("<I", 3) + size + body + size)
+    rows = captures.read_captures(spark, str(tmp_path)).collect()
+    assert sorted((r.dns_id, r.domain) for r in rows) == [(8, "vlan.example"), (10, "simple.example")]
