@@ -135,12 +135,14 @@ def number_lines(df: DataFrame, seq: str = "seq") -> DataFrame:
     first number, and the row's place in its block does the rest. No row moves
     between tasks, except for the join with the small totals.
     """
-    placed = df.select(
-        "*",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_place"),
+    return number_placed(
+        df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")), seq
     )
+
+
+def number_placed(df: DataFrame, seq: str = "seq") -> DataFrame:
+    """``number_lines`` for rows that carry ``_file`` and ``_block`` already (a stream's micro-batch)."""
+    placed = df.withColumn("_place", F.monotonically_increasing_id())
     totals = cut_lineage(placed.groupBy("_file", "_block").agg(
         F.count("*").alias("_rows"), F.min("_place").alias("_first")
     ))

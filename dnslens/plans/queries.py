@@ -15,7 +15,7 @@ from dnslens.functions import text, threat, times
 from dnslens.functions.codes import method_class, resolve_rcode, resolve_record_type
 from dnslens.operators import alerts as al
 from dnslens.operators import filters, sessions, sets, summary, views, windows
-from dnslens.operators.normalize import build_events, normalize_events, orient, packet_metadata
+from dnslens.operators.normalize import build_events, normalize_events, orient, packet_metadata, with_event_id
 from dnslens.operators.threat import (
     apply_redirect,
     name_features,
@@ -30,6 +30,7 @@ from dnslens.plans import tables as t
 from dnslens.sinks import exports, ledger, packets, store
 from dnslens.sources import captures, envelopes, fields, scans
 from dnslens.sources.sessions import read_sessions
+from dnslens.streaming import arrival
 from dnslens.streaming import events as streams
 from dnslens.streaming.run import drain_append, drain_update, new_folder
 
@@ -712,6 +713,42 @@ def _stream(spark: SparkSession, folder: str) -> DataFrame:
     return streams.enrich(t.raw_stream(spark, folder), t.TOOL, t.MODE)
 
 
+def _landed(spark: SparkSession, lines: DataFrame) -> DataFrame:
+    """A stream of the lines (``seq``, ``value``), which land in order as four files, one a micro-batch."""
+    path = new_folder(spark, "landing")
+    marks = lines.agg(F.percentile("seq", [0.25, 0.5, 0.75])).first()[0] or []
+    for low, high in zip([None, *marks], [*marks, None]):
+        part = lines
+        part = part if low is None else part.filter(F.col("seq") > low)
+        part = part if high is None else part.filter(F.col("seq") <= high)
+        part.coalesce(1).sortWithinPartitions("seq").select("value").write.mode("append").text(path)
+    return arrival.follow_lines(spark, path, files_per_trigger=1)
+
+
+@query
+def stream_fields_events(spark, folder):
+    """Events of field files that land one after another, numbered over all micro-batches."""
+    def events(lines):
+        return build_events(fields.parse_fields(lines), "tshark", "manual", score=False)
+
+    landed = _landed(spark, derived.field_lines(t.raw(spark, folder)))
+    return flat(arrival.drain_numbered(landed, events, "fields").select("seq", "id", "domain", "event_ts"))
+
+
+@query
+def stream_envelope_events(spark, folder):
+    landed = _landed(spark, derived.envelope_lines(t.raw(spark, folder)))
+    numbered = arrival.drain_numbered(landed, lambda lines: with_event_id(envelopes.parse_envelopes(lines).events), "envelopes")
+    return flat(numbered.select("seq", "id", "event_ts", "domain", "source_ip", "tool"))
+
+
+@query
+def stream_envelope_status(spark, folder):
+    """The status messages of envelope files, numbered with all other lines."""
+    landed = _landed(spark, derived.envelope_lines(t.raw(spark, folder)))
+    return arrival.drain_numbered(landed, lambda lines: envelopes.parse_envelopes(lines).status, "status").select("seq", "status", "note")
+
+
 @query
 def stream_threat_scores(spark, folder):
     return _scores(drain_append(_stream(spark, folder), "scores"))

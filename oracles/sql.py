@@ -441,6 +441,16 @@ SELECT ev.seq, 'evt-' || ev.seq AS id, CASE WHEN ev.seq % 7 = 6 THEN NULL ELSE e
 FROM ev JOIN dns_raw r ON r.seq = ev.seq WHERE r.domain IS NOT NULL""")
 oracle("fields_file_ingest", RAW + ", n AS (SELECT *, row_number() OVER (ORDER BY seq) AS line FROM dns_raw)", """
 SELECT line AS seq, domain, CASE WHEN seq % 7 = 6 THEN NULL ELSE event_ts END AS event_ts FROM n WHERE domain IS NOT NULL""")
+NUMBERED = ", n AS (SELECT seq AS old, row_number() OVER (ORDER BY seq) AS line FROM dns_raw)"
+oracle("stream_fields_events", RAW + NUMBERED, """
+SELECT line AS seq, 'evt-' || line AS id, domain, CASE WHEN seq % 7 = 6 THEN NULL ELSE event_ts END AS event_ts
+FROM dns_raw JOIN n ON old = seq WHERE domain IS NOT NULL""")
+oracle("stream_envelope_events", EVENTS + NUMBERED, """
+SELECT line AS seq, 'evt-' || line AS id, ev.event_ts, CASE WHEN ev.seq % 5 = 1 THEN 'unknown' ELSE ev.domain END AS domain, ev.source_ip,
+ CASE WHEN ev.seq % 5 = 3 THEN 'scapy' ELSE 'auto' END AS tool FROM ev JOIN n ON old = ev.seq WHERE ev.seq % 11 NOT IN (3, 5, 6, 7, 8, 9)""")
+oracle("stream_envelope_status", RAW + NUMBERED, """
+SELECT line AS seq, ['running', 'completed', 'running', 'stopping', 'interrupted'][seq % 5 + 1] AS status, 'note ' || seq AS note
+FROM dns_raw JOIN n ON old = seq WHERE seq % 11 = 3""")
 oracle("envelope_events", EVENTS, """
 SELECT ev.session_id, ev.seq, ev.event_ts,
  CASE WHEN ev.seq % 5 = 1 THEN 'unknown' ELSE ev.domain END AS domain,
