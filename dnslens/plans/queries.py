@@ -806,3 +806,15 @@ def stream_store(spark, folder):
     store.stream_to_store(_stream(spark, folder), path, checkpoint, every=None).awaitTermination()
     now, _ = streams.consume(spark, path)
     return now.select("seq", "id", "domain", "threat_score")
+
+
+@query
+def stream_handover(spark, folder):
+    """A consumer takes its snapshot after part of the events; what the stream then delivers."""
+    path = new_folder(spark, "store")
+    events = t.events(spark, folder)
+    cut = (events.agg(F.max("seq")).first()[0] or 0) * 3 // 5
+    store.write_events(events.filter(F.col("seq") <= cut), path)
+    _, later = streams.consume(spark, path, 20)
+    store.write_events(events.filter(F.col("seq") > cut), path)
+    return drain_append(later, "increments").select("seq", "id", "domain", "threat_score")

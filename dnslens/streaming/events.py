@@ -85,6 +85,12 @@ def alerts(
 
 
 def consume(spark: SparkSession, store: str, rows: int = 500) -> tuple[DataFrame, DataFrame]:
-    """What a new consumer reads: the newest events now, and a stream of the store from then on."""
+    """What a new consumer reads: the newest events now, and a stream of those that arrive from then on.
+
+    The hand-over is the snapshot's highest arrival number: the stream passes later events
+    only, each once, and none that the store held already.
+    """
     now = spark.read.parquet(store)
-    return latest(now, rows), spark.readStream.schema(now.schema).parquet(store)
+    last = now.agg(F.max("seq")).first()[0]
+    later = spark.readStream.schema(now.schema).parquet(store)
+    return latest(now, rows), later if last is None else later.filter(F.col("seq") > last)

@@ -536,4 +536,6 @@ oracle("stream_totals", EVENTS, "SELECT count(*) AS total_events, arg_max(event_
 oracle("stream_traffic", EVENTS, """
 SELECT date_trunc('hour', event_ts) AS bucket_start, count(*) AS events FROM ev GROUP BY 1
 HAVING date_trunc('hour', event_ts) + INTERVAL 1 HOUR <= (SELECT max(event_ts) FROM ev)""")
+oracle("stream_handover", SCORED, """
+SELECT seq, id, domain, threat_score FROM scored WHERE seq > (SELECT max(seq) * 3 // 5 FROM scored)""")
 oracle("stream_store", SCORED, "SELECT seq, id, domain, threat_score FROM scored ORDER BY seq DESC LIMIT 500")
