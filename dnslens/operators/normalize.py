@@ -45,8 +45,13 @@ def orient(df: DataFrame) -> DataFrame:
     )
 
 
-def build_events(df: DataFrame, tool: str, mode: str, score: bool = True, **scoring) -> DataFrame:
-    """Events from decoded fields (``RAW_COLUMNS``); further columns are dropped, except ``session_id``."""
+def build_events(
+    df: DataFrame, tool: str, mode: str, score: bool = True, max_answers: int | None = dims.MAX_ANSWERS, **scoring
+) -> DataFrame:
+    """Events from decoded fields (``RAW_COLUMNS``); further columns are dropped, except ``session_id``.
+
+    An event lists its first ``max_answers`` answers (``None``: all); ``answer_count`` counts all of them.
+    """
     transport = F.lower(F.col("transport"))
     port = _or(F.col("destination_port").cast("string"), "53")
     answers = F.when(F.size("answers") > 0, F.col("answers"))
@@ -69,7 +74,7 @@ def build_events(df: DataFrame, tool: str, mode: str, score: bool = True, **scor
         F.lit(dims.CONFIDENCE).alias("confidence"),
         F.lit(dims.EVENT_SOURCE).alias("source"),
         F.col("ttl").cast("bigint").alias("ttl"),
-        F.slice(answers, 1, dims.MAX_ANSWERS).alias("answers"),
+        (answers if max_answers is None else F.slice(answers, 1, max_answers)).alias("answers"),
         F.when(answers.isNotNull(), F.size(answers)).cast("int").alias("answer_count"),
         F.col("is_response").alias("is_response"),
     )

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dnslens import dims
+from dnslens.functions.codes import min_ttl
 from dnslens.functions.text import clean_domain
 
 FRAME_SCHEMA = "path string, frame_no bigint, epoch double, link_type int, packet_length int, frame binary"
@@ -269,13 +270,17 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
     return decode_frames(read_frames(spark, path))
 
 
-def capture_fields(packets: DataFrame) -> DataFrame:
+def capture_fields(packets: DataFrame, max_answers: int | None = dims.MAX_FRAME_ANSWERS) -> DataFrame:
     """Raw records for ``build_events`` from packet records; orient them first if clients shall be the source.
 
-    Packets without a question are dropped. At most 20 answers are read.
+    Packets without a question are dropped. The first ``max_answers`` answers are read (``None``: all).
     """
     response = F.col("is_response")
-    answers = F.slice("answers", 1, dims.MAX_FRAME_ANSWERS)
+
+    def read(name: str) -> Column:
+        return F.col(name) if max_answers is None else F.slice(name, 1, max_answers)
+
+    answers = read("answers")
     order = F.col("seq") if "seq" in packets.columns else F.monotonically_increasing_id()
     moment = F.timestamp_micros(F.rint(F.col("epoch") * F.lit(1e6)).cast("bigint"))
     return packets.withColumn("domain", clean_domain(F.col("domain"))).filter(F.col("domain").isNotNull()).select(
@@ -288,7 +293,7 @@ def capture_fields(packets: DataFrame) -> DataFrame:
         "transport",
         F.col("destination_port").cast("string").alias("destination_port"),
         F.when(response, F.col("rcode").cast("string")).alias("rcode_raw"),
-        F.when(response, F.array_min(F.slice("ttls", 1, dims.MAX_FRAME_ANSWERS))).alias("ttl"),
+        F.when(response, min_ttl(read("ttls"))).alias("ttl"),
         F.when(response & (F.size(answers) > 0), answers).alias("answers"),
         "is_response",
     )
