@@ -142,7 +142,7 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = large.filter("a <> b").distinct()
+        small = large.filter("a <> b")
         low = small.groupBy("a").agg(F.min("b").alias("m"))
         hung = small.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         edges = staged(hung.filter("a <> b").distinct())
@@ -154,6 +154,13 @@ def components(links: DataFrame) -> DataFrame:
         edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 
 
+def _two_steps(links: DataFrame) -> DataFrame:
+    """node, comp: where two steps along links (a, b), one per a, lead. Nodes with one label are connected;
+    not all connected ones need have one label."""
+    onward = links.select(F.col("a").alias("b"), F.col("b").alias("c"))
+    return staged(links.join(onward, "b", "left").select(F.col("a").alias("node"), F.coalesce("c", "b").alias("comp")))
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets share ``percent`` of their union."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left_set"))
@@ -229,10 +236,10 @@ def proposals(tasks: DataFrame, most: int, end: int) -> DataFrame:
 def _tasks(members: DataFrame, comp: DataFrame) -> DataFrame:
     """The blocks of members that must still be compared: task, side, doc_id, comp.
 
-    In a bucket, members of the component that its least member belongs to are the inside, the others
+    In a bucket, members with the label of its least member are the inside, the others
     the outside. Links may be missing between outside and inside and among the outside. Both are dealt
     into blocks; a task gets an outside block (side 1) and another block. Work so grows with the
-    outside, which is empty once a bucket's copies are one component.
+    outside, which is empty once a bucket's copies have one label.
     """
     own = members.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "bucket", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
@@ -265,40 +272,36 @@ def near_components(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
     ``docs``: doc_id, _text (bytes). Documents with the same set are one class, and only its least
     doc_id is compared. Classes that share a band are candidates; equal buckets are looked at once.
     First every class is compared with the least candidate of its buckets. Where that leaves several
-    components in a bucket, rounds propose the likeliest pairs across components by odd sketch until
-    no pair below the bound on differing bits is left, so a large group of copies costs one pair per
-    copy, and no link between different sets is passed over. All links are confirmed on full sets.
+    labels in a bucket, rounds propose the likeliest pairs across labels by odd sketch until no pair
+    below the bound on differing bits is left, so a large group of copies costs a few pairs per copy,
+    and no link between different sets is passed over. All links are confirmed on full sets.
     """
     marks = staged(signatures(docs, size))
-    classes = marks.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    reps = marks.join(classes.select(F.col("rep").alias("doc_id"), F.col("set_key")), ["doc_id", "set_key"])
-    exploded = reps.select("doc_id", F.explode("bands").alias("bucket")).distinct()
+    classes = staged(marks.filter("set_key is not null").groupBy("set_key").agg(
+        F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    exploded = classes.select(F.col("rep").alias("doc_id"), F.explode("bands").alias("bucket"))
     buckets = exploded.groupBy("bucket").agg(
         F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.bit_xor(F.xxhash64("doc_id")).alias("mark")).filter("n > 1")
     once = buckets.groupBy("n", "lo", "mark").agg(F.min("bucket").alias("bucket"))
     members = staged(exploded.join(once.select("bucket", "lo"), "bucket"))
-    wanted = members.select("doc_id").distinct()
+    first = members.groupBy("doc_id").agg(F.min("lo").alias("b")).select(F.col("doc_id").alias("a"), "b")
+    wanted = first.select(F.col("a").alias("doc_id"))
     sets = staged(shingle_sets(squeezed(docs).join(wanted, "doc_id"), size).dropDuplicates(["doc_id"]))
-    sketches = staged(reps.select("doc_id", "sketch").join(wanted, "doc_id").dropDuplicates(["doc_id"]))
+    sketches = classes.select(F.col("rep").alias("doc_id"), "sketch")
     most = most_bits(percent, BANDS * ROWS)
-    first = members.filter("doc_id <> lo").groupBy("doc_id").agg(F.min("lo").alias("b")).select(F.col("doc_id").alias("a"), "b")
-    links = staged(confirmed(first, sets, percent))
-    comp = staged(components(links))
-    end, open_members = PROPOSED, members
-    tried = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    links = staged(confirmed(first.filter("a <> b"), sets, percent))
+    label, end, open_members = _two_steps(links), PROPOSED, members
     while True:
-        found = staged(proposals(_tasks(open_members, comp).join(sketches, "doc_id"), most, end))
+        found = staged(proposals(_tasks(open_members, label).join(sketches, "doc_id"), most, end))
         pairs = found.filter("not more").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"))
-        new = staged(confirmed(pairs, sets, percent))
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            comp = staged(components(links))
+        links = links.unionByName(staged(confirmed(pairs, sets, percent)))
         again = found.filter("more").select(F.col("a").alias("bucket")).distinct()
         if again.isEmpty():
-            break  # every pair across components was proposed, and so confirmed or refuted
-        open_members, tried, end = open_members.join(again, "bucket"), tried.unionByName(pairs), end * 4
-    whole = marks.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left").join(
+            break  # every pair across labels was proposed, and so confirmed or refuted
+        label, end = staged(components(links)), end * 4
+        open_members = open_members.join(again, "bucket")
+    comp = components(links)
+    whole = marks.select("doc_id", "n_shingles", "set_key").join(classes.select("set_key", "rep"), "set_key", "left").join(
         comp.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("comp", "rep", "doc_id")
     return whole.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
