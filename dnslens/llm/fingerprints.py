@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from dnslens.llm.common import WORD_BREAK, read_table
+from dnslens.session import broadcast_if_small
 
 SHINGLE = 5
 #: One hash in so many is retained.
 SCALE = 8
-#: Ranges of keys that documents are dealt into to find each one's successor.
-RANGES = 256
+#: Ranges of keys (by quantiles) that documents are dealt into to find each one's successor, and documents
+#: that one should hold: ranges with more are cut into as many parts of equal width as the table needs.
+RANGES, RANGE_DOCUMENTS = 256, 20_000
+#: Ranges whose first ids are broadcast (16 bytes each).
+BROADCAST_RANGES = 100_000
 
 
 def word_hashes(text: Column) -> Column:
@@ -86,25 +90,39 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     return marked.select(key, F.length("_text").cast("long").alias("n_chars"), "sketch", as_text(F.col("sketch")).alias("fingerprint"))
 
 
-def with_next(docs: DataFrame, carried: list[str], ranges: int = RANGES) -> DataFrame:
+def _dealt(docs: DataFrame, ranges: int, documents: int) -> DataFrame:
+    """``docs`` with ``_range``, which rises with doc_id; null ids have none."""
+    marks = [i / ranges for i in range(ranges + 1)]
+    bounds, count = docs.agg(F.percentile_approx("doc_id", marks, 10_000), F.count("doc_id")).first()
+    if not count:
+        return docs.withColumn("_range", F.lit(None).cast("long"))
+    steps = sorted(set(bounds))
+    parts = max(1, -(-count // (documents * ranges)))
+    table, key = F.array(*[F.lit(x) for x in steps]), F.col("doc_id")
+    place = F.greatest(F.size(F.filter(table, lambda x: x <= key)), F.lit(1))
+    low = F.element_at(table, place).cast("double")
+    width = F.element_at(table, F.least(place + 1, F.lit(len(steps)))).cast("double") - low + 1
+    part = F.floor((key.cast("double") - low) / width * parts)
+    inside = F.greatest(F.lit(0), F.least(F.lit(parts - 1), part))  # quantiles are approximate at the ends
+    return docs.withColumn("_range", F.when(key.isNotNull(), place.cast("long") * parts + inside))
+
+
+def with_next(docs: DataFrame, carried: list[str], ranges: int = RANGES, documents: int = RANGE_DOCUMENTS) -> DataFrame:
     """``next``: struct of the ``carried`` columns of the document that follows in descending doc_id, cyclically.
 
-    Documents are dealt into ranges of doc_id (bounds from approximate quantiles, at most ``ranges`` + 1
-    numbers on the driver) and follow each other within a range by a window; each range also gets a copy
-    of the first row of the range below it, so the text moves once. Repeated ids follow each other by the
-    hash of the carried columns. Rows without an id are a range of their own, whose last row has no next.
+    Documents are dealt into ranges of doc_id (at most ``ranges`` + 1 bounds come to the driver), their
+    number growing with the table, and follow each other within a range by a window; each range also gets
+    a copy of the first row of the range below it, so the text moves once. What is gathered in one place
+    is one number per range. Repeated ids follow each other by the hash of the carried columns. Rows
+    without an id are a range of their own, whose last row has no next.
     """
-    marks = [i / ranges for i in range(ranges + 1)]
-    bounds = docs.agg(F.percentile_approx("doc_id", marks, 10_000)).first()[0] or []
-    steps = F.array(*[F.lit(x) for x in sorted(set(bounds))]) if bounds else F.array().cast("array<bigint>")
-    dealt = docs.withColumn("_range", F.when(F.col("doc_id").isNotNull(), F.size(F.filter(steps, lambda x: x <= F.col("doc_id")))))
+    dealt = _dealt(docs, ranges, documents)
     heads = dealt.filter("doc_id is not null").groupBy("_range").agg(F.max("doc_id").alias("head"))
-    above = W.orderBy("_range")
-    below = heads.select(F.col("head"), F.lead("_range").over(above).alias("_to"))
     # the highest range's first row follows the lowest range
     lowest = heads.agg(F.min("_range")).scalar()
-    copies = below.select(F.col("head").alias("_head"), F.coalesce("_to", lowest).alias("_to"))
-    extra = dealt.join(F.broadcast(copies), F.col("doc_id") == F.col("_head")).withColumn("_range", F.col("_to")).drop("_head", "_to")
+    above = F.coalesce(F.lead("_range").over(W.orderBy("_range")), lowest)
+    copies = broadcast_if_small(heads.select(F.col("head").alias("_head"), above.alias("_to")), BROADCAST_RANGES)
+    extra = dealt.join(copies, F.col("doc_id") == F.col("_head")).withColumn("_range", F.col("_to")).drop("_head", "_to")
     both = dealt.withColumn("_copy", F.lit(False)).unionByName(extra.withColumn("_copy", F.lit(True)))
     order = W.partitionBy("_range").orderBy("_copy", F.desc("doc_id"), F.xxhash64(*carried))
     return both.withColumn("next", F.lead(F.struct(*carried)).over(order)).filter(~F.col("_copy")).drop("_copy", "_range")

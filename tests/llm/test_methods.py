@@ -130,6 +130,15 @@ def test_fingerprints(spark):
         assert row.near_next == pytest.approx(alike(own, _sketch(following)))
 
 
+@pytest.mark.parametrize("ranges, documents", [(256, 20_000), (4, 3), (1, 1)])
+def test_next_document(make_docs, ranges, documents):
+    ids = random.Random(5).sample(range(-(10**15), 10**15), 40) + list(range(60))
+    docs = make_docs([(i, f"t{i}") for i in ids]).select("doc_id", "text")
+    order = sorted(ids, reverse=True)
+    out = {r.doc_id: r.next.text for r in fingerprints.with_next(docs, ["text"], ranges, documents).collect()}
+    assert out == {i: f"t{order[(k + 1) % len(order)]}" for k, i in enumerate(order)}
+
+
 def test_containment_of_unequal_documents(spark, make_docs):
     rng = random.Random(7)
     words = [f"w{rng.randrange(10**6)}" for _ in range(40_000)]
