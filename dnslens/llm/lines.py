@@ -17,29 +17,37 @@ BROADCAST_LEAVES = 200_000
 WILD = "<*>"
 
 
-def _families(text: Column) -> tuple[Column, Column]:
-    """Two marks that copies and edited copies of a text mostly share: its sentences' least digests, by either half."""
+def _sentence_digests(text: Column) -> Column:
     sentences = F.filter(F.transform(F.split(text, r"[.!?\n]+"), lambda s: F.trim(s)), lambda s: s != "")
-    digests = F.transform(sentences, lambda s: F.md5(s))
+    return F.transform(sentences, lambda s: F.md5(s))
+
+
+def _families(digests: Column) -> tuple[Column, Column]:
+    """Two marks that copies and edited copies of a text mostly share: its sentences' least digests, by either half."""
     return (F.array_min(F.transform(digests, lambda d: F.substring(d, 1, 16))),
             F.array_min(F.transform(digests, lambda d: F.substring(d, 17, 16))))
 
 
-def _tokens(line: Column) -> Column:
-    """The tokens of a line; those with a digit are variable fields."""
-    return F.transform(F.split(F.trim(line), " +"), lambda token: F.when(token.rlike("[0-9]"), F.lit(WILD)).otherwise(token))
+def _masked(tokens: Column) -> Column:
+    """Tokens with a digit are variable fields."""
+    return F.transform(tokens, lambda token: F.when(token.rlike("[0-9]"), F.lit(WILD)).otherwise(token))
 
 
 def _leaf(tokens: Column) -> Column:
-    return F.xxhash64(F.size(tokens), F.slice(tokens, 1, DEPTH))
+    return F.xxhash64(F.size(tokens), _masked(F.slice(tokens, 1, DEPTH)))
 
 
 def _exploded(docs: DataFrame, *carried: str) -> DataFrame:
     lines = docs.select("row", *carried, F.posexplode(F.split("_text", "\n")).alias("pos", "line"))
-    tokens = lines.select("row", "pos", *carried, _tokens(F.col("line")).alias("tokens"))
+    tokens = lines.select("row", "pos", *carried, F.split(F.trim("line"), " +").alias("tokens"), F.col("line").rlike("[0-9]").alias("digits"))
     return tokens.filter(F.size("tokens") >= DEPTH).withColumn("leaf", _leaf(F.col("tokens")))
 
 
+def _own() -> Column:
+    """The tokens of a line, masked; most lines hold no digit and need no look at each token."""
+    return F.when(F.col("digits"), _masked(F.col("tokens"))).otherwise(F.col("tokens"))
+
+
 def recurring_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """row, pos of the lines whose template recurs. ``docs``: row (a hash that equal rows share), _text.
 
@@ -51,13 +59,14 @@ def recurring_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> Data
     other hold it, and these are at least half of all that do: lines that only the copies of one text
     share are left to the near-duplicate stage, which sees the whole texts.
     """
-    one, two = _families(F.col("_text"))
-    marked = docs.select("row", "_text", one.alias("one"), two.alias("two"))
+    one, two = _families(F.col("digests"))
+    # the digests are a column of their own, so that they are made once for both marks
+    marked = docs.withColumn("digests", _sentence_digests(F.col("_text"))).select("row", "_text", one.alias("one"), two.alias("two"))
     lines = staged(_exploded(marked, "one", "two").select(
-        "row", "pos", F.xxhash64("one").alias("one"), F.xxhash64("two").alias("two"), "leaf", F.xxhash64("tokens").alias("own")))
+        "row", "pos", F.xxhash64("one").alias("one"), F.xxhash64("two").alias("two"), "leaf", F.xxhash64(_own()).alias("own")))
     reached = lines.groupBy("leaf").agg(F.count_distinct("row").alias("docs")).filter(F.col("docs") >= min_documents)
     frequent = broadcast_if_small(staged(reached.select("leaf")), BROADCAST_LEAVES)
-    hashed = _exploded(docs).join(frequent, "leaf").select(
+    hashed = _exploded(docs).join(frequent, "leaf").select("leaf", _own().alias("tokens")).select(
         "leaf", F.xxhash64("tokens").alias("own"), F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens"))
     distinct = staged(hashed.groupBy("leaf", "own").agg(F.first("tokens").alias("tokens"), F.count("*").alias("n")))
     totals = distinct.groupBy("leaf").agg(F.sum("n").alias("total"))
