@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from dnslens.llm.common import blocks, read_table, staged, text_bytes
 
 #: Labelled texts the models are fitted on at most (those with the least hash of their id), and features a category takes.
-SAMPLE, FEATURES = 20_000, 20_000
+SAMPLE, FEATURES = 20_000, 5_000
 #: A feature must stand in so many labelled texts, and deviate by so many standard deviations.
 LEAST_TEXTS, LEAST_Z = 3, 4.0
-FOLDS = 5
+FOLDS = 3
 THRESHOLD = 0.4
 PREFIXES = (4, 5, 6, 7)
 EDGES = ".,!?;:\"'()[]{}|<>*%#…«»"
@@ -60,7 +60,7 @@ class Linear:
         return float(1 / (1 + np.exp(-np.clip(score, -40, 40))))
 
 
-def fit_linear(rows: np.ndarray, columns: np.ndarray, dense: np.ndarray, y: np.ndarray, width: int, steps: int = 120,
+def fit_linear(rows: np.ndarray, columns: np.ndarray, dense: np.ndarray, y: np.ndarray, width: int, steps: int = 80,
                l2: float = 1e-4) -> Linear:
     """Fitted by accelerated gradient steps over (row, column) pairs of present features and dense columns."""
     n = len(y)

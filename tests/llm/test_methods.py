@@ -240,7 +240,7 @@ def test_chain_uses_earlier_probabilities():
     first = rng.integers(0, 2, n)
     rows, columns = np.arange(n), first  # feature 0 or 1 tells the first category
     labels = np.stack([first, first], axis=1).astype(float)
-    models = toxicity.fit_chain(rows, columns, np.zeros((n, toxicity.SHAPES)), labels, np.arange(n) % 5, 2)
+    models = toxicity.fit_chain(rows, columns, np.zeros((n, toxicity.SHAPES)), labels, np.arange(n) % 3, 2)
     assert len(models[1].dense) == len(models[0].dense) + 1 and models[1].dense[toxicity.SHAPES] > 0.3
     chain = toxicity.Chain(["a", "b"], {}, models)
     low, high = (chain.probabilities(np.array([i]), [0.0] * toxicity.SHAPES) for i in (0, 1))
