@@ -21,6 +21,8 @@ SKETCH_BITS = 512
 DEVIATIONS = 6.0
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 1024
+#: Documents whose ids are broadcast to pick their sets (8 bytes each).
+FILTER_IDS = 200_000
 #: Partners that a document proposes in the first round; each round takes four times as many.
 PROPOSED = 4
 
@@ -162,7 +164,13 @@ def _two_steps(links: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets share ``percent`` of their union."""
+    """The pairs (a, b) whose full sets share ``percent`` of their union.
+
+    If the pairs name few documents (at most ``FILTER_IDS``, counted), only their sets go through the shuffles.
+    """
+    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    if needed.limit(FILTER_IDS + 1).count() <= FILTER_IDS:
+        sets = sets.join(F.broadcast(needed), "doc_id", "left_semi")
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left_set"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right_set"))
     both = F.size(F.array_intersect("left_set", "right_set"))
@@ -286,7 +294,8 @@ def near_components(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
     members = staged(exploded.join(once.select("bucket", "lo"), "bucket"))
     first = members.groupBy("doc_id").agg(F.min("lo").alias("b")).select(F.col("doc_id").alias("a"), "b")
     wanted = first.select(F.col("a").alias("doc_id"))
-    sets = staged(shingle_sets(squeezed(docs).join(wanted, "doc_id"), size).dropDuplicates(["doc_id"]))
+    # repeated rows of one id give it several sets: a link of any of them counts
+    sets = staged(shingle_sets(squeezed(docs).join(wanted, "doc_id"), size))
     sketches = classes.select(F.col("rep").alias("doc_id"), "sketch")
     most = most_bits(percent, BANDS * ROWS)
     links = staged(confirmed(first.filter("a <> b"), sets, percent))
