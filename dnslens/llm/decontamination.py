@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then local alignment."""
+"""Benchmark decontamination: n-gram seeds, an exact bound on the score, then local alignment."""
 
 from __future__ import annotations
 
@@ -9,13 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dnslens.llm.common import blocks, mix, read_table, staged, text_bytes
+from dnslens.llm.common import blocks, mix, read_table, text_bytes
 
 SEED = 4
 #: Text of the test items that one pass over the documents looks for; more items take more passes.
 PASS_BYTES = 4 << 20
-#: Of an item's seeds the rarest part is used, and so many at least.
-RARE_SHARE, RARE_LEAST = 0.5, 8
 #: An alignment counts if its score is this share of the item's words.
 MIN_SCORE = 0.5
 MATCH, MISMATCH, GAP = 1.0, -1.0, -1.0
@@ -38,10 +36,16 @@ class Items:
             for word in own:
                 self.vocabulary.setdefault(word, len(self.vocabulary) + 1)
         self.words = {item: np.array([self.vocabulary[w] for w in own], np.int64) for item, own in words.items() if own}
-        #: (item, gram); items shorter than a seed are one gram
-        self.grams = [(item, int(g)) for item, own in self.words.items() for g in np.unique(seeds_of(own, min(SEED, len(own))))]
+        #: the distinct words and grams of each item; items shorter than a seed are one gram
+        self.distinct = {item: np.unique(own) for item, own in self.words.items()}
+        each = {item: np.unique(seeds_of(own, min(SEED, len(own)))) for item, own in self.words.items()}
         self.sizes = sorted({min(SEED, len(own)) for own in self.words.values()})
-        self.index = np.unique(np.array([g for _, g in self.grams], np.int64))
+        grams = np.concatenate([np.zeros(0, np.int64), *each.values()])
+        order = np.argsort(grams, kind="stable")
+        #: the grams of all items; those that hold gram k are holders[starts[k] : starts[k + 1]]
+        self.index, first = np.unique(grams[order], return_index=True)
+        self.starts = np.append(first, len(grams))
+        self.holders = np.repeat(np.array(list(each), np.int64), [len(g) for g in each.values()])[order]
         self.longest = max(map(len, self.words.values()), default=0)
 
 
@@ -100,24 +104,6 @@ def _regions(words: np.ndarray, items: Items) -> list[tuple[int, np.ndarray, np.
     return out
 
 
-def regions(docs: DataFrame, items: Items) -> DataFrame:
-    """doc_id, start, words, grams: the stretches of all documents that may hold an item."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = _Numbers(items.vocabulary)
-        for batch in blocks(batches, "_text"):
-            rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("_text").to_pylist(), strict=True):
-                chunks = text.decode("utf-8", "replace").lower().split()
-                words = np.fromiter(map(number.__getitem__, chunks), np.int64, len(chunks))
-                rows += [(doc, *region) for region in _regions(words[words >= 0], items)]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-                pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.list_(pa.int64())),
-            ], ["doc_id", "start", "words", "grams"])
-
-    return docs.mapInArrow(run, "doc_id long, start long, words array<long>, grams array<long>")
-
-
 def align(item: np.ndarray, words: np.ndarray) -> tuple[float, int]:
     """Best local alignment (Smith-Waterman, linear gaps): its score and the place in ``words`` where it ends.
 
@@ -137,36 +123,56 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[float, int]:
     return best, end
 
 
-def _aligned(found: DataFrame, items: Items, least: float) -> DataFrame:
+def _best_run(known: np.ndarray) -> int:
+    """The greatest sum of a run, where true counts 1 and false -1."""
+    sums = np.concatenate([[0], np.cumsum(np.where(known, 1, -1))])
+    return int((sums - np.minimum.accumulate(sums)).max())
+
+
+def _pairs(words: np.ndarray, grams: np.ndarray, items: Items, least: float, marks: np.ndarray) -> Iterator[int]:
+    """The items that share a gram with a stretch of a text and may reach the score there.
+
+    An alignment counts -1 for each word of either side that it spans and the other side lacks, so it
+    scores no more than the best run of common words in the text, nor than that in the item. ``marks``:
+    false for each word number.
+    """
+    at = np.searchsorted(items.index, grams)
+    near = np.unique(words)
+    for item in np.unique(np.concatenate([items.holders[items.starts[k] : items.starts[k + 1]] for k in at])).tolist():
+        own, distinct = items.words[item], items.distinct[item]
+        need = least * len(own)
+        marks[distinct] = True
+        reached = _best_run(marks[words]) >= need
+        marks[distinct] = False
+        if reached:
+            marks[near] = True
+            reached = _best_run(marks[own]) >= need
+            marks[near] = False
+        if reached:
+            yield item
+
+
+def _one_pass(docs: DataFrame, items: Items, least: float) -> DataFrame:
+    """doc_id, item_id, score, end: for each stretch of the documents the items that it holds."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        number, marks = _Numbers(items.vocabulary), np.zeros(len(items.vocabulary) + 1, bool)
+        for batch in blocks(batches, "_text"):
             rows = []
-            for doc, start, words, item in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "start", "words", "item_id")], strict=True):
-                own = items.words[item]
-                score, end = align(own, np.array(words, np.int64))
-                if score >= least * len(own):
-                    rows.append((doc, item, score / len(own), start + end))
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("_text").to_pylist(), strict=True):
+                chunks = text.decode("utf-8", "replace").lower().split()
+                numbers = np.fromiter(map(number.__getitem__, chunks), np.int64, len(chunks))
+                for start, words, grams in _regions(numbers[numbers >= 0], items):
+                    for item in _pairs(words, grams, items, least, marks):
+                        own = items.words[item]
+                        score, end = align(own, words)
+                        if score >= least * len(own):
+                            rows.append((doc, item, score / len(own), start + end))
             yield pa.RecordBatch.from_arrays([
                 pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
                 pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.int64()),
             ], ["doc_id", "item_id", "score", "end"])
 
-    return found.mapInArrow(run, "doc_id long, item_id long, score double, end long")
-
-
-def _one_pass(docs: DataFrame, items: Items, least: float) -> DataFrame:
-    spark = docs.sparkSession
-    found = staged(regions(docs, items))
-    grams = spark.createDataFrame(pa.table({"item_id": pa.array([i for i, _ in items.grams], pa.int64()), "gram": pa.array([g for _, g in items.grams], pa.int64())}))
-    each = found.select("doc_id", F.explode("grams").alias("gram"))
-    frequency = each.distinct().groupBy("gram").agg(F.count("*").alias("n"))
-    # an item's grams are few, so its rarest are picked from one small array
-    ranked = grams.join(frequency, "gram").groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("all"), F.count("*").alias("size"))
-    seeds = ranked.select("item_id", F.explode(F.slice("all", F.lit(1), F.greatest(F.ceil(F.col("size") * RARE_SHARE), F.lit(RARE_LEAST)).cast("int"))).alias("s"))
-    by_gram = F.broadcast(seeds.select("item_id", F.col("s.gram").alias("gram")))  # at most the grams of one pass
-    row = found.select("doc_id", "start", "words", F.explode("grams").alias("gram")).join(by_gram, "gram")
-    pairs = row.groupBy("doc_id", "start", "item_id").agg(F.first("words").alias("words"))
-    return _aligned(pairs, items, least)
+    return docs.mapInArrow(run, "doc_id long, item_id long, score double, end long")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
@@ -174,8 +180,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     """doc_id, item_id, score (1.0: verbatim), end (place of the last aligned word): the best alignment per pair.
 
     Words are compared lower-cased and without punctuation at their ends. A pair is aligned if the document
-    holds one of the item's rarest n-grams; how rare is counted over all documents. Items shorter than a
-    seed are found where all their words stand together; null, empty and wordless items match nothing, and
+    holds any n-gram of the item, however common, and an exact bound does not rule the score out. Items shorter
+    than a seed are found where all their words stand together; null, empty and wordless items match nothing, and
     so do null and empty texts. Rows with a null key or item are left out; repeated rows of one key are
     searched each and give one row per item. Other columns are not carried; an empty table on either
     side gives none. Items go out in blocks of bounded size, each with a pass over the documents.

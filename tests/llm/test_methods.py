@@ -221,6 +221,19 @@ def test_leaks_against_all_pairs(spark, make_docs):
     assert sum(k[0] >= 10_000 for k in found) == 20
 
 
+def test_edited_copy_beside_verbatim_copies(make_docs):
+    """An edited copy is found although the n-grams that it kept are the commoner ones."""
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40)]
+    edited = [f"other{k}" if k in (6, 13, 20, 27, 33) else w for k, w in enumerate(words)]
+    docs = [(0, f"before {' '.join(words)} behind")] + [(k, f"before {' '.join(edited)} behind") for k in range(1, 4)]
+    docs += [(9, " ".join(words[:4]) + " and nothing else of the item")]
+    item = make_docs([(7, " ".join(words))]).selectExpr("doc_id as item_id", "text")
+    found = {r.doc_id: r.score for r in decontamination.leaks(make_docs(docs), item).collect()}
+    expected = {k: _smith_waterman(words, decontamination.item_words(t)) / 40 for k, t in docs}
+    assert found == {k: pytest.approx(v) for k, v in expected.items() if v >= decontamination.MIN_SCORE}
+    assert set(found) == {0, 1, 2, 3}
+
+
 # --- op7
 
 def test_toxicity_held_out(spark):
