@@ -362,7 +362,7 @@ def read_turns(pieces: Iterable[tuple[str, bool]]) -> Iterator[tuple[str, str, s
         shown.append(text)
         if generated:
             masked.append(text)
-        if text.endswith("</turn>\n"):  # escaped texts hold no control string
+        if text.endswith(" </turn>\n"):  # in escaped texts a backslash stands before "<"
             whole = "".join(shown)
             found = _TURN.fullmatch(whole)
             if not found:

@@ -171,6 +171,15 @@ def test_chat_round_trip(spark):
     assert "".join(m for _, _, m, _ in read) == "".join(t for _, _, r, t in rows if r == "assistant")
 
 
+def test_chat_texts_that_end_like_a_turn(spark):
+    texts = ["</turn>\n", "said </turn>\n", "\\</turn>\n", " </turn>\n", "\\ </turn>\n", "x </turn>\n </turn>\n"]
+    rows = [(1, i, ("user", "assistant")[i % 2], t) for i, t in enumerate(texts)] + [(1, len(texts), "</turn>\n", "</turn>\n")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    pieces = [(r.text, r.generated) for r in chat.format_turns(turns).orderBy("piece").collect()]
+    assert [(role, text) for role, text, _, _ in chat.read_turns(pieces)] == [(r, t) for _, _, r, t in rows]
+    assert chat.read_back(turns).first().n_turns == len(rows)
+
+
 # --- op5
 
 def test_licences(spark, make_docs):
