@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +54,10 @@ KNOWN = [
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("all-rights-reserved", "All rights reserved."),
 ]
+#: Full licence texts, a file each, named by the licence; looked up besides KNOWN.
+FULL_TEXTS = Path(__file__).resolve().parent / "licence_texts"
+#: Behind this line stands advice on how to apply the licence, which many copies leave out.
+TERMS_END = r"(?m)^\s*END OF TERMS AND CONDITIONS\s*$"
 #: (pattern, replacement) on lower-cased words: spellings that mean the same.
 SPELLINGS = [
     (r"\blicence", "license"),
@@ -64,19 +71,38 @@ SPELLINGS = [
 #: A line that only names who holds the copyright, or that all rights are reserved.
 COPYRIGHT_LINE = r"^[\s*/#;-]*(copyright\b|\(c\)|©|all rights reserved[.]?\s*$)"
 PUNCTUATION = r"[^\p{L}\p{N}]+"
+#: What the core of a text goes without: signs of list items wherever a line break falls, lines that name
+#: the holder (no wrapped line of a sentence looks so), and the canonical lines of the heading.
+LIST_MARK = r"(?<!\S)\(?(?:[0-9]{1,2}|[a-z])[.)](?=\s)"
+HOLDER_LINE = r"^[\s*/#;-]*(copyright\s*(\(c\)|©|[0-9<\[{])|\(c\)\s*[0-9<\[{]|©|all rights reserved[.]?\s*$)"
+TITLE = (r"^((the )?([a-z0-9]+ ){1,6}license( (mit|isc|bsd|expat|mpl|version [0-9 ]+))?|version [0-9 ]+([a-z]+ [0-9]+)?"
+         r"|http [a-z0-9 ]+|creative commons legal code|cc0 1 0 universal)$")
 #: Known texts are looked up in a broadcast map up to this number; more are joined by shuffling.
 MAP_TEXTS = 10_000
 
 
-def canonical_lines(text: Column) -> Column:
-    """Each line's canonical form and whether it is a copyright line: lower case (A-Z), one spelling, words joined by one blank."""
+def spelled(text: Column) -> Column:
+    """Lower case (A-Z) and one spelling."""
     lowered = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
     for pattern, replacement in SPELLINGS:
         lowered = F.regexp_replace(lowered, pattern, replacement)
-    return F.transform(F.split(lowered, "\n"), lambda line: F.struct(
+    return lowered
+
+
+def canonical_lines(text: Column) -> Column:
+    """Each line of a spelled text in canonical form, words joined by one blank, and whether it is a copyright line."""
+    return F.transform(F.split(text, "\n"), lambda line: F.struct(
         F.trim(F.regexp_replace(line, PUNCTUATION, " ")).alias("words"), F.rlike(line, F.lit(COPYRIGHT_LINE)).alias("holder")))
 
 
+def core_digest(text: Column) -> Column:
+    """The digest of a spelled text without its heading, list marks and holder lines, however its lines are wrapped; null if nothing is left."""
+    plain = F.filter(F.split(F.regexp_replace(text, LIST_MARK, " "), "\n"), lambda line: ~F.rlike(line, F.lit(HOLDER_LINE)))
+    words = F.filter(F.transform(plain, lambda line: F.trim(F.regexp_replace(line, PUNCTUATION, " "))), lambda w: w != "")
+    start = F.array_position(F.transform(words, lambda w: F.rlike(w, F.lit(TITLE))), False)
+    return F.when(start > 0, F.sha2(F.array_join(F.slice(words, start.cast("int"), F.size(words)), " "), 256))
+
+
 def whole_form(lines: Column) -> Column:
     """The canonical text: its lines without the copyright lines, joined by one blank; one of copyright lines only keeps them."""
     def joined(some: Column) -> Column:
@@ -86,27 +112,50 @@ def whole_form(lines: Column) -> Column:
     return F.when(bare != "", bare).otherwise(joined(lines))
 
 
+def full_texts() -> list[tuple[str, str]]:
+    """(licence, text): whole licence texts, also as they stand without the advice behind their terms."""
+    out = []
+    for path in sorted(FULL_TEXTS.glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        end = re.search(TERMS_END, text)
+        out += [(path.stem, part) for part in [text, *([text[: end.end()], text[: end.start()]] if end else [])]]
+    return out
+
+
+def _by_digest(table: DataFrame) -> DataFrame:
+    return table.filter("digest is not null").distinct().groupBy("digest").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("license"))
+
+
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """digest, license of the known texts; a digest that two licences share names both."""
-    table = spark.createDataFrame(KNOWN if known is None else known, "license string, text string")
-    each = table.select(canonical_lines(F.col("text")).alias("lines"), "license").select(
-        F.sha2(whole_form(F.col("lines")), 256).alias("digest"), "license").distinct()
-    return each.groupBy("digest").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("license"))
+    table = spark.createDataFrame(KNOWN + full_texts() if known is None else known, "license string, text string")
+    each = table.select(canonical_lines(spelled(F.col("text"))).alias("lines"), "license")
+    return _by_digest(each.select(F.sha2(whole_form(F.col("lines")), 256).alias("digest"), "license"))
+
+
+def known_cores(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
+    """digest (of the core), license of the known texts; the one-line notices have no heading and are left out."""
+    some = [(name, text) for name, text in (KNOWN + full_texts() if known is None else known) if "\n" in text]
+    table = spark.createDataFrame(some, "license string, text string")
+    return _by_digest(table.select(core_digest(spelled(F.col("text"))).alias("digest"), "license"))
 
 
-def scan(docs: DataFrame, known: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, known: DataFrame | None = None, cores: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, digest, license (of the whole text, null if unknown), notices (licences of single lines, sorted), notice_lines.
 
-    The digest of the whole canonical text is hash-joined with the known ones; each line is also looked up,
-    as a text of its own. Null and empty texts have the digest of the empty text and match nothing. Rows are
+    The digest of the whole canonical text is hash-joined with the known ones, and that of its core with
+    theirs where the first finds none; each line is also looked up, as a text of its own. Null and empty texts have the digest of the empty text and match nothing. Rows are
     independent: repeated ones give repeated results, other columns are not carried and may have any name;
     an empty table gives none.
     """
+    if cores is None:
+        cores = known_cores(docs.sparkSession) if known is None else known.limit(0)
     known = (known_digests(docs.sparkSession) if known is None else known).select("digest", "license")
     plain = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    lines = plain.withColumn("_lines", canonical_lines(F.col("_text")))
+    # the spelled text is a column of its own, so that it is made once for both forms
+    lines = plain.withColumn("_spelled", spelled(F.col("_text"))).withColumn("_lines", canonical_lines(F.col("_spelled")))
     digests = F.transform(F.filter("_lines", lambda line: line["words"] != ""), lambda line: F.sha2(line["words"], 256))
-    marked = lines.withColumn("digest", F.sha2(whole_form(F.col("_lines")), 256)).withColumn("_line_digests", digests)
+    marked = lines.withColumn("digest", F.sha2(whole_form(F.col("_lines")), 256)).withColumn("_line_digests", digests).withColumn("_core", core_digest(F.col("_spelled")))
     if known.limit(MAP_TEXTS + 1).count() <= MAP_TEXTS:
         table = known.agg(F.map_from_entries(F.collect_list(F.struct("digest", "license"))))
         found = F.filter(F.transform("_line_digests", lambda x: F.try_element_at(F.col("_known"), x)), lambda x: x.isNotNull())
@@ -117,8 +166,9 @@ def scan(docs: DataFrame, known: DataFrame | None = None, key: str = "doc_id", t
         hits = each.join(known, "digest").groupBy("_raw").agg(F.collect_list("license").alias("_found"))
         named = marked.join(hits, "_raw", "left").withColumn("_found", F.coalesce("_found", F.array().cast("array<string>")))
     whole = known.select(F.col("digest"), F.col("license"))
-    return named.join(whole, "digest", "left").select(
-        F.col("_key").alias(key), "digest", "license",
+    other = cores.select(F.col("digest").alias("_core"), F.col("license").alias("_core_license"))
+    return named.join(whole, "digest", "left").join(other, "_core", "left").select(
+        F.col("_key").alias(key), "digest", F.coalesce("license", "_core_license").alias("license"),
         F.array_join(F.array_sort(F.array_distinct("_found")), ",").alias("notices"),
         F.size("_found").cast("long").alias("notice_lines"))
 

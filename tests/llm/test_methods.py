@@ -195,6 +195,21 @@ def test_licences(spark, make_docs):
         assert rows == {1: ("MIT", "", 0), 2: (None, "", 0), 3: (None, "MIT,all-rights-reserved", 2), 4: ("all-rights-reserved", "all-rights-reserved", 1)}
 
 
+def test_full_licences_and_headings(make_docs):
+    mit, bsd = licences.KNOWN[0][1], licences.KNOWN[3][1]
+    body = mit.split("\n", 2)[2]
+    texts = licences.full_texts()
+    apache = next(t for n, t in reversed(texts) if n == "Apache-2.0")  # the terms alone
+    rows = {1: ("MIT", "The MIT License (MIT)\n\n" + body), 2: ("MIT", body), 3: ("BSD-3-Clause", "BSD 3-Clause License\n\n" + bsd),
+            4: ("BSD-3-Clause", re.sub(r"(?m)^\d[.] ", "* ", bsd)), 5: (None, body + "\nbut not for sale"), 6: (None, "MIT License"),
+            7: ("Apache-2.0", " ".join(apache.split("\n", 4)[4].split())), 8: ("Apache-2.0", re.sub(r"^\s*Apache License\n", "", apache))}
+    rows |= {20 + k: row for k, row in enumerate(texts)}
+    rows |= {60 + k: (n, t.split("\n\n", 1)[0] + "\n\n" + t.split("\n\n", 1)[1].replace("\n", "\n  ")) for k, (n, t) in enumerate(texts)}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} <= {n for n, _ in texts}
+    found = {r.doc_id: r.license for r in licences.scan(make_docs([(k, t) for k, (_, t) in rows.items()])).collect()}
+    assert found == {k: n for k, (n, _) in rows.items()}
+
+
 # --- op6
 
 def _smith_waterman(item: list[str], words: list[str]) -> float:
