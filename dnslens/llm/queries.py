@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dnslens.llm import bpe, chat, decontamination, fingerprints, licences, lines, near, packing, repair, substrings, toxicity, urls
+from dnslens.llm import bpe, chat, decontamination, divergence, fingerprints, licences, lines, near, packing, repair, substrings, toxicity, urls
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_minhash_near_dedup": near.op8_minhash_near_dedup,
     "op9_substring_dedup": substrings.op9_substring_dedup,
     "op10_url_filters": urls.op10_url_filters,
+    "op11_source_divergence_audit": divergence.op11_source_divergence_audit,
     "op12_conversation_structure_repair": repair.op12_conversation_structure_repair,
     "op13_best_fit_packing": packing.op13_best_fit_packing,
 }
@@ -25,4 +26,5 @@ ORACLES = {
     "op8_minhash_near_dedup": near.SQL,
     "op9_substring_dedup": substrings.SQL,
     "op10_url_filters": urls.SQL,
+    "op11_source_divergence_audit": divergence.SQL,
 }
