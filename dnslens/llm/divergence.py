@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +16,8 @@ MIN_DOCUMENTS = 3
 #: Ranks of terms that are reported for a group.
 TOP_TERMS = 200
 SCALE = 1_000_000_000
-#: Terms (of all groups) that a task counts before it hands the counts on.
-COUNTED = 300_000
+#: Bytes of text that are counted together.
+BLOCK_TEXT = 16 << 20
 #: Postings of the term-major index in one block, and groups whose rows one task accumulates.
 BLOCK_POSTINGS = 2_000_000
 ROW_BLOCK = 1024
@@ -29,39 +28,84 @@ STEP = 4_000_000
 _TERMS = bytes(x if x >= 128 or chr(x).isalpha() else 32 for x in bytes(range(256)).translate(bytes.maketrans(UPPER.encode(), LOWER.encode())))
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, sorted, and how often each occurs."""
+    values = np.sort(values)
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    at = np.flatnonzero(new)
+    return values[at], np.diff(np.append(at, len(values)))
+
+
+def count_terms(texts: list[bytes], group: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """(group, term, occurrences, texts with it) of the terms of texts that belong to numbered groups."""
+    order = np.argsort(group, kind="stable")
+    texts, group = [texts[k] for k in order.tolist()], group[order]
+    joined = np.frombuffer(b" ".join([*texts, b""]).translate(_TERMS), np.uint8)
+    inside = np.concatenate([[False], joined != 32, [False]])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    first, end = edge[::2], edge[1::2]
+    offsets = np.append(0, np.cumsum(end - first)).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(joined[joined != 32])]).dictionary_encode()
+    bounds = np.cumsum([len(x) + 1 for x in texts])
+    width = max(1, len(words.dictionary))
+    text = np.searchsorted(bounds, first, "right")
+    held, often = _distinct(text * width + words.indices.to_numpy())
+    text, term = np.divmod(held, width)
+    key = group[text] * width + term
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    at = np.flatnonzero(new)
+    owner, term = np.divmod(key[at], width)
+    return owner, words.dictionary.take(pa.array(term)), np.add.reduceat(often[order], at) if len(at) else often, np.diff(np.append(at, len(key)))
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, count, documents: occurrences of each term and documents with it in a group.
+    """lang, term, source, count, documents: occurrences of each term and documents with it in a group.
 
-    ``docs``: lang, source, _text (bytes). Every batch of documents is counted in its task, so a word
-    of all documents leaves a task a few times only; the sums go through two exchanges elsewhere.
+    ``docs``: lang, source, _text (bytes). Every block of documents is counted in its task, so a word
+    of all documents leaves a block once a group. The counts of a term meet in one partition, by (lang, term),
+    where they are added up by group; what follows by (lang, term) needs no other exchange.
     """
+    names = ["lang", "source", "term", "count", "documents"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-        size = 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for (lang, source), (count, documents) in seen.items():
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([lang] * len(count), pa.string()), pa.array([source] * len(count), pa.string()),
-                    pa.array([x.decode("utf-8", "replace") for x in count], pa.string()), pa.array(list(count.values()), pa.int64()),
-                    pa.array([documents[x] for x in count], pa.int64())], ["lang", "source", "term", "count", "documents"])
-
-        for batch in batches:
-            for part in blocks(iter([batch]), "_text"):
-                for lang, source, text in zip(*(part.column(x).to_pylist() for x in ("lang", "source", "_text")), strict=True):
-                    count, documents = seen.get((lang, source)) or seen.setdefault((lang, source), (Counter(), Counter()))
-                    before = len(count)
-                    own = Counter(text.translate(_TERMS).split())
-                    count.update(own)
-                    documents.update(own.keys())
-                    size += len(count) - before
-                if size >= COUNTED:
-                    yield from out()
-                    seen, size = {}, 0
-        yield from out()
+        for batch in gathered(batches, "_text", BLOCK_TEXT):
+            places = [batch.column(x).dictionary_encode() for x in ("lang", "source")]
+            lang, source = (x.indices.to_numpy() for x in places)
+            known = len(places[1].dictionary)
+            owner, term, count, documents = count_terms(batch.column("_text").to_pylist(), lang.astype(np.int64) * known + source)
+            columns = [places[0].dictionary.take(pa.array(owner // known)), places[1].dictionary.take(pa.array(owner % known)),
+                       decoded(term), pa.array(count.astype(np.int64)), pa.array(documents.astype(np.int64))]
+            yield from pa.Table.from_arrays(columns, names).to_batches(max_chunksize=200_000)
 
     parts = docs.mapInArrow(run, "lang string, source string, term string, count long, documents long")
-    return parts.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("documents").alias("documents"))
+    return parts.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("count").alias("count"), F.sum("documents").alias("documents"))
+
+
+def gathered(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together to about ``limit`` bytes of ``column``; larger ones are cut (``blocks``)."""
+    held, total = [], 0
+    for batch in batches:
+        for part in blocks(iter([batch]), column, limit):
+            size = part.column(column).nbytes
+            if held and total + size > limit:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, total = [], 0
+            held.append(part)
+            total += size
+    if held and sum(map(len, held)):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def decoded(terms: pa.Array) -> pa.Array:
+    """Terms as strings; bytes that are no UTF-8 are replaced."""
+    try:
+        return terms.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([x.decode("utf-8", "replace") for x in terms.to_pylist()], pa.string())
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -206,8 +250,7 @@ def divergences(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     """
     plain = docs.select(*[F.coalesce(F.col(name).cast("string"), F.lit("")).alias(alias) for name, alias in ((lang, "lang"), (source, "source"))],
                         text_bytes(text).alias("_text"))
-    counts = staged(term_counts(plain))
-    kept = counts.groupBy("lang", "term").agg(F.sum("documents").alias("documents"), F.sum("count").alias("in_lang"),
+    kept = term_counts(plain).groupBy("lang", "term").agg(F.sum("documents").alias("documents"), F.sum("count").alias("in_lang"),
                                               F.collect_list(F.struct("source", "count")).alias("postings"))
     index = staged(kept.filter(F.col("documents") >= min_documents).drop("documents"))
     flat = index.select("lang", "term", "in_lang", F.inline("postings"))

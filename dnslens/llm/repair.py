@@ -184,8 +184,8 @@ def _symbol() -> Column:
     return (initial + 4 * fault).cast("int")
 
 
-def _conversations(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Sorted rows as tables of whole conversations, about ``TOGETHER`` rows each or one long conversation."""
+def _conversations(batches: Iterable[pa.RecordBatch], together: int) -> Iterator[pa.Table]:
+    """Sorted rows as tables of whole conversations, about ``together`` rows each or one long conversation."""
     held: list[pa.RecordBatch] = []
     rows, final = 0, None
     for batch in batches:
@@ -198,7 +198,7 @@ def _conversations(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
         new[0] = final is None or (key[0] != final).any()
         final = key[-1]
         starts = np.flatnonzero(new)
-        if len(starts) and rows + len(batch) >= TOGETHER:
+        if len(starts) and rows + len(batch) >= together:
             cut = int(starts[-1])
             if rows + cut:
                 yield pa.Table.from_batches([*held, batch.slice(0, cut)])
@@ -275,7 +275,7 @@ def reports(rows: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     seen = dealt.select("conv_id", "turn", "role", "digest", F.when(F.col("there"), _symbol()).otherwise(-1).alias("symbol"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _conversations(batches):
+        for table in _conversations(batches, TOGETHER):
             yield _measure(table)
 
     plain = seen.sortWithinPartitions("conv_id", *ORDER).select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "symbol")
