@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dnslens.session import shared_dir, ship_package
+from dnslens.session import delete_folder, shared_dir, ship_package
 
 #: A word is a run of characters other than ASCII white space; ``bytes.split`` cuts the same way.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
@@ -36,6 +36,26 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Staged results by name; one that is replaced or dropped is deleted from the shared folder."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self._spark, self._folders = spark, {}
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        """``df`` written and read back; what the name held before goes, once this is written."""
+        path = f"{shared_dir(self._spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.drop(name)
+        self._folders[name] = path
+        return self._spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if name in self._folders:
+                delete_folder(self._spark, self._folders.pop(name))
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, other letters as they are."""
     return F.translate(text, UPPER, LOWER)

@@ -7,13 +7,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dnslens.llm.common import UPPER, WordHashes, blocks, grams, mix, read_table, squeezed, staged, text_bytes, unsqueezed
+from dnslens.llm.common import UPPER, Scratch, WordHashes, blocks, grams, mix, read_table, squeezed, text_bytes, unsqueezed
 
-#: 32 bands of 4 rows: two sets that share 0.8 of their union miss every band with probability 5e-8.
-BANDS, ROWS = 32, 4
+#: 48 bands of 6 rows: two sets that share 0.8 of their union miss every band with probability 5e-7, two
+#: that share 0.3 meet in one with 0.03.
+BANDS, ROWS = 48, 6
 #: Bits of an odd sketch.
 SKETCH_BITS = 512
 #: Candidates whose sketches differ in more bits than sets at the limit would, by this many standard
@@ -21,10 +22,10 @@ SKETCH_BITS = 512
 DEVIATIONS = 6.0
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 1024
-#: Documents whose ids are broadcast to pick their sets (8 bytes each).
+#: Documents whose ids are broadcast to pick their texts (8 bytes each).
 FILTER_IDS = 200_000
 #: Partners that a document proposes in the first round; each round takes four times as many.
-PROPOSED = 4
+PROPOSED = 1
 
 
 def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,13 +133,14 @@ def most_bits(percent: int, samples: int, bits: int = SKETCH_BITS, deviations: f
     return int(np.ceil(bits * odd + deviations * np.sqrt(bits * odd * (1 - odd)) / 2))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """node, comp: the least node that each node of ``links`` (a, b) reaches.
 
     Each round hangs every node's larger neighbours, then its smaller ones, on its least neighbour;
     both are grouped minima, so a node with many links is folded on the map side.
     """
-    edges = staged(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    scratch = scratch or Scratch(links.sparkSession)
+    edges = scratch.keep("edges", links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -147,7 +149,7 @@ def components(links: DataFrame) -> DataFrame:
         small = large.filter("a <> b")
         low = small.groupBy("a").agg(F.min("b").alias("m"))
         hung = small.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        edges = staged(hung.filter("a <> b").distinct())
+        edges = scratch.keep("edges", hung.filter("a <> b").distinct())
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == state:
             break
@@ -156,21 +158,23 @@ def components(links: DataFrame) -> DataFrame:
         edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 
 
-def _two_steps(links: DataFrame) -> DataFrame:
-    """node, comp: where two steps along links (a, b), one per a, lead. Nodes with one label are connected;
-    not all connected ones need have one label."""
-    onward = links.select(F.col("a").alias("b"), F.col("b").alias("c"))
-    return staged(links.join(onward, "b", "left").select(F.col("a").alias("node"), F.coalesce("c", "b").alias("comp")))
+def _merged(label: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``label`` (node, comp; nodes without a row are their own) after new ``links`` (a, b).
 
+    Only the labels that the new links connect go through ``components``.
+    """
+    own = label.withColumnsRenamed({"node": "a", "comp": "x"})
+    named = links.join(own, "a", "left").join(own.withColumnsRenamed({"a": "b", "x": "y"}), "b", "left").select(
+        F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+    among = components(named, scratch).withColumnsRenamed({"comp": "_least", "node": "comp"})
+    known = label.join(among, "comp", "left").select("node", F.coalesce("_least", "comp").alias("comp"))
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    fresh = ends.join(label, "node", "left_anti").join(among.withColumnRenamed("comp", "node"), "node").select("node", F.col("_least").alias("comp"))
+    return scratch.keep("label", known.unionByName(fresh))
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets share ``percent`` of their union.
 
-    If the pairs name few documents (at most ``FILTER_IDS``, counted), only their sets go through the shuffles.
-    """
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    if needed.limit(FILTER_IDS + 1).count() <= FILTER_IDS:
-        sets = sets.join(F.broadcast(needed), "doc_id", "left_semi")
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets share ``percent`` of their union."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left_set"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right_set"))
     both = F.size(F.array_intersect("left_set", "right_set"))
@@ -178,9 +182,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * (size - both)).select("a", "b")
 
 
-def _partners(left: dict, right: dict, most: int, end: int) -> tuple[list[np.ndarray], bool]:
-    """Pairs (a, b) of the likeliest ``end`` partners of other components that each row of a block has, and whether any has more."""
-    out, more = [], False
+def _partners(left: dict, right: dict, most: int, end: int) -> list[np.ndarray]:
+    """(a, b, differing bits) of the likeliest ``end`` partners of other components that each row of a block has."""
+    out = []
     for at in range(0, len(left["doc"]), 64):
         rows = slice(at, at + 64)
         bits = np.bitwise_count(left["sketch"][rows, None, :] ^ right["sketch"][None, :, :]).sum(axis=2, dtype=np.int32)
@@ -188,13 +192,12 @@ def _partners(left: dict, right: dict, most: int, end: int) -> tuple[list[np.nda
         for i in np.flatnonzero(near.any(axis=1)):
             some = np.flatnonzero(near[i])
             some = some[np.lexsort((right["doc"][some], bits[i][some]))]
-            more |= len(some) > end
-            out.append(np.stack([np.full(min(end, len(some)), left["doc"][at + i]), right["doc"][some[:end]]], axis=1))
-    return out, more
+            out.append(np.stack([np.full(min(end, len(some)), left["doc"][at + i]), right["doc"][some[:end]], bits[i][some[:end]]], axis=1))
+    return out
 
 
 def proposals(tasks: DataFrame, most: int, end: int) -> DataFrame:
-    """a, b: pairs to confirm; and, with ``more`` set, the buckets in which a row has further partners.
+    """a, b, bits: likely pairs; and, with null ``bits``, the buckets (``a``) that have any.
 
     Each task's rows (two blocks of at most ``BLOCK`` rows or so) lie together, sorted, in one partition;
     they pass by in order, so memory holds one task.
@@ -213,18 +216,19 @@ def proposals(tasks: DataFrame, most: int, end: int) -> DataFrame:
                 bounds = bounds[:-1]
             data = {"doc": table.column("doc_id").to_numpy(), "comp": table.column("comp").to_numpy(),
                     "sketch": np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(keys), -1)}
-            pairs, again = [np.zeros((0, 2), np.int64)], []
+            pairs, again = [np.zeros((0, 3), np.int64)], []
             for begin, stop in zip(bounds[:-1], bounds[1:], strict=True):
                 cut = begin + int(np.searchsorted(side[begin:stop], 1))
                 left, right = ({k: v[x:y] for k, v in data.items()} for x, y in ((cut, stop), (begin, cut)))
-                found, more = _partners(left, right, most, end)
+                found = _partners(left, right, most, end)
                 pairs += found
-                if more:
+                if found:
                     again.append(keys[begin, 0])
             both = np.concatenate(pairs)
+            bits = np.append(both[:, 2], np.zeros(len(again), np.int64))
             out = pa.RecordBatch.from_arrays([
                 pa.array(np.append(both[:, 0], again).astype(np.int64)), pa.array(np.append(both[:, 1], again).astype(np.int64)),
-                pa.array(np.arange(len(both) + len(again)) >= len(both))], ["a", "b", "more"])
+                pa.array(bits, mask=np.arange(len(bits)) >= len(both))], ["a", "b", "bits"])
             return out, None if last else table.slice(int(bounds[-1]))
 
         for batch in batches:
@@ -238,7 +242,7 @@ def proposals(tasks: DataFrame, most: int, end: int) -> DataFrame:
 
     parts = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = tasks.repartition(parts, *names).sortWithinPartitions(*names, "side")
-    return dealt.select(*names, "side", "doc_id", "comp", "sketch").mapInArrow(run, "a long, b long, more boolean")
+    return dealt.select(*names, "side", "doc_id", "comp", "sketch").mapInArrow(run, "a long, b long, bits long")
 
 
 def _tasks(members: DataFrame, comp: DataFrame) -> DataFrame:
@@ -274,44 +278,70 @@ def _tasks(members: DataFrame, comp: DataFrame) -> DataFrame:
     )
 
 
+def _differing(pairs: DataFrame, sketches: DataFrame, most: int) -> DataFrame:
+    """Of the pairs (a, b) those whose sketches differ in at most ``most`` bits, with ``bits``."""
+    words = [F.conv(F.hex(F.substring("sketch", 8 * k + 1, 8)), 16, -10).cast("long") for k in range(SKETCH_BITS // 64)]
+    flat = sketches.select("doc_id", F.array(*words).alias("s"))
+    left, right = flat.withColumnsRenamed({"doc_id": "a", "s": "_x"}), flat.withColumnsRenamed({"doc_id": "b", "s": "_y"})
+    bits = sum((F.bit_count(F.col("_x")[k].bitwiseXOR(F.col("_y")[k])) for k in range(SKETCH_BITS // 64)), F.lit(0))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", bits.cast("long").alias("bits")).filter(F.col("bits") <= most)
+
+
 def near_components(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept.
 
     ``docs``: doc_id, _text (bytes). Documents with the same set are one class, and only its least
     doc_id is compared. Classes that share a band are candidates; equal buckets are looked at once.
-    First every class is compared with the least candidate of its buckets. Where that leaves several
-    labels in a bucket, rounds propose the likeliest pairs across labels by odd sketch until no pair
-    below the bound on differing bits is left, so a large group of copies costs a few pairs per copy,
-    and no link between different sets is passed over. All links are confirmed on full sets.
+    First every class is compared with the nearest, by odd sketch, of the least candidates of its buckets. Then
+    rounds propose, for every row of a bucket that still has several labels, the likeliest 1, 4, 16 … partners with
+    other labels over all its buckets, until no row has a further one below the bound on differing bits. A large
+    group of copies so costs a few pairs per copy, and no link between different sets is passed over. All
+    links are confirmed on full sets; only documents of such pairs have their sets made. Labels are brought up to date
+    from new links alone, and stages that are replaced are deleted.
     """
-    marks = staged(signatures(docs, size))
-    classes = staged(marks.filter("set_key is not null").groupBy("set_key").agg(
+    scratch = Scratch(docs.sparkSession)
+    marks = scratch.keep("marks", signatures(docs, size))
+    classes = scratch.keep("classes", marks.filter("set_key is not null").groupBy("set_key").agg(
         F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     exploded = classes.select(F.col("rep").alias("doc_id"), F.explode("bands").alias("bucket"))
     buckets = exploded.groupBy("bucket").agg(
         F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.bit_xor(F.xxhash64("doc_id")).alias("mark")).filter("n > 1")
     once = buckets.groupBy("n", "lo", "mark").agg(F.min("bucket").alias("bucket"))
-    members = staged(exploded.join(once.select("bucket", "lo"), "bucket"))
-    first = members.groupBy("doc_id").agg(F.min("lo").alias("b")).select(F.col("doc_id").alias("a"), "b")
-    wanted = first.select(F.col("a").alias("doc_id"))
-    # repeated rows of one id give it several sets: a link of any of them counts
-    sets = staged(shingle_sets(squeezed(docs).join(wanted, "doc_id"), size))
+    members = scratch.keep("members", exploded.join(once.select("bucket", "lo"), "bucket"))
     sketches = classes.select(F.col("rep").alias("doc_id"), "sketch")
     most = most_bits(percent, BANDS * ROWS)
-    links = staged(confirmed(first.filter("a <> b"), sets, percent))
-    label, end, open_members = _two_steps(links), PROPOSED, members
+    leads = _differing(members.filter("doc_id <> lo").select(F.col("doc_id").alias("a"), F.col("lo").alias("b")).distinct(), sketches, most)
+    first = leads.groupBy("a").agg(F.min_by("b", F.struct("bits", "b")).alias("b"))
+    label = docs.sparkSession.createDataFrame([], "node long, comp long")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        # repeated rows of one id give it several sets: a link of any of them counts
+        pairs = scratch.keep("pairs", pairs)
+        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        if wanted.limit(FILTER_IDS + 1).count() <= FILTER_IDS:
+            wanted = F.broadcast(wanted)
+        sets = scratch.keep("sets", shingle_sets(squeezed(docs.join(wanted, "doc_id", "left_semi")), size))
+        found = scratch.keep("links", confirmed(pairs, sets, percent))
+        scratch.drop("sets", "pairs")
+        return found
+
+    label = _merged(label, linked(first), scratch)
+    end, open_members = PROPOSED, members.select("bucket", "doc_id")
     while True:
-        found = staged(proposals(_tasks(open_members, label).join(sketches, "doc_id"), most, end))
-        pairs = found.filter("not more").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        links = links.unionByName(staged(confirmed(pairs, sets, percent)))
-        again = found.filter("more").select(F.col("a").alias("bucket")).distinct()
-        if again.isEmpty():
+        found = scratch.keep("found", proposals(_tasks(open_members, label).join(sketches, "doc_id"), most, end + 1))
+        near = found.filter("bits is not null").groupBy("a", "b").agg(F.min("bits").alias("bits"))
+        rank = F.row_number().over(Window.partitionBy("a").orderBy("bits", "b"))
+        ranked = scratch.keep("ranked", near.withColumn("rank", rank).filter(F.col("rank") <= end + 1))
+        pairs = ranked.filter(F.col("rank") <= end).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        label = _merged(label, linked(pairs), scratch)
+        if ranked.filter(F.col("rank") > end).isEmpty():
             break  # every pair across labels was proposed, and so confirmed or refuted
-        label, end = staged(components(links)), end * 4
-        open_members = open_members.join(again, "bucket")
-    comp = components(links)
+        again = found.filter("bits is null").select(F.col("a").alias("bucket")).distinct()
+        open_members = scratch.keep("open", open_members.join(again, "bucket"))
+        end *= 4
+    scratch.drop("members", "open", "found", "ranked", "links", "edges")
     whole = marks.select("doc_id", "n_shingles", "set_key").join(classes.select("set_key", "rep"), "set_key", "left").join(
-        comp.withColumnRenamed("node", "rep"), "rep", "left")
+        label.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("comp", "rep", "doc_id")
     return whole.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
