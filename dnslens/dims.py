@@ -187,6 +187,11 @@ NOTE_ALERT = "Suspicious activity detected"
 NOTE_OPEN_PORT = "Open %s port"
 ERROR_UNREADABLE = "Unreadable monitor payload: %s"
 ERROR_UNKNOWN = "Unknown capture error"
+NOTE_PREPARING = "Preparing DNS capture."
+NOTE_STOPPING = "Stop requested. Waiting for the monitor to shut down."
+NOTE_STOPPED = "Capture stopped by user."
+NOTE_COMPLETED = "Capture finished successfully."
+NOTE_EXITED = "Capture exited with status code %s."
 
 # Quick filter groups of record types.
 TYPE_GROUPS = {

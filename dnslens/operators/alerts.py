@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -212,24 +210,3 @@ def traffic_series(events: DataFrame, bucket: str = "1 second", buckets: int = 6
     grid = last.select(F.explode(places).alias("at")).select(F.timestamp_micros("at").alias("bucket_start"))
     joined = grid.join(counted, "bucket_start", "left")
     return joined.select("bucket_start", F.coalesce("events", F.lit(0)).alias("events"))
-
-
-def suppress_batch(rows: Iterable[pd.DataFrame], gap: int, last: dict[str, int]) -> pd.DataFrame:
-    """Suppression of a micro-batch's rows of some names.
-
-    ``last`` holds the time of each name's last alert and is brought up to date. Rows
-    without a time are all kept.
-    """
-    everything = pd.concat(list(rows), ignore_index=True)
-    untimed = everything[everything["event_ts"].isna()]
-    pdf = everything[everything["event_ts"].notna()].sort_values(["domain", "event_ts", "seq"], ignore_index=True)
-    times = pdf["event_ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
-    names = pdf["domain"].to_numpy()
-    starts = np.flatnonzero(np.r_[len(names) > 0, names[1:] != names[:-1]])
-    kept: list[int] = []
-    for start, end in zip(starts, np.r_[starts[1:], len(names)]):
-        found = keep_after_gap(times[start:end], gap, last.get(names[start]))
-        if found:
-            last[names[start]] = int(times[start + found[-1]])
-            kept.extend(start + at for at in found)
-    return pd.concat([pdf.iloc[kept], untimed]) if len(untimed) and kept else untimed if len(untimed) else pdf.iloc[kept]

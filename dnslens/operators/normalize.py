@@ -10,7 +10,7 @@ from dnslens.functions.codes import detect_protocol, lookup, resolve_rcode, reso
 from dnslens.functions.text import first_non_empty, non_empty, strip
 from dnslens.functions.times import iso_micros, parse_iso
 from dnslens.operators.threat import score_events
-from dnslens.session import broadcast_if_small, cut_lineage
+from dnslens.session import broadcast_if_small, written
 
 # Decoded fields of one packet, as sources hand them to ``build_events``.
 RAW_COLUMNS = (
@@ -135,10 +135,10 @@ def with_event_id(df: DataFrame, seq: str = "seq") -> DataFrame:
 def number_lines(df: DataFrame, seq: str = "seq") -> DataFrame:
     """Number the rows of a file source 1, 2, … in file and line order.
 
-    Expects a frame straight from a file reader. Rows are counted per file block;
-    the running sum over those totals (one small row per block) gives each block's
-    first number, and the row's place in its block does the rest. No row moves
-    between tasks, except for the join with the small totals.
+    Expects a frame straight from a file reader. The rows are laid down once, with file, block and place in
+    the block; totals per block and the numbered rows both come from there, so it does not matter how the
+    files would be split later. The running sum over the totals (one small row per block) gives each block's
+    first number. No row moves between tasks, except for the join with the small totals.
     """
     return number_placed(
         df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")), seq
@@ -147,10 +147,8 @@ def number_lines(df: DataFrame, seq: str = "seq") -> DataFrame:
 
 def number_placed(df: DataFrame, seq: str = "seq") -> DataFrame:
     """``number_lines`` for rows that carry ``_file`` and ``_block`` already (a stream's micro-batch)."""
-    placed = df.withColumn("_place", F.monotonically_increasing_id())
-    totals = cut_lineage(placed.groupBy("_file", "_block").agg(
-        F.count("*").alias("_rows"), F.min("_place").alias("_first")
-    ))
+    placed = written(df.withColumn("_place", F.monotonically_increasing_id()))
+    totals = placed.groupBy("_file", "_block").agg(F.count("*").alias("_rows"), F.min("_place").alias("_first"))
     # one row per file block: a window without a partition over these is tolerable (a million of them for 128 TB)
     order = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(

@@ -11,6 +11,9 @@ from dnslens.operators.ordered import newest_per_key, with_island, with_rank
 
 SESSION_DIMENSIONS = ("domain", "record_type", "source_ip", "transport", "rcode")
 REPORT_SIZES = {"domain": 5, "record_type": 5, "source_ip": 5, "rcode": 5, "transport": 10}
+#: Events of a session that leave a note: the first of these numbers, and every so manieth.
+SAMPLED_FIRST, SAMPLED_EVERY = (1, 5), 25
+FEED_SCHEMA = "session_id string, first_seq bigint, level string, message string, event_ts timestamp, entries bigint"
 
 
 # --- statistics ----------------------------------------------------------------
@@ -59,7 +62,7 @@ def session_report(df: DataFrame) -> DataFrame:
 def activity_sample(df: DataFrame, chunk_rows: int = dims.CHUNK_ROWS) -> DataFrame:
     """Notes for the 1st, 5th and every 25th event of a session."""
     ranked = with_rank(df, ["session_id"], chunk_rows=chunk_rows)
-    due = F.col("rank").isin(1, 5) | (F.col("rank") % 25 == 0)
+    due = F.col("rank").isin(*SAMPLED_FIRST) | (F.col("rank") % SAMPLED_EVERY == 0)
     note = fill(dims.NOTE_OBSERVED, F.col("record_type"), F.col("domain"))
     return ranked.filter(due).select(
         "session_id", "seq", "event_ts", "rank", F.lit("info").alias("level"), note.alias("message")
@@ -84,6 +87,42 @@ def recent_activity(collapsed: DataFrame, n: int = dims.BUFFER_ACTIVITY) -> Data
     return newest_per_key(collapsed, ["session_id"], n, [F.col("first_seq").desc()])
 
 
+def message_note() -> Column:
+    """What a message of a session says about it; null if it says nothing.
+
+    Events name their query, reports and errors have their own text, starting and stopping a fixed one. Needs
+    ``kind``, ``record_type``, ``domain``, ``note`` and ``message``.
+    """
+    kind = F.col("kind")
+    text = (
+        F.when(kind == "event", fill(dims.NOTE_OBSERVED, F.col("record_type"), F.col("domain")))
+        .when(kind == "status", F.col("note"))
+        .when(kind.isin("error", "stderr"), F.col("message"))
+        .when(kind == "stop", dims.NOTE_STOPPING)
+        .when(kind == "start", dims.NOTE_PREPARING)
+    )
+    return non_empty(text)
+
+
+def feed_notes(messages: DataFrame) -> DataFrame:
+    """Messages as candidates of the activity feed: session_id, seq, kind, event_ts, level and message."""
+    kind = F.col("kind")
+    level = F.when(kind.isin("error", "stderr"), "error").when(kind == "stop", "warning").otherwise("info")
+    return messages.select("session_id", "seq", "kind", "event_ts", level.alias("level"), message_note().alias("message"))
+
+
+def activity_feed(messages: DataFrame, chunk_rows: int = dims.CHUNK_ROWS) -> DataFrame:
+    """One feed per session: sampled events, reports' notes, errors and stop requests in order of arrival.
+
+    Of the events the 1st, 5th and every 25th count; neighbours with equal text and level are folded into
+    one entry with the time of the last. ``session_id, first_seq, level, message, event_ts, entries``.
+    """
+    noted = feed_notes(messages)
+    ranked = with_rank(noted.filter("kind = 'event'"), ["session_id"], chunk_rows=chunk_rows)
+    sampled = ranked.filter(F.col("rank").isin(*SAMPLED_FIRST) | (F.col("rank") % SAMPLED_EVERY == 0)).drop("rank")
+    return collapse_activity(sampled.unionByName(noted.filter("kind <> 'event'")), chunk_rows)
+
+
 # --- messages ----------------------------------------------------------------------
 
 
@@ -162,6 +201,44 @@ def session_counters(events: DataFrame) -> DataFrame:
     )
 
 
+def session_records(messages: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    """Sessions as the ledger on disk keeps them: id, status, tool, note, started_at, ended_at, last_event_at, events_seen, errors.
+
+    ``messages`` as for ``session_ledger``, with ``note``, ``record_type`` and ``domain``; ``kind`` start opens a
+    session (without one, its first time does). The note is what the last message with one says, or
+    how the session ended. ``ends``: session_id, exit_code, ended_at. ``version``, the last arrival, tells which of two records of a session is newer.
+    """
+    told = F.col("kind") != "stderr"
+    note = message_note()
+    more = messages.groupBy("session_id").agg(
+        F.max_by(F.when(told, note), F.when(told & note.isNotNull(), F.col("seq"))).alias("note"),
+        F.coalesce(F.min(F.when(F.col("kind") == "start", F.col("event_ts"))), F.min("event_ts")).alias("started_at"),
+        F.max("seq").alias("version"),
+    )
+    records = session_ledger(messages).join(more, "session_id")
+    note = F.coalesce("note", F.lit(dims.NOTE_PREPARING))
+    ended_at = F.lit(None).cast("timestamp")
+    if ends is not None:
+        ended = F.col("exit_code").isNotNull()
+        records = records.join(ends.select("session_id", "exit_code", "ended_at"), "session_id", "left")
+        how = (
+            F.when(F.col("stop_requested") & (F.col("status") != "error"), dims.NOTE_STOPPED)
+            .when(F.col("status").isin("error", "stopped"), note)
+            .when(F.col("exit_code") == 0, dims.NOTE_COMPLETED)
+            .otherwise(fill(dims.NOTE_EXITED, F.col("exit_code")))
+        )
+        note = F.when(ended, how).otherwise(note)
+        ended_at = F.when(ended, F.col("ended_at"))
+        closed = final_status(F.col("status"), F.col("stop_requested"), F.col("exit_code"))
+        status = F.when(ended, closed).otherwise(F.col("status"))
+    else:
+        status = F.col("status")
+    return records.select(
+        F.col("session_id").alias("id"), status.alias("status"), "tool", note.alias("note"), "started_at",
+        ended_at.alias("ended_at"), "last_event_at", "events_seen", "errors", "version",
+    )
+
+
 def session_ledger(messages: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     """One record per session: events, last event, tool, status and the last six errors.
 

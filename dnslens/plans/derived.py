@@ -110,6 +110,12 @@ def session_ends(messages: DataFrame) -> DataFrame:
     return messages.select("session_id").distinct().select("session_id", (number % 3).alias("exit_code")).filter(number < 7)
 
 
+def session_closings(messages: DataFrame) -> DataFrame:
+    """``session_ends`` with the time of the session's last event as its end."""
+    last = messages.groupBy("session_id").agg(F.max("event_ts").alias("ended_at"))
+    return session_ends(messages).join(last, "session_id")
+
+
 def activities(raw: DataFrame) -> DataFrame:
     """Activity entries with repeats: ``(session_id, seq, event_ts, level, message)``."""
     return raw.select(

@@ -32,7 +32,10 @@ from dnslens.sources import captures, envelopes, fields, scans
 from dnslens.sources.sessions import read_sessions
 from dnslens.streaming import arrival
 from dnslens.streaming import events as streams
-from dnslens.streaming.run import drain_append, drain_update, new_folder
+from dnslens.session import cut_lineage
+from dnslens.sinks.keyed import KeyedTable
+from dnslens.streaming.partials import drain_partials
+from dnslens.streaming.run import drain_append, drain_batches, drain_update, landings, new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -486,6 +489,41 @@ def session_ledger(spark, folder):
     return flat(sessions.session_ledger(messages, derived.session_ends(messages)))
 
 
+def _envelope_messages(raw: DataFrame) -> DataFrame:
+    """The messages of sessions as their envelope lines give them."""
+    return envelopes.session_messages(envelopes.parse_envelopes(derived.envelope_lines(raw)))
+
+
+@query
+def activity_feed(spark, folder):
+    return flat(sessions.activity_feed(_envelope_messages(t.raw(spark, folder))))
+
+
+@query
+def activity_feed_chunked(spark, folder):
+    return flat(sessions.activity_feed(_envelope_messages(t.raw(spark, folder)), chunk_rows=73))
+
+
+@query
+def ledger_from_envelopes(spark, folder):
+    """Envelope lines become session records, merged into the ledger batch by batch and read back from its export.
+
+    The second batch is repeated with other contents, the third brings older records of sessions that are there.
+    """
+    messages = _envelope_messages(t.raw(spark, folder))
+    records = cut_lineage(sessions.session_records(messages, derived.session_closings(messages)))
+    path = new_folder(spark, "ledger")
+    kept = ledger.Ledger(spark, f"{path}/records")
+    even = F.substring_index("id", "-", -1).cast("int") % 2 == 0
+    wrong = records.withColumn("note", F.lit("wrong"))
+    kept.merge(records.filter(even), 0)
+    kept.merge(records.filter(~even), 1)
+    kept.merge(wrong.withColumn("version", F.col("version") + 1), 1)
+    kept.merge(wrong.withColumn("version", F.col("version") - 1), 2)
+    kept.export(f"{path}/newest")
+    return flat(read_sessions(spark, f"{path}/newest").drop("config"))
+
+
 @query
 def session_counters(spark, folder):
     return flat(sessions.session_counters(t.events(spark, folder, score=False)))
@@ -713,16 +751,22 @@ def _stream(spark: SparkSession, folder: str) -> DataFrame:
     return streams.enrich(t.raw_stream(spark, folder), t.TOOL, t.MODE)
 
 
-def _landed(spark: SparkSession, lines: DataFrame) -> DataFrame:
-    """A stream of the lines (``seq``, ``value``), which land in order as four files, one a micro-batch."""
-    path = new_folder(spark, "landing")
-    marks = lines.agg(F.percentile("seq", [0.25, 0.5, 0.75])).first()[0] or []
-    for low, high in zip([None, *marks], [*marks, None]):
-        part = lines
-        part = part if low is None else part.filter(F.col("seq") > low)
-        part = part if high is None else part.filter(F.col("seq") <= high)
-        part.coalesce(1).sortWithinPartitions("seq").select("value").write.mode("append").text(path)
-    return arrival.follow_lines(spark, path, files_per_trigger=1)
+def _arriving(rows: DataFrame, order: Column, parts: int = 4) -> tuple[DataFrame, list]:
+    """A stream of ``rows``, which land one range of ``order`` after another, and the landings that are still to come."""
+    path, later = landings(rows.sparkSession, rows, order, parts)
+    reader = rows.sparkSession.readStream.schema(rows.schema).option("recursiveFileLookup", True)
+    return reader.parquet(path), later
+
+
+def _raw_arriving(spark: SparkSession, folder: str, order: Column | None = None) -> tuple[DataFrame, list]:
+    """Raw records landing in order of time, or of ``order``."""
+    return _arriving(t.raw(spark, folder), F.coalesce(F.unix_micros("event_ts"), F.lit(0)) if order is None else order)
+
+
+def _landed(spark: SparkSession, lines: DataFrame) -> tuple[DataFrame, list]:
+    """A stream of the lines (``seq``, ``value``), which land in order, and the landings that are still to come."""
+    path, later = landings(spark, lines, F.col("seq"), text=True)
+    return arrival.follow_lines(spark, path), later
 
 
 @query
@@ -731,22 +775,22 @@ def stream_fields_events(spark, folder):
     def events(lines):
         return build_events(fields.parse_fields(lines), "tshark", "manual", score=False)
 
-    landed = _landed(spark, derived.field_lines(t.raw(spark, folder)))
-    return flat(arrival.drain_numbered(landed, events, "fields").select("seq", "id", "domain", "event_ts"))
+    landed, later = _landed(spark, derived.field_lines(t.raw(spark, folder)))
+    return flat(arrival.drain_numbered(landed, events, "fields", later).select("seq", "id", "domain", "event_ts"))
 
 
 @query
 def stream_envelope_events(spark, folder):
-    landed = _landed(spark, derived.envelope_lines(t.raw(spark, folder)))
-    numbered = arrival.drain_numbered(landed, lambda lines: with_event_id(envelopes.parse_envelopes(lines).events), "envelopes")
+    landed, later = _landed(spark, derived.envelope_lines(t.raw(spark, folder)))
+    numbered = arrival.drain_numbered(landed, lambda lines: with_event_id(envelopes.parse_envelopes(lines).events), "envelopes", later)
     return flat(numbered.select("seq", "id", "event_ts", "domain", "source_ip", "tool"))
 
 
 @query
 def stream_envelope_status(spark, folder):
     """The status messages of envelope files, numbered with all other lines."""
-    landed = _landed(spark, derived.envelope_lines(t.raw(spark, folder)))
-    return arrival.drain_numbered(landed, lambda lines: envelopes.parse_envelopes(lines).status, "status").select("seq", "status", "note")
+    landed, later = _landed(spark, derived.envelope_lines(t.raw(spark, folder)))
+    return arrival.drain_numbered(landed, lambda lines: envelopes.parse_envelopes(lines).status, "status", later).select("seq", "status", "note")
 
 
 @query
@@ -756,14 +800,16 @@ def stream_threat_scores(spark, folder):
 
 @query
 def stream_breakdowns(spark, folder):
-    counted = drain_update(streams.running_breakdowns(_stream(spark, folder)), "breakdowns", ["dimension", "value"])
+    """Counts per dimension value, from the partial aggregates of several micro-batches."""
+    raw, later = _raw_arriving(spark, folder)
+    counted = drain_partials(streams.enrich(raw, t.TOOL, t.MODE), later).breakdowns()
     return counted.select("dimension", "value", "events")
 
 
 @query
 def stream_totals(spark, folder):
-    totals = streams.running_totals(_stream(spark, folder)).withColumn("scope", F.lit("all"))
-    return flat(drain_update(totals, "totals", ["scope"]).drop("unique_domains_approx", "scope"))
+    raw, later = _raw_arriving(spark, folder)
+    return flat(drain_partials(build_events(raw, t.TOOL, t.MODE, score=False), later).totals())
 
 
 @query
@@ -772,15 +818,49 @@ def stream_traffic(spark, folder):
     return flat(drain_append(streams.traffic(_stream(spark, folder), BUCKET, "0 seconds"), "traffic"))
 
 
+@query
+def stream_traffic_series(spark, folder):
+    """Closed buckets of five minutes, idle ones with 0."""
+    raw, later = _raw_arriving(spark, folder)
+    events = build_events(raw, t.TOOL, t.MODE, score=False)
+    return flat(drain_append(streams.traffic_series(events, "5 minutes", "0 seconds"), "series", later))
+
+
 @query
 def stream_alerts(spark, folder):
-    return flat(drain_append(streams.alerts(_stream(spark, folder), GAP), "alerts"))
+    raw, later = _raw_arriving(spark, folder)
+    return flat(drain_append(streams.alerts(streams.enrich(raw, t.TOOL, t.MODE), GAP), "alerts", later))
 
 
 @query
 def stream_alerts_field_lines(spark, folder):
-    events = _field_line_events(t.raw_stream(spark, folder))
-    return flat(drain_append(streams.alerts(events, GAP), "alerts"))
+    raw, later = _raw_arriving(spark, folder)
+    return flat(drain_append(streams.alerts(_field_line_events(raw), GAP), "alerts", later))
+
+
+@query
+def stream_activity_feed(spark, folder):
+    """The feed of every session, kept over several micro-batches."""
+    raw, later = _raw_arriving(spark, folder, F.col("seq"))
+    feed = streams.activity_feed(_envelope_messages(raw))
+    return flat(drain_update(feed, "feed", ["session_id", "first_seq"], later))
+
+
+@query
+def stream_latest_by_id(spark, folder):
+    """The newest record of ids that repeat, merged batch by batch; the last batch comes twice."""
+    raw, later = _raw_arriving(spark, folder, F.col("seq"))
+    events = build_events(raw, t.TOOL, t.MODE, score=False).withColumn("id", F.concat(F.lit("evt-"), (F.col("seq") % 997).cast("string")))
+    path = new_folder(spark, "latest")
+    newest = KeyedTable(spark, f"{path}/table", ["id"], "seq", buckets=16)
+
+    def merge(batch: DataFrame, number: int) -> None:
+        newest.merge(batch, number)
+        newest.merge(batch.withColumn("seq", F.col("seq") + 1), number)  # a repeat of a merged batch changes nothing
+
+    drain_batches(events, merge, f"{path}/checkpoint", later)
+    newest.vacuum()
+    return flat(newest.read().select("id", "seq", "event_ts", "domain", "source_ip"))
 
 
 @query

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +55,38 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[application]
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever store it names."""
+    store, target = _hadoop_path(spark, path)
+    return store.exists(target)
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder."""
+    store, target = _hadoop_path(spark, path)
+    return [entry.getPath().getName() for entry in store.listStatus(target)]
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate or replaced files, in whatever store it names."""
+    store, target = _hadoop_path(spark, path)
+    store.delete(target, True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder, as Parquet, and read back: later steps see these rows
+    whatever the splits or executors are by then."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder, so lost executors cost no recomputation."""
     spark = df.sparkSession

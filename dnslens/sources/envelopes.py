@@ -78,7 +78,8 @@ def parse_envelopes(
     if extra:
         every = F.from_json("value", "map<string,string>")
         columns.append(F.map_filter(every, lambda k, _: ~k.isin(list(SCHEMA.names))).alias("extra"))
-    events = good.filter(F.col("_j.kind") == "event").select(*keep, *columns)
+    # the event's own tool, before the default is put in: only that one becomes the session's
+    events = good.filter(F.col("_j.kind") == "event").select(*keep, *columns, F.col("_j.tool").alias("reported_tool"))
     events = events.withColumns(
         {
             "ttl": F.col("ttl").try_cast("bigint"),
@@ -100,9 +101,13 @@ def parse_envelopes(
     )
 
 
-def read_envelopes(spark: SparkSession, path: str, **options) -> Envelopes:
-    """Read envelope files; ``seq`` is the place of the line over all files."""
-    return parse_envelopes(number_lines(spark.read.text(path)), **options)
+def read_envelopes(spark: SparkSession, path: str, by_file: bool = False, **options) -> Envelopes:
+    """Read envelope files; ``seq`` is the place of the line over all files. ``by_file`` makes each
+    file a session, with the file's name before its first dot as ``session_id``."""
+    lines = spark.read.text(path)
+    if by_file:
+        lines = lines.withColumn("session_id", F.substring_index("_metadata.file_name", ".", 1))
+    return parse_envelopes(number_lines(lines), **options)
 
 
 def stream_envelopes(spark: SparkSession, path: str, **options) -> Envelopes:
@@ -112,7 +117,8 @@ def stream_envelopes(spark: SparkSession, path: str, **options) -> Envelopes:
 
 def session_messages(envelopes: Envelopes) -> DataFrame:
     """All records of sessions in one frame, as the ledger wants them."""
-    missing = {"status": "string", "message": "string", "event_ts": "timestamp", "tool": "string"}
+    missing = {"status": "string", "message": "string", "event_ts": "timestamp", "tool": "string",
+               "note": "string", "record_type": "string", "domain": "string"}
 
     def shaped(df: DataFrame, kind=None) -> DataFrame:
         if kind:
@@ -123,7 +129,7 @@ def session_messages(envelopes: Envelopes) -> DataFrame:
         session = F.col("session_id") if "session_id" in df.columns else F.lit("session")
         return df.select(
             session.alias("session_id"), "seq", "kind", "event_ts",
-            non_empty(F.col("tool")).alias("tool"), "status", "message",
+            non_empty(F.col("reported_tool" if "reported_tool" in df.columns else "tool")).alias("tool"), "status", "message", "note", "record_type", "domain",
         )
 
     return (

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dnslens.operators.normalize import number_placed
-from dnslens.streaming.run import new_folder
+from dnslens.streaming.run import drain_batches, new_folder
 
 
 def follow_lines(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A stream of text lines that knows each line's file and block."""
-    reader = spark.readStream
+    """A stream of the text lines of a folder and its subfolders that knows each line's file and block."""
+    reader = spark.readStream.option("recursiveFileLookup", True)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.text(path).select(
@@ -25,38 +24,29 @@ def numbered_batches(handle: Callable[[DataFrame, int], None], counts: str) -> C
     """A ``foreachBatch`` function that gives ``handle`` each batch of ``follow_lines`` with ``seq``.
 
     Lines are numbered in file and line order within a batch, on top of the lines of all batches before.
-    Those totals are kept under ``counts``, one row per batch in a folder of the batch's number, so a
-    repeated batch replaces its row and gets the same numbers again.
+    Their total after each batch is kept under ``counts``, in a folder of the batch's number, so a batch reads
+    one row, and a repeated batch gets the same numbers again. If the row of the batch before is gone the
+    batch fails: numbers would be given twice.
     """
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = 0
-        if number:
-            try:
-                earlier = spark.read.schema("rows bigint, batch int").parquet(counts).filter(F.col("batch") < number)
-                before = earlier.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-            except AnalysisException:  # no batch has been counted yet
-                before = 0
+        before = spark.read.schema("total bigint").parquet(f"{counts}/batch={number - 1}").first()["total"] if number else 0
         numbered = number_placed(batch).withColumn("seq", F.col("seq") + F.lit(before))
         handle(numbered, number)
-        batch.agg(F.count("*").alias("rows")).write.mode("overwrite").parquet(f"{counts}/batch={number}")
+        total = numbered.agg(F.coalesce(F.max("seq"), F.lit(before)).cast("bigint").alias("total"))
+        total.write.mode("overwrite").parquet(f"{counts}/batch={number}")
 
     return step
 
 
-def drain_numbered(lines: DataFrame, build: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
-    """Run a stream of ``follow_lines`` over what its source has now: ``build`` of each numbered batch, as one table."""
+def drain_numbered(lines: DataFrame, build: Callable[[DataFrame], DataFrame], name: str,
+                   arrivals: Iterable[Callable[[], None]] = ()) -> DataFrame:
+    """Run a stream of ``follow_lines`` over what its source has now and after each arrival: ``build`` of each numbered batch, as one table."""
     spark = lines.sparkSession
     folder = new_folder(spark, name)
 
     def write(batch: DataFrame, number: int) -> None:
         build(batch).write.mode("overwrite").parquet(f"{folder}/table/batch={number}")
 
-    query = (
-        lines.writeStream.foreachBatch(numbered_batches(write, f"{folder}/counts"))
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    drain_batches(lines, numbered_batches(write, f"{folder}/counts"), f"{folder}/checkpoint", arrivals)
     return spark.read.parquet(f"{folder}/table").drop("batch")

@@ -1,22 +1,21 @@
 """Streams of events: enrichment, running summary, traffic, alerts and sessions.
 
 Enrichment, focus alerts, breakdowns, counters and status are the batch operators
-themselves, applied to a streaming frame. Only alert suppression keeps its own state.
+themselves, applied to a streaming frame. Alert suppression, the activity feed and the series without
+gaps keep state of their own (``states``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from dnslens.operators.alerts import DEFAULT_GAP, alert_candidates, gap_micros, suppress_batch, traffic_counts
+from dnslens.operators.alerts import DEFAULT_GAP, alert_candidates, gap_micros, traffic_counts
 from dnslens.operators.normalize import build_events
+from dnslens.operators.sessions import FEED_SCHEMA, SAMPLED_EVERY, SAMPLED_FIRST, feed_notes
 from dnslens.operators.summary import breakdowns
 from dnslens.operators.windows import latest
+from dnslens.streaming.states import Feed, Suppression, ZeroFill, transform
 
 ALERT_SCHEMA = "seq bigint, event_ts timestamp, domain string, threat_level string, message string"
 
@@ -50,38 +49,33 @@ def traffic(events: DataFrame, bucket: str = "1 second", delay: str = "10 second
     return traffic_counts(events.withWatermark("event_ts", delay), bucket)
 
 
-def alerts(
-    events: DataFrame, gap: str = DEFAULT_GAP, delay: str = "10 seconds", shards: int = 512
-) -> DataFrame:
+def traffic_series(events: DataFrame, bucket: str = "1 second", delay: str = "10 seconds") -> DataFrame:
+    """``traffic`` without gaps: idle buckets follow with 0 as the watermark passes them (append mode).
+
+    Counting is Spark's own windowed aggregate; only closed buckets, one row each, reach the state that
+    fills the gaps. Buckets of a millisecond at least.
+    """
+    counted = events.withWatermark("event_ts", delay).groupBy(F.window("event_ts", bucket)).agg(F.count("*").alias("events"))
+    closed = counted.select(F.lit(0).alias("series"), F.window_time("window").alias("at"), "events")
+    return transform(closed, ["series"], ZeroFill(gap_micros(bucket)), "bucket_start timestamp, events bigint", "append", timed=True)
+
+
+def alerts(events: DataFrame, gap: str = DEFAULT_GAP, delay: str = "10 seconds") -> DataFrame:
     """Alerts per name with suppression across micro-batches (append mode).
 
-    Names are dealt to ``shards`` by hash, so that one Python call serves many names;
-    use several shards per shuffle partition. A shard's state holds the last alert of
-    its names and forgets those the watermark has left behind by more than the gap. A
-    micro-batch bounds the rows of one name in one task: set the source's rate limits
-    accordingly.
+    The state of a name is the time of its last alert; a timer clears it once the watermark has left it
+    behind by the gap. Events later than ``delay`` behind the newest are dropped; those without a time all alert.
     """
-    wanted = gap_micros(gap)
     columns = [part.split()[0] for part in ALERT_SCHEMA.split(", ")]
+    candidates = alert_candidates(events.withWatermark("event_ts", delay))
+    return transform(candidates, ["domain"], Suppression(gap_micros(gap), columns), ALERT_SCHEMA, "append", timed=True)
 
-    def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = dict(zip(*state.get)) if state.exists else {}
-        kept = suppress_batch(rows, wanted, last)
-        watermark = state.getCurrentWatermarkMs()
-        last = {name: at for name, at in last.items() if at + wanted > watermark * 1000}
-        state.update((list(last), list(last.values())))
-        state.setTimeoutTimestamp(max(max(last.values(), default=0) // 1000 + wanted // 1000, watermark) + 1)
-        if len(kept):
-            yield kept[columns]
 
-    candidates = alert_candidates(events.withWatermark("event_ts", delay))
-    sharded = candidates.withColumn("shard", F.pmod(F.xxhash64("domain"), F.lit(shards)))
-    return sharded.groupBy("shard").applyInPandasWithState(
-        step, ALERT_SCHEMA, "names array<string>, times array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
-    )
+def activity_feed(messages: DataFrame) -> DataFrame:
+    """``sessions.activity_feed`` on a stream of messages with ``seq`` (update mode): the newest row per
+    (session_id, first_seq) is the run as it stands."""
+    noted = feed_notes(messages)
+    return transform(noted, ["session_id"], Feed(SAMPLED_FIRST, SAMPLED_EVERY), FEED_SCHEMA, "update", timed=False)
 
 
 def consume(spark: SparkSession, store: str, rows: int = 500) -> tuple[DataFrame, DataFrame]:

@@ -345,6 +345,54 @@ SELECT a.session_id, a.events_seen, a.last_event_at, a.tool, f.stop_requested, c
   WHEN f.stop_requested AND f.status <> 'error' THEN 'stopped' WHEN f.status IN ('error', 'stopped') THEN f.status
   WHEN CAST(split_part(a.session_id, '-', 2) AS INTEGER) % 3 = 0 THEN 'completed' ELSE 'error' END AS status
 FROM agg a JOIN final f ON f.session_id = a.session_id LEFT JOIN errs e ON e.session_id = a.session_id""", recursive=True)
+ENVELOPES = EVENTS + """,
+env AS (
+ SELECT ev.session_id, ev.seq, 'event' AS kind, ev.event_ts, CASE WHEN ev.seq % 5 = 3 THEN 'scapy' END AS tool, NULL AS status, 'info' AS level,
+  'Observed ' || upper(coalesce(r.qtype_raw, 'A')) || ' query for ' || CASE WHEN ev.seq % 5 = 1 THEN 'unknown' ELSE ev.domain END AS message
+ FROM ev JOIN dns_raw r ON r.seq = ev.seq WHERE ev.seq % 11 NOT IN (3, 5, 6, 7, 8, 9)
+ UNION ALL
+ SELECT session_id, seq, 'status', NULL, NULL, ['running', 'completed', 'running', 'stopping', 'interrupted'][seq % 5 + 1], 'info', 'note ' || seq
+ FROM dns_raw WHERE seq % 11 = 3
+ UNION ALL
+ SELECT session_id, seq, CASE WHEN seq % 11 = 7 THEN 'stderr' ELSE 'error' END, NULL, NULL, NULL, 'error',
+  CASE seq % 11 WHEN 5 THEN 'failure ' || seq WHEN 6 THEN 'Unknown capture error'
+   ELSE 'Unreadable monitor payload: {"kind": "event", "domain": "cut-' || seq END
+ FROM dns_raw WHERE seq % 11 IN (5, 6, 7))"""
+oracle("activity_feed", ENVELOPES + """,
+ranked AS (SELECT *, row_number() OVER (PARTITION BY session_id, kind ORDER BY seq) AS n FROM env),
+act AS (SELECT * FROM ranked WHERE kind <> 'event' OR n IN (1, 5) OR n % 25 = 0),
+marked AS (SELECT *, CASE WHEN level IS NOT DISTINCT FROM lag(level) OVER w AND message IS NOT DISTINCT FROM lag(message) OVER w
+  THEN 0 ELSE 1 END AS start FROM act WINDOW w AS (PARTITION BY session_id ORDER BY seq)),
+runs AS (SELECT *, sum(start) OVER (PARTITION BY session_id ORDER BY seq) AS run FROM marked),
+ends AS (SELECT *, row_number() OVER (PARTITION BY session_id, run ORDER BY seq DESC) AS back FROM runs)""", """
+SELECT session_id, min(seq) AS first_seq, level, message, any_value(event_ts) FILTER (back = 1) AS event_ts, count(*) AS entries
+FROM ends GROUP BY session_id, run, level, message""")
+ORACLES["activity_feed_chunked"] = ORACLES["stream_activity_feed"] = ORACLES["activity_feed"]
+oracle("ledger_from_envelopes", ENVELOPES + """,
+numbered AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS n FROM env),
+walk AS (
+ SELECT session_id, CAST(0 AS BIGINT) AS n, 'starting' AS state FROM (SELECT DISTINCT session_id FROM env)
+ UNION ALL
+ SELECT w.session_id, m.n,
+  CASE m.kind WHEN 'event' THEN CASE WHEN w.state = 'stopping' THEN 'stopping' ELSE 'running' END
+   WHEN 'error' THEN 'error' WHEN 'stderr' THEN w.state
+   ELSE CASE WHEN m.status IN ('completed', 'stopped', 'interrupted')
+     THEN CASE WHEN w.state = 'stopping' THEN 'stopping' ELSE 'running' END ELSE m.status END END
+ FROM walk w JOIN numbered m ON m.session_id = w.session_id AND m.n = w.n + 1),
+final AS (SELECT session_id, arg_max(state, n) AS state, CAST(split_part(session_id, '-', 2) AS INTEGER) AS number FROM walk GROUP BY session_id),
+agg AS (SELECT session_id, count(*) FILTER (kind = 'event') AS events_seen, arg_max(event_ts, seq) FILTER (kind = 'event') AS last_event_at,
+  min(event_ts) AS first_at, max(event_ts) AS last_at, arg_max(tool, seq) FILTER (tool IS NOT NULL) AS tool,
+  arg_max(message, seq) FILTER (kind <> 'stderr') AS note FROM env GROUP BY session_id),
+errs AS (SELECT session_id, string_agg(message, '|' ORDER BY seq) AS errors FROM
+  (SELECT * FROM env WHERE kind IN ('error', 'stderr') QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) <= 6)
+  GROUP BY session_id)""", """
+SELECT a.session_id AS id,
+ CASE WHEN number >= 7 OR state IN ('error', 'stopped') THEN state WHEN number % 3 = 0 THEN 'completed' ELSE 'error' END AS status, a.tool,
+ CASE WHEN number >= 7 OR state IN ('error', 'stopped') THEN note WHEN number % 3 = 0 THEN 'Capture finished successfully.'
+  ELSE 'Capture exited with status code ' || (number % 3) || '.' END AS note,
+ date_trunc('millisecond', first_at) AS started_at, CASE WHEN number < 7 THEN date_trunc('millisecond', last_at) END AS ended_at,
+ date_trunc('millisecond', last_event_at) AS last_event_at, events_seen, coalesce(errors, '') AS errors
+FROM agg a JOIN final f ON f.session_id = a.session_id LEFT JOIN errs e ON e.session_id = a.session_id""", recursive=True)
 oracle("session_counters", EVENTS, """
 SELECT session_id, count(*) AS events_seen, arg_max(event_ts, seq) AS last_event_at FROM ev GROUP BY session_id""")
 ORACLES["stream_session_counters"] = ORACLES["session_counters"]
@@ -532,7 +580,15 @@ UNION ALL SELECT 'transport', transport, count(*) FROM scored GROUP BY transport
 UNION ALL SELECT 'rcode', rcode, count(*) FROM scored GROUP BY rcode
 UNION ALL SELECT 'domain', domain, count(*) FROM scored WHERE domain <> 'unknown' GROUP BY domain
 UNION ALL SELECT 'source_ip', source_ip, count(*) FROM scored WHERE source_ip <> 'unknown' GROUP BY source_ip""")
-oracle("stream_totals", EVENTS, "SELECT count(*) AS total_events, arg_max(event_ts, seq) AS last_event_at FROM ev")
+oracle("stream_totals", EVENTS, """
+SELECT count(*) AS total_events, count(DISTINCT domain) FILTER (domain <> 'unknown') AS unique_domains, arg_max(event_ts, seq) AS last_event_at FROM ev""")
+oracle("stream_latest_by_id", EVENTS, """
+SELECT 'evt-' || (seq % 997) AS id, max(seq) AS seq, arg_max(event_ts, seq) AS event_ts, arg_max(domain, seq) AS domain, arg_max(source_ip, seq) AS source_ip
+FROM ev GROUP BY seq % 997""")
+oracle("stream_traffic_series", EVENTS + """,
+c AS (SELECT time_bucket(INTERVAL 5 MINUTE, event_ts) AS b, count(*) AS n FROM ev GROUP BY 1),
+g AS (SELECT unnest(generate_series((SELECT min(b) FROM c), (SELECT max(event_ts) FROM ev) - INTERVAL 5 MINUTE, INTERVAL 5 MINUTE)) AS b)""", """
+SELECT g.b AS bucket_start, coalesce(c.n, 0) AS events FROM g LEFT JOIN c ON c.b = g.b""")
 oracle("stream_traffic", EVENTS, """
 SELECT date_trunc('hour', event_ts) AS bucket_start, count(*) AS events FROM ev GROUP BY 1
 HAVING date_trunc('hour', event_ts) + INTERVAL 1 HOUR <= (SELECT max(event_ts) FROM ev)""")

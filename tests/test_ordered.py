@@ -6,7 +6,7 @@ from itertools import groupby
 import numpy as np
 import pytest
 
-from dnslens.operators.alerts import alerts, keep_after_gap, suppress_batch
+from dnslens.operators.alerts import alerts, keep_after_gap
 from dnslens.operators.ordered import newest_per_key, with_island, with_previous_max, with_rank
 from dnslens.operators.windows import limit_events, page
 from pyspark.sql import functions as F
@@ -132,12 +132,52 @@ def test_alerts_split_and_small_against_brute_force(spark, scope, seed):
 def test_batches_continue_from_the_last_alert():
     import pandas as pd
 
-    frame = pd.DataFrame({"domain": list("aaab"), "seq": [2, 1, 3, 4], "event_ts": pd.to_datetime([12, 5, 30, 5], unit="s")})
-    last = {"a": 0}
-    kept = suppress_batch([frame[:1], frame[1:]], 10_000_000, last)
-    assert sorted(kept["seq"]) == [2, 3, 4] and last == {"a": 30_000_000, "b": 5_000_000}
-    last = {"a": 11_000_000}
-    assert len(suppress_batch([frame[:1]], 10_000_000, last)) == 0 and last == {"a": 11_000_000}
+    from dnslens.streaming.states import Suppression
+
+    class State:
+        """One key's variable, timers and clock."""
+
+        def __init__(self, at=None):
+            self.at, self.timers, self.now = at, [], 0
+
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            return None if self.at is None else (self.at,)
+
+        def update(self, value):
+            (self.at,) = value
+
+        def clear(self):
+            self.at = None
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+    def batch(state, frames):
+        processor = Suppression(10_000_000, ["seq"])
+        processor.init(state)
+        return sorted(seq for out in processor.handleInputRows(("a",), iter(frames), state) for seq in out["seq"])
+
+    frame = pd.DataFrame({"seq": [2, 1, 3, 4], "event_ts": pd.to_datetime([12, 5, 30, None], unit="s")})
+    state = State(0)
+    assert batch(state, [frame[:1], frame[1:]]) == [2, 3, 4] and state.at == 30_000_000 and not state.timers
+    state = State(11_000_000)
+    assert batch(state, [frame[:1]]) == [] and state.at == 11_000_000
+    state = State()
+    assert batch(state, [frame[3:]]) == [4] and state.at is None
+    assert batch(state, [frame[:1]]) == [2] and state.timers == [22_001]
+    assert batch(state, [frame[2:3]]) == [3] and state.timers == [22_001]  # one timer a name
+    processor = Suppression(10_000_000, ["seq"])
+    processor.init(state)
+    state.now = 25_000
+    assert not list(processor.handleExpiredTimer(("a",), state, None)) and state.at == 30_000_000 and state.timers[-1] == 40_001
+    state.now = 40_001
+    assert not list(processor.handleExpiredTimer(("a",), state, None)) and state.at is None
 
 
 @pytest.mark.parametrize("operator", [lambda f: with_rank(f, ["key"]), lambda f: with_island(f, ["key"], ["v"]), lambda f: with_previous_max(f, ["key"], "n")])

@@ -5,11 +5,13 @@ import socket
 import struct
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from dnslens.operators.normalize import build_events, normalize_events, number_lines, orient, packet_metadata, with_event_id
 from dnslens.sources import captures, envelopes, fields
 from dnslens.sources.scans import scan_events
+from dnslens.streaming.arrival import numbered_batches
 
 LINES = [
     "1700000000.25|192.168.1.25||1.1.1.1||google.com.|1|53||0|300;60|142.250.1.1;142.250.1.2|||| ",
@@ -47,6 +49,49 @@ def test_numbering_over_files(spark, tmp_path):
     assert sorted(r.seq for r in rows) == list(range(1, 121))
 
 
+@pytest.mark.parametrize("before, after", [("64k", "1k"), ("2k", "128m"), ("1k", "3k")])
+def test_numbering_survives_other_splits(spark, tmp_path, before, after):
+    """The files are split otherwise once their blocks have been counted, as when executors come or go."""
+    (tmp_path / "a.txt").write_text("".join(f"a{i}\n" for i in range(3000)))
+    (tmp_path / "b.txt").write_text("".join(f"b{i}\n" for i in range(500)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    try:
+        numbered = number_lines(spark.read.text(str(tmp_path)))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", after)
+        spark.conf.set("spark.sql.files.minPartitionNum", "7")
+        rows = sorted((r.seq, r.value) for r in numbered.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert rows == [(k + 1, x) for k, x in enumerate([*(f"a{i}" for i in range(3000)), *(f"b{i}" for i in range(500))])]
+
+
+def test_arrival_numbers_of_repeated_batches(spark, tmp_path):
+    """Totals are read from the batch before; a repeated batch gets its numbers again, a lost total fails."""
+    seen: dict[int, list] = {}
+    step = numbered_batches(lambda batch, number: seen.__setitem__(number, sorted((r.seq, r.value) for r in batch.collect())), f"{tmp_path}/counts")
+    batches = []
+    for k in range(3):
+        (tmp_path / f"in{k}").mkdir()
+        (tmp_path / f"in{k}" / "x.txt").write_text("".join(f"{k}-{i}\n" for i in range(k * 5)))  # the first has no line
+        lines = spark.read.text(f"{tmp_path}/in{k}")
+        batches.append(lines.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")))
+    for k in (0, 1, 2, 2):
+        step(batches[k], k)
+    assert seen == {0: [], 1: [(i + 1, f"1-{i}") for i in range(5)], 2: [(i + 6, f"2-{i}") for i in range(10)]}
+    with pytest.raises(AnalysisException):
+        step(batches[2], 5)
+
+
+def test_envelopes_by_file(spark, tmp_path):
+    for name in ("one", "two"):
+        (tmp_path / f"{name}.jsonl").write_text(json.dumps({"kind": "status", "status": "running", "note": f" of {name} "}) + "\n")
+    read = envelopes.read_envelopes(spark, str(tmp_path), by_file=True)
+    messages = envelopes.session_messages(read)
+    assert {(r.session_id, r.kind, r.note) for r in messages.collect()} == {("one", "status", "of one"), ("two", "status", "of two")}
+
+
 def test_envelopes(spark, tmp_path):
     lines = [
         json.dumps({"kind": "event", "queryName": "a.example", "type": "txt", "destinationPort": 53, "ttl": 7, "answers": ["x"], "vendor": "v"}),
