@@ -11,21 +11,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dnslens.llm.common import UPPER, Scratch, WordHashes, blocks, grams, mix, read_table, squeezed, text_bytes, unsqueezed
+from dnslens.session import broadcast_if_small
 
 #: 48 bands of 6 rows: two sets that share 0.8 of their union miss every band with probability 5e-7, two
 #: that share 0.3 meet in one with 0.03.
 BANDS, ROWS = 48, 6
 #: Bits of an odd sketch.
-SKETCH_BITS = 512
+SKETCH_BITS = 1024
 #: Candidates whose sketches differ in more bits than sets at the limit would, by this many standard
-#: deviations, are no links (one in 10^9 links would be lost).
-DEVIATIONS = 6.0
+#: deviations, are no links (3 in 10^7 links at the limit would be lost, fewer above it).
+DEVIATIONS = 5.0
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 1024
 #: Documents whose ids are broadcast to pick their texts (8 bytes each).
 FILTER_IDS = 200_000
 #: Partners that a document proposes in the first round; each round takes four times as many.
-PROPOSED = 1
+PROPOSED = 4
 
 
 def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,14 +107,15 @@ def signatures(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS,
     return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch binary")
 
 
-def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id and the full set of shingle hashes of each document (compressed texts)."""
+def shingle_sets(docs: DataFrame, size: int, pressed: bool) -> DataFrame:
+    """doc_id and the full set of shingle hashes of each document; ``pressed`` texts are compressed ones."""
     lowered = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in blocks(batches, "_text"):
-            words, starts = hashes.of([x.translate(lowered) for x in unsqueezed(batch.column("_text"))])
+            texts = unsqueezed(batch.column("_text")) if pressed else batch.column("_text").to_pylist()
+            words, starts = hashes.of([x.translate(lowered) for x in texts])
             values, begin = _sets(words, starts, size)
             shingles = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(values.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), shingles], ["doc_id", "shingles"])
@@ -128,9 +130,12 @@ def most_bits(percent: int, samples: int, bits: int = SKETCH_BITS, deviations: f
     ``(1 - (1 - 2 / bits) ** n) / 2`` of the bits odd.
     """
     limit = percent / 100
-    differ = samples * (1 - limit) + deviations * np.sqrt(samples * limit * (1 - limit))
-    odd = (1 - (1 - 2 / bits) ** (2 * min(differ, samples))) / 2
-    return int(np.ceil(bits * odd + deviations * np.sqrt(bits * odd * (1 - odd)) / 2))
+    flips = 2 * samples * (1 - limit)
+    kept = (1 - 2 / bits) ** flips
+    mean = bits * (1 - kept) / 2
+    of_samples = 2 * np.sqrt(samples * limit * (1 - limit)) * kept  # a flip more changes ``kept`` bits on average
+    of_places = np.sqrt(bits * (1 - kept**2)) / 2
+    return int(np.ceil(mean + deviations * np.hypot(of_samples, of_places)))
 
 
 def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -182,13 +187,15 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * (size - both)).select("a", "b")
 
 
-def _partners(left: dict, right: dict, most: int, end: int) -> list[np.ndarray]:
+def _partners(left: dict, right: dict, most: int, end: int, percent: int) -> list[np.ndarray]:
     """(a, b, differing bits) of the likeliest ``end`` partners of other components that each row of a block has."""
     out = []
     for at in range(0, len(left["doc"]), 64):
         rows = slice(at, at + 64)
         bits = np.bitwise_count(left["sketch"][rows, None, :] ^ right["sketch"][None, :, :]).sum(axis=2, dtype=np.int32)
         near = (bits <= most) & (left["comp"][rows, None] != right["comp"][None, :])
+        small, large = (f(left["n_shingles"][rows, None], right["n_shingles"][None, :]) for f in (np.minimum, np.maximum))
+        near &= 100 * small >= percent * large  # else even a set inside the other is too small
         for i in np.flatnonzero(near.any(axis=1)):
             some = np.flatnonzero(near[i])
             some = some[np.lexsort((right["doc"][some], bits[i][some]))]
@@ -196,7 +203,7 @@ def _partners(left: dict, right: dict, most: int, end: int) -> list[np.ndarray]:
     return out
 
 
-def proposals(tasks: DataFrame, most: int, end: int) -> DataFrame:
+def proposals(tasks: DataFrame, most: int, end: int, percent: int) -> DataFrame:
     """a, b, bits: likely pairs; and, with null ``bits``, the buckets (``a``) that have any.
 
     Each task's rows (two blocks of at most ``BLOCK`` rows or so) lie together, sorted, in one partition;
@@ -214,13 +221,13 @@ def proposals(tasks: DataFrame, most: int, end: int) -> DataFrame:
             bounds = np.concatenate([[0], change, [len(keys)]])
             if not last:
                 bounds = bounds[:-1]
-            data = {"doc": table.column("doc_id").to_numpy(), "comp": table.column("comp").to_numpy(),
+            data = {"doc": table.column("doc_id").to_numpy(), "comp": table.column("comp").to_numpy(), "n_shingles": table.column("n_shingles").to_numpy(),
                     "sketch": np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(keys), -1)}
             pairs, again = [np.zeros((0, 3), np.int64)], []
             for begin, stop in zip(bounds[:-1], bounds[1:], strict=True):
                 cut = begin + int(np.searchsorted(side[begin:stop], 1))
                 left, right = ({k: v[x:y] for k, v in data.items()} for x, y in ((cut, stop), (begin, cut)))
-                found = _partners(left, right, most, end)
+                found = _partners(left, right, most, end, percent)
                 pairs += found
                 if found:
                     again.append(keys[begin, 0])
@@ -242,49 +249,55 @@ def proposals(tasks: DataFrame, most: int, end: int) -> DataFrame:
 
     parts = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = tasks.repartition(parts, *names).sortWithinPartitions(*names, "side")
-    return dealt.select(*names, "side", "doc_id", "comp", "sketch").mapInArrow(run, "a long, b long, bits long")
+    return dealt.select(*names, "side", "doc_id", "comp", "n_shingles", "sketch").mapInArrow(run, "a long, b long, bits long")
 
 
-def _tasks(members: DataFrame, comp: DataFrame) -> DataFrame:
-    """The blocks of members that must still be compared: task, side, doc_id, comp.
+def _open(members: DataFrame, comp: DataFrame, scratch: Scratch) -> DataFrame:
+    """The members of buckets that still have several labels: bucket, doc_id, comp, outer.
 
-    In a bucket, members with the label of its least member are the inside, the others
-    the outside. Links may be missing between outside and inside and among the outside. Both are dealt
-    into blocks; a task gets an outside block (side 1) and another block. Work so grows with the
-    outside, which is empty once a bucket's copies have one label.
+    Members with the label of a bucket's least member are its inside, the others its outside.
     """
-    own = members.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+    own = members.join(broadcast_if_small(comp.withColumnRenamed("node", "doc_id"), FILTER_IDS), "doc_id", "left").select(
         "bucket", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
     lead = own.groupBy("bucket").agg(F.min_by("comp", "doc_id").alias("main"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-    split = own.join(lead.filter("c0 < c1"), "bucket").withColumn("outer", F.col("comp") != F.col("main"))
+    lead = scratch.keep("lead", lead.filter("c0 < c1").select("bucket", "main"))
+    split = own.join(broadcast_if_small(lead, FILTER_IDS), "bucket")
+    return scratch.keep("open", split.select("bucket", "doc_id", "comp", (F.col("comp") != F.col("main")).alias("outer")))
+
+
+def _tasks(split: DataFrame) -> DataFrame:
+    """The blocks of open members that must still be compared: task, side, doc_id, comp.
+
+    Links may be missing between outside and inside and among the outside. Both are dealt
+    into blocks; a task gets an outside block (side 1) and another block. Work so grows with the
+    outside, which is empty once a bucket's copies have one label.
+    """
     counts = split.groupBy("bucket").agg(
         F.ceil(F.count_if("outer") / BLOCK).cast("int").alias("outs"), F.ceil(F.count_if(~F.col("outer")) / BLOCK).cast("int").alias("ins"))
     dealt = split.join(counts, "bucket").withColumn("h", F.xxhash64("doc_id"))
     block = F.pmod("h", F.when(F.col("outer"), F.col("outs")).otherwise(F.col("ins")))
     dealt = dealt.withColumn("block", block.cast("int"))
 
-    def tasks(rows: DataFrame, count: Column, kind: int, side: int, mine_first: bool) -> DataFrame:
-        each = rows.withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-        first, second = ("block", "other") if mine_first else ("other", "block")
-        return each.select("bucket", F.lit(kind).alias("kind"), F.col(first).alias("i"), F.col(second).alias("j"),
-                           F.lit(side).alias("side"), "doc_id", "comp")
+    def each(count: str, kind: int, side: int, mine_first: bool) -> Column:
+        def task(other: Column) -> Column:
+            first, second = (F.col("block"), other) if mine_first else (other, F.col("block"))
+            return F.struct(F.lit(kind).alias("kind"), first.alias("i"), second.alias("j"), F.lit(side).alias("side"))
+
+        return F.transform(F.sequence(F.lit(0), F.col(count) - 1), task)
 
-    out, inner = dealt.filter("outer"), dealt.filter(~F.col("outer"))
-    return (
-        tasks(out, F.col("ins"), 0, 1, True)
-        .union(tasks(inner, F.col("outs"), 0, 0, False))
-        .union(tasks(out, F.col("outs"), 1, 1, True))
-        .union(tasks(out, F.col("outs"), 1, 0, False))
-    )
+    outer = F.concat(each("ins", 0, 1, True), each("outs", 1, 1, True), each("outs", 1, 0, False))
+    return dealt.select("bucket", "doc_id", "comp", F.inline(F.when(F.col("outer"), outer).otherwise(each("outs", 0, 0, False))))
 
 
-def _differing(pairs: DataFrame, sketches: DataFrame, most: int) -> DataFrame:
-    """Of the pairs (a, b) those whose sketches differ in at most ``most`` bits, with ``bits``."""
+def _differing(pairs: DataFrame, sketches: DataFrame, most: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b) those whose sketches differ in at most ``most`` bits and whose sizes allow a link, with ``bits``."""
     words = [F.conv(F.hex(F.substring("sketch", 8 * k + 1, 8)), 16, -10).cast("long") for k in range(SKETCH_BITS // 64)]
-    flat = sketches.select("doc_id", F.array(*words).alias("s"))
-    left, right = flat.withColumnsRenamed({"doc_id": "a", "s": "_x"}), flat.withColumnsRenamed({"doc_id": "b", "s": "_y"})
+    flat = sketches.select("doc_id", "n_shingles", F.array(*words).alias("s"))
+    left = flat.withColumnsRenamed({"doc_id": "a", "s": "_x", "n_shingles": "_m"})
+    right = flat.withColumnsRenamed({"doc_id": "b", "s": "_y", "n_shingles": "_n"})
+    fits = 100 * F.least("_m", "_n") >= percent * F.greatest("_m", "_n")
     bits = sum((F.bit_count(F.col("_x")[k].bitwiseXOR(F.col("_y")[k])) for k in range(SKETCH_BITS // 64)), F.lit(0))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", bits.cast("long").alias("bits")).filter(F.col("bits") <= most)
+    return pairs.join(left, "a").join(right, "b").filter(fits).select("a", "b", bits.cast("long").alias("bits")).filter(F.col("bits") <= most)
 
 
 def near_components(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
@@ -293,7 +306,7 @@ def near_components(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
     ``docs``: doc_id, _text (bytes). Documents with the same set are one class, and only its least
     doc_id is compared. Classes that share a band are candidates; equal buckets are looked at once.
     First every class is compared with the nearest, by odd sketch, of the least candidates of its buckets. Then
-    rounds propose, for every row of a bucket that still has several labels, the likeliest 1, 4, 16 … partners with
+    rounds propose, for every row of a bucket that still has several labels, the likeliest 4, 16, 64 … partners with
     other labels over all its buckets, until no row has a further one below the bound on differing bits. A large
     group of copies so costs a few pairs per copy, and no link between different sets is passed over. All
     links are confirmed on full sets; only documents of such pairs have their sets made. Labels are brought up to date
@@ -302,15 +315,15 @@ def near_components(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
     scratch = Scratch(docs.sparkSession)
     marks = scratch.keep("marks", signatures(docs, size))
     classes = scratch.keep("classes", marks.filter("set_key is not null").groupBy("set_key").agg(
-        F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     exploded = classes.select(F.col("rep").alias("doc_id"), F.explode("bands").alias("bucket"))
     buckets = exploded.groupBy("bucket").agg(
         F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.bit_xor(F.xxhash64("doc_id")).alias("mark")).filter("n > 1")
     once = buckets.groupBy("n", "lo", "mark").agg(F.min("bucket").alias("bucket"))
     members = scratch.keep("members", exploded.join(once.select("bucket", "lo"), "bucket"))
-    sketches = classes.select(F.col("rep").alias("doc_id"), "sketch")
+    sketches = classes.select(F.col("rep").alias("doc_id"), "n_shingles", "sketch")
     most = most_bits(percent, BANDS * ROWS)
-    leads = _differing(members.filter("doc_id <> lo").select(F.col("doc_id").alias("a"), F.col("lo").alias("b")).distinct(), sketches, most)
+    leads = _differing(members.filter("doc_id <> lo").select(F.col("doc_id").alias("a"), F.col("lo").alias("b")).distinct(), sketches, most, percent)
     first = leads.groupBy("a").agg(F.min_by("b", F.struct("bits", "b")).alias("b"))
     label = docs.sparkSession.createDataFrame([], "node long, comp long")
 
@@ -320,7 +333,10 @@ def near_components(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
         wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
         if wanted.limit(FILTER_IDS + 1).count() <= FILTER_IDS:
             wanted = F.broadcast(wanted)
-        sets = scratch.keep("sets", shingle_sets(squeezed(docs.join(wanted, "doc_id", "left_semi")), size))
+            texts, pressed = docs, False
+        else:
+            texts, pressed = squeezed(docs), True  # before the shuffle
+        sets = scratch.keep("sets", shingle_sets(texts.join(wanted, "doc_id", "left_semi"), size, pressed))
         found = scratch.keep("links", confirmed(pairs, sets, percent))
         scratch.drop("sets", "pairs")
         return found
@@ -328,7 +344,8 @@ def near_components(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
     label = _merged(label, linked(first), scratch)
     end, open_members = PROPOSED, members.select("bucket", "doc_id")
     while True:
-        found = scratch.keep("found", proposals(_tasks(open_members, label).join(sketches, "doc_id"), most, end + 1))
+        tasks = _tasks(_open(open_members, label, scratch)).join(sketches, "doc_id")
+        found = scratch.keep("found", proposals(tasks, most, end + 1, percent))
         near = found.filter("bits is not null").groupBy("a", "b").agg(F.min("bits").alias("bits"))
         rank = F.row_number().over(Window.partitionBy("a").orderBy("bits", "b"))
         ranked = scratch.keep("ranked", near.withColumn("rank", rank).filter(F.col("rank") <= end + 1))
@@ -337,9 +354,9 @@ def near_components(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
         if ranked.filter(F.col("rank") > end).isEmpty():
             break  # every pair across labels was proposed, and so confirmed or refuted
         again = found.filter("bits is null").select(F.col("a").alias("bucket")).distinct()
-        open_members = scratch.keep("open", open_members.join(again, "bucket"))
+        open_members = scratch.keep("members", open_members.join(again, "bucket"))
         end *= 4
-    scratch.drop("members", "open", "found", "ranked", "links", "edges")
+    scratch.drop("members", "open", "lead", "found", "ranked", "links", "edges")
     whole = marks.select("doc_id", "n_shingles", "set_key").join(classes.select("set_key", "rep"), "set_key", "left").join(
         label.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("comp", "rep", "doc_id")
