@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,8 +77,8 @@ def _plain(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def csv_rows(df: DataFrame) -> DataFrame:
-    """The 13 CSV columns as text, in header order; a TTL of 0 is empty like a missing one."""
+def csv_rows(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """The 13 CSV columns as text, in header order, and the columns to ``keep``; a TTL of 0 is empty like a missing one."""
     empty = F.array().cast("array<string>")
     return df.select(
         _time(df).alias("Time"),
@@ -92,11 +94,12 @@ def csv_rows(df: DataFrame) -> DataFrame:
         F.coalesce(F.nullif("ttl", F.lit(0)).cast("string"), F.lit("")).alias("TTL"),
         _plain("tool").alias("Tool"),
         _plain("mode").alias("Mode"),
+        *keep,
     )
 
 
-def json_rows(df: DataFrame) -> DataFrame:
-    """The 14 fields of a JSON export record; a TTL of 0 is null like a missing one."""
+def json_rows(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """The 14 fields of a JSON export record, and the columns to ``keep``; a TTL of 0 is null like a missing one."""
     empty = F.array().cast("array<string>")
     return df.select(
         _time(df).alias("time"),
@@ -113,4 +116,5 @@ def json_rows(df: DataFrame) -> DataFrame:
         F.nullif("ttl", F.lit(0)).alias("ttl"),
         _plain("tool").alias("tool"),
         _plain("mode").alias("mode"),
+        *keep,
     )

@@ -723,6 +723,37 @@ def export_json_rows(spark, folder):
     return rows.withColumnsRenamed({"threatScore": "threat_score", "threatReasons": "threat_reasons"})
 
 
+@query
+def export_json_file(spark, folder):
+    """The written JSON report, read back."""
+    path = new_folder(spark, "json")
+    events = t.events(spark, folder)
+    exports.export_json(events, path)
+    rows = spark.read.schema(views.json_rows(events).schema).json(f"{path}/events")
+    return flat(rows).withColumnsRenamed({"threatScore": "threat_score", "threatReasons": "threat_reasons"})
+
+
+@query
+def packets_json_file(spark, folder):
+    """The written packet report, read back, with the counts of its metadata."""
+    path = new_folder(spark, "packets")
+    frames = derived.frames(t.raw(spark, folder))
+    report = packet_metadata(frames)
+    packets.export_packets_json(report, frames, path)
+    counted = spark.read.schema("packet_count bigint, dns_event_count bigint").json(f"{path}/metadata")
+    return summary.attach_row(flat(spark.read.schema(report.schema).json(f"{path}/events")), counted)
+
+
+@query
+def packets_csv_file(spark, folder):
+    """The written packet CSV, read back."""
+    path = new_folder(spark, "packets")
+    report = packet_metadata(derived.frames(t.raw(spark, folder)))
+    packets.export_packets_csv(report, path)
+    rows = spark.read.schema(packets.packet_csv_rows(report).schema).option("escape", '"').csv(path, header=True)
+    return rows.select(*[F.coalesce(name, F.lit("")).alias(name) for name in rows.columns])
+
+
 @query
 def export_metadata(spark, folder):
     events = t.events(spark, folder)

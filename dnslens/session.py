@@ -5,6 +5,8 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -87,6 +89,20 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def held(df: DataFrame) -> Iterator[tuple[DataFrame, int]]:
+    """``df`` worked out once, as a table in the shared folder that is deleted at the end, and its number of rows
+    (from the files' footers)."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/held-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    try:
+        back = spark.read.schema(df.schema).parquet(path)
+        yield back, back.count()
+    finally:
+        delete_folder(spark, path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder, so lost executors cost no recomputation."""
     spark = df.sparkSession

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dnslens import dims
+from dnslens.session import held
 
 
 def packet_counts(frames: DataFrame) -> DataFrame:
@@ -35,16 +36,18 @@ def packet_csv_rows(report: DataFrame) -> DataFrame:
 
 
 def export_packets_csv(report: DataFrame, path: str) -> bool:
-    """Write the report as CSV (cells quoted where needed); nothing when it is empty."""
-    if report.isEmpty():
-        return False
-    rows = packet_csv_rows(report.orderBy("timestamp"))
-    rows.write.mode("overwrite").option("escape", '"').option("emptyValue", "").csv(path, header=True)
+    """Write the report as CSV (cells quoted where needed); nothing when it is empty. The report is worked out once."""
+    with held(report) as (rows, count):
+        if not count:
+            return False
+        lines = packet_csv_rows(rows.orderBy("timestamp"))
+        lines.write.mode("overwrite").option("escape", '"').option("emptyValue", "").csv(path, header=True)
     return True
 
 
 def export_packets_json(report: DataFrame, frames: DataFrame, path: str) -> None:
-    """Write ``path/events`` (one record per line) and ``path/metadata``."""
-    report.orderBy("timestamp").write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/events")
+    """Write ``path/events`` (one record per line) and ``path/metadata``. The report is worked out once."""
+    with held(report) as (rows, _):
+        rows.orderBy("timestamp").write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/events")
     metadata = packet_counts(frames).withColumn("generated_at", F.current_timestamp())
     metadata.write.mode("overwrite").json(f"{path}/metadata")

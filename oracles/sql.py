@@ -538,6 +538,10 @@ SELECT iso_time, (us // 1000000) || '.' || CASE WHEN us % 1000000 = 0 THEN '0' E
  source_ip, dest_ip, transport, CAST(packet_length AS VARCHAR) AS packet_length, CAST(dns_id AS VARCHAR) AS dns_id,
  CASE WHEN is_response THEN 'True' ELSE 'False' END AS is_response, domain, qtype, CAST(rcode AS VARCHAR) AS rcode,
  coalesce(replace(a, ';', ', '), '') AS answers, CASE WHEN a IS NULL THEN '' ELSE ttl || ', ' || ttl END AS ttls FROM pk""")
+oracle("packets_csv_file", PACKETS + ",\nrep AS (" + ORACLES["packet_csv_rows"][ORACLES["packet_csv_rows"].rindex("SELECT iso_time"):] + ")",
+       "SELECT " + ", ".join(f"coalesce({name}, '') AS {name}" for name in dims.PACKET_HEADER) + " FROM rep")
+oracle("packets_json_file", PACKETS + ",\nrep AS (" + ORACLES["packet_report"][ORACLES["packet_report"].rindex("SELECT iso_time"):] + ")", """
+SELECT *, (SELECT count(*) FROM dns_raw) AS packet_count, (SELECT count(*) FROM dns_raw WHERE event_type <> 'signup') AS dns_event_count FROM rep""")
 oracle("capture_decode", RAW, """
 SELECT seq, transport, CAST(50000 AS INTEGER) AS source_port, CAST(53 AS INTEGER) AS destination_port,
  CASE WHEN contains(destination_ip, ':') THEN '2001:db8::25' ELSE source_ip END AS source_ip, destination_ip AS dest_ip,
@@ -564,6 +568,7 @@ oracle("export_json_rows", SCORED, """
 SELECT strftime(event_ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS time, domain, record_type AS type, protocol AS method,
  threat_level AS threat, threat_score, array_to_string(reasons, '|') AS threat_reasons, source_ip AS client,
  destination_ip AS resolver, transport, coalesce(replace(answers_raw, ';', '|'), '') AS answers, nullif(ttl, 0) AS ttl, tool, mode FROM scored""")
+ORACLES["export_json_file"] = ORACLES["export_json_rows"]
 oracle("export_metadata", SCORED, f"""
 SELECT count(*) FILTER ({_any('google')}) AS event_count, 'google' AS search, count(*) AS total_events,
  {_top('domain', 'scored', 'unknown')} AS top_domain FROM scored""")
