@@ -75,38 +75,38 @@ RCODES = {
 # Query types named in the packet report.
 PACKET_QTYPES = {
     1: "A",
+    28: "AAAA",
+    15: "MX",
+    16: "TXT",
     2: "NS",
     5: "CNAME",
     6: "SOA",
-    15: "MX",
-    16: "TXT",
-    28: "AAAA",
     65: "HTTPS",
 }
 
 # Reputation weight of top-level domains.
 TLD_WEIGHTS = {
-    "buzz": 8,
-    "cam": 8,
-    "cf": 10,
-    "click": 6,
-    "club": 7,
+    "tk": 10,
+    "ml": 10,
     "ga": 10,
+    "cf": 10,
     "gq": 10,
-    "icu": 8,
+    "top": 8,
+    "xyz": 8,
+    "buzz": 8,
+    "club": 7,
+    "work": 7,
     "info": 6,
+    "click": 6,
     "link": 6,
-    "ml": 10,
-    "monster": 8,
     "online": 6,
-    "rest": 7,
     "site": 6,
-    "surf": 7,
-    "tk": 10,
-    "top": 8,
+    "icu": 8,
+    "cam": 8,
+    "monster": 8,
+    "rest": 7,
     "uno": 7,
-    "work": 7,
-    "xyz": 8,
+    "surf": 7,
 }
 
 # Popular names a typosquatter may imitate, in list order.
@@ -128,7 +128,7 @@ POPULAR_DOMAINS = [
 ]
 
 # Record types that earn points by themselves.
-UNUSUAL_TYPES = ["ANY", "AXFR", "HINFO", "IXFR", "KEY", "NULL", "SIG", "TXT"]
+UNUSUAL_TYPES = ["TXT", "NULL", "ANY", "AXFR", "IXFR", "HINFO", "KEY", "SIG"]
 
 # Look-alike characters: each of the first string reads as its partner in the second.
 HOMOGLYPHS_FROM = "i10"
@@ -195,9 +195,9 @@ NOTE_EXITED = "Capture exited with status code %s."
 
 # Quick filter groups of record types.
 TYPE_GROUPS = {
-    "browser": ["A", "AAAA", "CNAME", "HTTPS"],
-    "infrastructure": ["NS", "SOA"],
+    "browser": ["A", "AAAA", "HTTPS", "CNAME"],
     "mail": ["MX", "TXT"],
+    "infrastructure": ["NS", "SOA"],
 }
 
 # Ports that carry DNS: plain, over HTTPS / QUIC, over TLS.

@@ -4,20 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dnslens import dims
 from dnslens.functions.text import fill, non_empty
 from dnslens.operators.ordered import with_island, with_previous_max
-from dnslens.session import broadcast_if_small, cut_lineage
+from dnslens.session import broadcast_if_small, cut_lineage, written
 
 DEFAULT_GAP = "10 seconds"
 # Candidates one key may have before its suppression is split over many tasks.
 MAX_GROUP_ROWS = 100_000
-# Width of the time slices a split key is cut into.
-SLICE_US = 10_000_000
 
 
 def gap_micros(gap: str) -> int:
@@ -76,61 +74,59 @@ def _suppress_small(rows: DataFrame, gap: int, payload: list[str]) -> DataFrame:
     return picked.select("_r.seq", *[f"_r.{name}" for name in payload])
 
 
-def _next_due(points: DataFrame, gap: int) -> DataFrame:
-    """``(_key, _time, _next)``: the first later time of the key at least ``gap`` away.
+def step_map(times: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a slice of sorted times does to the moment from which an alert is due again.
 
-    Times and the moments they look for are merged per (key, time slice) and read
-    backwards; slices without an answer take the first time of a later slice from a
-    summary with one row per slice.
+    ``(entries, exits)``: a moment up to ``entries[i]``, and after ``entries[i - 1]``, becomes ``exits[i]``; later ones stay as they are.
+    A moment that enters is at most ``gap`` after the slice's first time, so only entries up to the first one behind that are kept.
+    Every time points to the next one due; the pointers are followed to the slice's end in doubling strides.
     """
-    def slice_of(col: Column) -> Column:
-        return col - F.pmod(col, F.lit(SLICE_US))
-
-    due = F.col("_time") + F.lit(gap)
-    events = points.select(
-        "_key", slice_of(F.col("_time")).alias("_slice"), F.col("_time").alias("_at"), F.lit(0).alias("_probe"),
-        F.col("_time").alias("_hit"), F.lit(None).cast("bigint").alias("_time"),
-    )
-    probes = points.select(
-        "_key", slice_of(due).alias("_slice"), due.alias("_at"), F.lit(1).alias("_probe"),
-        F.lit(None).cast("bigint").alias("_hit"), F.col("_time"),
-    )
-    merged = events.unionByName(probes)
-    backwards = (
-        Window.partitionBy("_key", "_slice")
-        .orderBy(F.col("_at").desc(), "_probe")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    found = merged.withColumn("_found", F.min("_hit").over(backwards)).filter("_probe = 1")
-    firsts = merged.groupBy("_key", "_slice").agg(F.min("_hit").alias("_first"))
-    later = Window.partitionBy("_key").orderBy(F.col("_slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    firsts = firsts.select("_key", "_slice", F.min("_first").over(later).alias("_later"))
-    return found.join(firsts, ["_key", "_slice"]).select(
-        "_key", "_time", F.coalesce("_found", "_later").alias("_next")
-    )
-
-
-def _suppress_split(rows: DataFrame, gap: int, payload: list[str]) -> DataFrame:
-    """Suppression for keys of any size, as joins on (key, time).
-
-    Every time points to the next one due. Following the pointers from the first
-    time of a key, with strides that double each round, reaches all kept times in
-    logarithmically many rounds. No step gathers a key in one task.
+    count = len(times)
+    onward = np.searchsorted(times, times + gap)
+    last = np.where(onward < count, onward, np.arange(count))
+    while (last[last] != last).any():
+        last = last[last]
+    exits = times[last] + gap
+    used = min(count, int(np.searchsorted(times, times[0] + gap, "right")) + 1)
+    entries, exits = times[:used], exits[:used]
+    new = np.append(exits[1:] != exits[:-1], True)
+    return entries[new], exits[new]
+
+
+def _suppress_split(rows: DataFrame, gap: int, payload: list[str], slice_rows: int) -> DataFrame:
+    """Suppression for keys of any size, cut into slices of about ``slice_rows`` rows in order of time.
+
+    Each slice is reduced to its step map, in its own task; a key's maps, short ones, are applied one
+    after another to find the moment from which each slice may alert; then the slices pick their
+    rows, again each on its own.
     """
     first = F.min_by(F.struct("seq", *payload), F.struct("_order", "seq"))
-    points = cut_lineage(rows.groupBy("_key", "_time").agg(first.alias("_row")))
-    jumps = cut_lineage(_next_due(points.select("_key", "_time"), gap).filter(F.col("_next").isNotNull()))
-    kept = points.groupBy("_key").agg(F.min("_time").alias("_time"))
-    while True:
-        stepped = kept.join(jumps, ["_key", "_time"]).select("_key", F.col("_next").alias("_time"))
-        stepped = cut_lineage(stepped)
-        if stepped.isEmpty():
-            break
-        kept = cut_lineage(kept.unionByName(stepped))
-        onward = jumps.select("_key", F.col("_time").alias("_next"), F.col("_next").alias("_after"))
-        jumps = cut_lineage(
-            jumps.join(onward, ["_key", "_next"]).select("_key", "_time", F.col("_after").alias("_next"))
-        )
+    points = written(rows.groupBy("_key", "_time").agg(first.alias("_row")))
+    slices = max(1, -(-points.count() // slice_rows))
+    times = points.select("_key", "_time").repartitionByRange(slices, "_key", "_time").withColumn("_slice", F.spark_partition_id())
+    times = written(times)
+
+    def reduce(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        entries, exits = step_map(np.sort(frame["_time"].to_numpy()), gap)
+        return pd.DataFrame({"_key": [key[0]], "_slice": [key[1]], "entries": [entries], "exits": [exits]})
+
+    def follow(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame, due, dues = frame.sort_values("_slice"), np.iinfo(np.int64).min // 2, []
+        for entries, exits in zip(frame["entries"], frame["exits"], strict=True):
+            dues.append(due)
+            at = int(np.searchsorted(entries, due))
+            due = int(exits[at]) if at < len(exits) else due
+        return pd.DataFrame({"_key": key[0], "_slice": frame["_slice"], "due": dues})
+
+    def pick(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        own = np.sort(frame["_time"].to_numpy())
+        kept = keep_after_gap(own, gap, int(frame["due"].iloc[0]) - gap)
+        return pd.DataFrame({"_key": key[0], "_time": own[kept]})
+
+    kind = times.schema["_key"].dataType.simpleString()
+    maps = times.groupBy("_key", "_slice").applyInPandas(reduce, f"_key {kind}, _slice int, entries array<bigint>, exits array<bigint>")
+    due = written(maps.groupBy("_key").applyInPandas(follow, f"_key {kind}, _slice int, due bigint"))
+    kept = times.join(broadcast_if_small(due), ["_key", "_slice"]).groupBy("_key", "_slice").applyInPandas(pick, f"_key {kind}, _time bigint")
     return points.join(kept, ["_key", "_time"], "left_semi").select("_row.*")
 
 
@@ -177,7 +173,7 @@ def alerts(
         # a row can only be kept when it is later than everything before it in its run
         large = with_previous_max(large, ["_key"], "_time", chunk_rows=chunk_rows)
         large = large.filter(F.col("previous_max").isNull() | (F.col("_time") > F.col("previous_max")))
-    split = _suppress_split(large, wanted, payload)
+    split = _suppress_split(large, wanted, payload, max_group_rows)
     small = _suppress_small(rows.join(hot, "_key", "left_anti"), wanted, payload)
     return small.unionByName(split).unionByName(untimed)
 

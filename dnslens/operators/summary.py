@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dnslens import dims
 from dnslens.functions.rounding import fixed_text, round_even, round_up
 from dnslens.operators.filters import known
 from dnslens.operators.ordered import newest_per_key
@@ -135,8 +136,14 @@ def _sections(broken: DataFrame, top_domains: int, top_sources: int) -> DataFram
     return small.unionByName(tops).select(F.col("dimension").alias("section"), "value", "events", "last_seq")
 
 
-def summary_record(df: DataFrame, top_domains: int = 8, top_sources: int = 5) -> DataFrame:
-    """The summary as one row with maps and arrays (small: types, transports, codes, levels, tops)."""
+def summary_record(
+    df: DataFrame, top_domains: int = 8, top_sources: int = 5, feed: DataFrame | None = None, sessions: DataFrame | None = None
+) -> DataFrame:
+    """The summary as one row with maps and arrays (small: types, transports, codes, levels, tops).
+
+    ``feed`` (``sessions.activity_feed``) adds ``recent_activity``, its newest entries, newest first; ``sessions``
+    (stored ones) adds ``history_count``.
+    """
     broken = cut_lineage(breakdowns(df))
     long = _sections(broken, top_domains, top_sources)
     entry = F.struct(F.col("value"), F.col("events"))
@@ -154,4 +161,12 @@ def summary_record(df: DataFrame, top_domains: int = 8, top_sources: int = 5) ->
         top_list("domain", "top_domains"),
         top_list("source_ip", "top_source_ips"),
     )
-    return attach_row(scalars(df, broken), packed)
+    record = attach_row(scalars(df, broken), packed)
+    if feed is not None:
+        newest = feed.orderBy(F.desc("first_seq")).limit(dims.BUFFER_ACTIVITY)
+        entry = F.struct("first_seq", "event_ts", "level", "message")
+        told = F.transform(F.sort_array(F.collect_list(entry), asc=False), lambda e: e.dropFields("first_seq"))
+        record = attach_row(record, newest.agg(told.alias("recent_activity")))
+    if sessions is not None:
+        record = attach_row(record, sessions.agg(F.count("*").alias("history_count")))
+    return record

@@ -30,6 +30,29 @@ def page(df: DataFrame, before: int | None = None, rows: int = dims.PAGE_ROWS, s
     return latest(df, rows, seq)
 
 
+def newest_before(df: DataFrame, rows: int = dims.PAGE_ROWS, before: int | None = None, seq: str = "seq") -> DataFrame:
+    """``page`` over a store written in order of arrival, without reading it all.
+
+    Asks for a bounded range of arrival numbers, twice as many as rows are wanted, and four times as many again while
+    rows are missing; both bounds reach the scan, where the files' own statistics skip what lies outside.
+    Each step counts one range; there are as many steps as the gaps in the numbers make necessary.
+    """
+    if before is None:
+        before = (df.agg(F.max(seq)).first()[0] or 0) + 1
+    least, width = None, 2 * rows
+    while True:
+        low = before - width
+        part = df.filter((F.col(seq) >= low) & (F.col(seq) < before))
+        if part.limit(rows).count() >= rows:
+            break
+        if least is None:
+            least = df.agg(F.min(seq)).first()[0]
+        if least is None or low <= least:
+            break
+        width *= 4
+    return latest(part, rows, seq)
+
+
 def latest_by_id(df: DataFrame, key: str = "id", seq: str = "seq") -> DataFrame:
     """One row per id: the newest record wins."""
     return newest_per_key(df, [key], 1, [F.col(seq).desc()])

@@ -287,6 +287,16 @@ def summary_record(spark, folder):
     )
 
 
+@query
+def summary_activity(spark, folder):
+    """The summary record with the newest activity of all sessions and the number of stored ones."""
+    raw = t.raw(spark, folder)
+    record = summary.summary_record(
+        t.events(spark, folder), feed=sessions.activity_feed(_envelope_messages(raw)), sessions=derived.stored_sessions(raw))
+    entries = F.transform("recent_activity", lambda e: F.concat_ws(" ", e["level"], e["message"]))
+    return record.select("total_events", "unique_domains", "history_count", F.array_join(entries, "|").alias("activity"))
+
+
 @query
 def latest_events(spark, folder):
     return windows.latest(t.events(spark, folder, score=False)).select("id", "seq", "domain")
@@ -407,6 +417,14 @@ def page(spark, folder):
     return _found(windows.page(t.events(spark, folder, score=False), before=800))
 
 
+@query
+def store_page(spark, folder):
+    """A page of a store, by bounded ranges of arrival numbers."""
+    path = new_folder(spark, "store")
+    store.write_events(t.events(spark, folder, score=False), path)
+    return _found(windows.newest_before(store.read_events(spark, path), before=800))
+
+
 @query
 def latest_by_id(spark, folder):
     events = t.events(spark, folder, score=False)
@@ -843,6 +861,13 @@ def stream_totals(spark, folder):
     return flat(drain_partials(build_events(raw, t.TOOL, t.MODE, score=False), later).totals())
 
 
+@query
+def stream_top_domains(spark, folder):
+    """The most frequent names of a stream, from its partial aggregates."""
+    raw, later = _raw_arriving(spark, folder)
+    return drain_partials(build_events(raw, t.TOOL, t.MODE, score=False), later).top("domain", 8)
+
+
 @query
 def stream_traffic(spark, folder):
     """Closed one-hour buckets; the newest stay open until the watermark passes them."""

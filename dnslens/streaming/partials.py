@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from dnslens.operators.filters import known
 from dnslens.operators.summary import DIMENSIONS, breakdowns
+from dnslens.operators.windows import top_k
 from dnslens.session import delete_folder, folder_exists
 from dnslens.streaming.run import drain_batches, new_folder
 
@@ -62,6 +63,11 @@ class Partials:
         """``summary.breakdowns`` of everything recorded."""
         return _values(self._read("values", VALUES))
 
+    def top(self, dimension: str, k: int) -> DataFrame:
+        """The ``k`` most frequent known values of a dimension, exactly, with counts; ties go to the newest seen."""
+        counted = self.breakdowns().filter(F.col("dimension") == dimension)
+        return top_k(counted, k).select(F.col("value").alias(dimension), "events")
+
     def totals(self, exact: bool = True) -> DataFrame:
         """One row: total_events, unique_domains, last_event_at. ``exact`` counts the names of the
         breakdown; otherwise their sketches are united, one small row a batch, with the error of ``SKETCH_LG``."""

@@ -272,6 +272,7 @@ SELECT id, domain, record_type, protocol, transport, rcode AS response_code, sou
  event_ts AS timestamp, confidence, threat_score || '/100' AS score_label, least(threat_score, 100) AS bar_width,
  threat_level, {REASONS} AS threat_reasons, coalesce({TEXT_ANSWERS}, '') AS answers FROM scored""")
 oracle("page", EVENTS, f"SELECT {FOUND} FROM ev WHERE seq < 800 ORDER BY seq DESC LIMIT 100")
+ORACLES["store_page"] = ORACLES["page"]
 oracle("latest_by_id", EVENTS, """
 SELECT domain, max(seq) AS seq, arg_max(source_ip, seq) AS source_ip FROM ev GROUP BY domain""")
 oracle("first_events", EVENTS, f"SELECT {FOUND} FROM ev ORDER BY seq LIMIT 250")
@@ -368,6 +369,11 @@ ends AS (SELECT *, row_number() OVER (PARTITION BY session_id, run ORDER BY seq
 SELECT session_id, min(seq) AS first_seq, level, message, any_value(event_ts) FILTER (back = 1) AS event_ts, count(*) AS entries
 FROM ends GROUP BY session_id, run, level, message""")
 ORACLES["activity_feed_chunked"] = ORACLES["stream_activity_feed"] = ORACLES["activity_feed"]
+oracle("summary_activity", ORACLES["activity_feed"][5:ORACLES["activity_feed"].rindex("\nSELECT session_id, min(seq)")] + """,
+newest AS (SELECT min(seq) AS first_seq, level, message FROM ends GROUP BY session_id, run, level, message ORDER BY first_seq DESC LIMIT 40)""", """
+SELECT (SELECT count(*) FROM ev) AS total_events, (SELECT count(DISTINCT domain) FROM ev WHERE domain <> 'unknown') AS unique_domains,
+ (SELECT count(DISTINCT user_id) FROM dns_raw) AS history_count,
+ (SELECT string_agg(level || ' ' || message, '|' ORDER BY first_seq DESC) FROM newest) AS activity""")
 oracle("ledger_from_envelopes", ENVELOPES + """,
 numbered AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS n FROM env),
 walk AS (
@@ -585,6 +591,7 @@ UNION ALL SELECT 'transport', transport, count(*) FROM scored GROUP BY transport
 UNION ALL SELECT 'rcode', rcode, count(*) FROM scored GROUP BY rcode
 UNION ALL SELECT 'domain', domain, count(*) FROM scored WHERE domain <> 'unknown' GROUP BY domain
 UNION ALL SELECT 'source_ip', source_ip, count(*) FROM scored WHERE source_ip <> 'unknown' GROUP BY source_ip""")
+ORACLES["stream_top_domains"] = ORACLES["top_domains"]
 oracle("stream_totals", EVENTS, """
 SELECT count(*) AS total_events, count(DISTINCT domain) FILTER (domain <> 'unknown') AS unique_domains, arg_max(event_ts, seq) AS last_event_at FROM ev""")
 oracle("stream_latest_by_id", EVENTS, """

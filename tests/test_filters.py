@@ -129,3 +129,21 @@ def test_browser_patterns(spark, term, hits):
     match = filters.term_match(term, "domain")
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup()) == jobs  # no job for a term
     assert [r.domain for r in df.filter(match).collect()] == hits
+
+
+def test_newest_before_reads_bounded_ranges(spark, tmp_path):
+    """Pages over a store with gaps in its numbers; both bounds reach the scan."""
+    from dnslens.operators.windows import newest_before, page
+    from dnslens.sinks import store
+
+    numbers = [*range(1, 60), *range(4_000, 4_030), 90_000]
+    events = spark.createDataFrame([(n,) for n in numbers], "seq bigint").selectExpr("seq", "timestamp_seconds(seq * 40) AS event_ts")
+    store.write_events(events, str(tmp_path / "s"))
+    back = store.read_events(spark, str(tmp_path / "s"))
+    for before in (None, 90_000, 4_010, 30, 1):
+        for rows in (1, 7, 40, 500):
+            got = newest_before(back, rows, before)
+            assert [r.seq for r in got.collect()] == [r.seq for r in page(back, before, rows).collect()]
+    plan = newest_before(back, 7, 4_010)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(seq," in plan and "LessThan(seq,4010)" in plan
+    assert newest_before(back.limit(0), 5).count() == 0

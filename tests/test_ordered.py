@@ -204,3 +204,27 @@ def test_alerts_without_times(spark):
             assert got == [0, 1, 3, 5, 7, 9], (scope, limit)
     nothing = frame.filter("event_ts is null")
     assert alerts(nothing, "10 seconds").count() == alerts(nothing, "10 seconds", max_group_rows=1).count() == 5
+
+
+def test_step_maps_compose():
+    """Maps of slices, applied one after another, lead where following all times does."""
+    import random
+
+    import numpy as np
+
+    from dnslens.operators.alerts import keep_after_gap, step_map
+
+    rng = random.Random(8)
+    for gap in (1, 7, 40, 1000):
+        for _ in range(60):
+            times = np.array(sorted(rng.sample(range(600), rng.randrange(1, 120))), np.int64)
+            cuts = sorted({0, len(times), *(rng.randrange(len(times) + 1) for _ in range(4))})
+            due, kept = -(1 << 40), []
+            for low, high in zip(cuts, cuts[1:]):
+                part = times[low:high]
+                kept += [low + k for k in keep_after_gap(part, gap, due - gap)]
+                entries, exits = step_map(part, gap)
+                at = int(np.searchsorted(entries, due))
+                due = int(exits[at]) if at < len(exits) else due
+            assert kept == keep_after_gap(times, gap)
+            assert due == times[kept[-1]] + gap
