@@ -27,4 +27,5 @@ ORACLES = {
     "op9_substring_dedup": substrings.SQL,
     "op10_url_filters": urls.SQL,
     "op11_source_divergence_audit": divergence.SQL,
+    "op12_conversation_structure_repair": repair.SQL,
 }

@@ -380,3 +380,72 @@ def op12_conversation_structure_repair(spark: SparkSession, folder: str) -> Data
     """All conversations, damaged by rule, with their faults, the least audit of the cheapest repair and its digest."""
     rows = read_table(spark, folder, "conversations")
     return repair_digests(damage(rows), rows.select("conv_id"))
+
+
+def _sql() -> str:
+    """The same rows as one SQL statement: states of the least (cost, audit) are carried from row to row."""
+    blanks = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+    def arc(state: str, cost: str, letter: str, turn: str | None = None, when: str = "true") -> str:
+        turns = f"list_append({state}.t, {turn})" if turn else f"{state}.t"
+        return f"{{'c': {state}.c + CASE WHEN {when} THEN {cost} ELSE 1000000 END, 'a': {state}.a || '{letter}', 't': {turns}}}"
+
+    def least(*options: str) -> str:
+        return f"list_sort([{', '.join(options)}])[1]"
+
+    def put(state: str, role: str) -> str:
+        return arc(state, str(INSERT), "I", f"'{role}:'")
+
+    kept = "m.fault IN ('', 'cut')"
+    more = f"CASE WHEN m.fault = 'cut' THEN {TRUNCATED} ELSE 0 END"
+
+    def into(own: str, befores: list[str], role: str) -> str:
+        options = [arc(own, str(DELETE), "D")]
+        for state in befores:
+            options += [arc(state, more, "K", "m.role || ':' || m.text", f"{kept} AND m.role LIKE '{role[0]}%'"),
+                        arc(state, f"{REROLE} + {more}", "R", f"'{role}:' || m.text", kept)]
+        return least(*options)
+
+    start = "{'c': CAST(0 AS BIGINT), 'a': '', 't': CAST([] AS VARCHAR[])}"
+    never = "{'c': CAST(1000000 AS BIGINT), 'a': '', 't': CAST([] AS VARCHAR[])}"
+    return f"""
+WITH RECURSIVE shown AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+steps AS (SELECT *, flatten(list_transform(string_split(key, ''), lambda x: [CAST(ord(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])) AS ops FROM shown),
+kinds AS (
+    SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), ops), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x)
+           WHEN c % 2 = 1 THEN xor(c // 2, CAST(3988292384 AS BIGINT)) ELSE c // 2 END), CAST(4294967295 AS BIGINT)) % 20 AS kind FROM steps),
+damaged AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+           CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+           unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM kinds WHERE kind <> 0),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS n, rtrim(text, {blanks}) AS flat FROM damaged),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) AS nth FROM placed),
+marked AS (
+    SELECT *, CASE WHEN flat = '' THEN 'blank' WHEN nth > 1 THEN 'copy' WHEN right(flat, 1) NOT IN ('.', '!', '?') THEN 'cut' ELSE '' END AS fault,
+           lag(role) OVER (PARTITION BY conv_id ORDER BY n) AS ahead FROM seen),
+walk AS (
+    SELECT conv_id, CAST(0 AS BIGINT) AS n, {start} AS s0, {never} AS s1, {put(start, "user")} AS s2,
+           {put(put(start, "user"), "assistant")} AS s3 FROM (SELECT DISTINCT conv_id FROM conversations)
+    UNION ALL
+    SELECT conv_id, n, s0, s1, s2, {least("s3", put("s2", "assistant"))} FROM (
+        SELECT conv_id, n, s0, s1, {least("s2", *[put(x, "user") for x in ("s0", "s1", "s3")])} AS s2, s3 FROM (
+            SELECT w.conv_id, m.n, {arc("w.s0", str(DELETE), "D")} AS s0,
+                   {least(arc("w.s1", str(DELETE), "D"), arc("w.s0", more, "K", "m.role || ':' || m.text", f"{kept} AND m.role LIKE 's%'"))} AS s1,
+                   {into("w.s2", ["w.s0", "w.s1", "w.s3"], "user")} AS s2, {into("w.s3", ["w.s2"], "assistant")} AS s3
+            FROM walk w JOIN marked m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.n = w.n + 1))),
+final AS (
+    SELECT conv_id, {least("s0", "s3")} AS best FROM walk QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC) = 1),
+told AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+           count(*) FILTER (fault = 'copy') AS duplicate, count(*) FILTER (fault = 'cut') AS truncated,
+           count(*) FILTER (n > 1 AND left(ahead, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM marked GROUP BY conv_id)
+SELECT f.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, best.c AS cost, best.a AS audit, sha256(array_to_string(best.t, chr(10))) AS repaired_sha256
+FROM final f LEFT JOIN told t ON t.conv_id IS NOT DISTINCT FROM f.conv_id
+"""
+
+
+SQL = _sql()
