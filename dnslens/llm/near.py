@@ -16,8 +16,8 @@ from dnslens.session import broadcast_if_small
 #: 48 bands of 6 rows: two sets that share 0.8 of their union miss every band with probability 5e-7, two
 #: that share 0.3 meet in one with 0.03.
 BANDS, ROWS = 48, 6
-#: Bits of an odd sketch.
-SKETCH_BITS = 1024
+#: Bits of an odd sketch, and ranges of the hash of which it holds the least hash each.
+SKETCH_BITS, BINS = 2048, 4096
 #: Candidates whose sketches differ in more bits than sets at the limit would, by this many standard
 #: deviations, are no links (3 in 10^7 links at the limit would be lost, fewer above it).
 DEVIATIONS = 5.0
@@ -58,28 +58,41 @@ def _sets(words: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray,
     return value, np.searchsorted(row, np.arange(len(lengths) + 1))
 
 
-def _signatures(values: np.ndarray, begin: np.ndarray, bands: int, rows: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Band hashes and odd sketches of sets (none of them empty).
-
-    Each sample is the least of the hashes' upper halves under a permutation of 32-bit numbers.
-    The odd sketch folds the samples, as elements (number, least hash), into the parity of bits:
-    equal samples of two sets cancel in the XOR, each differing pair flips two bits.
-    """
-    count = len(begin) - 1
+def _bands(values: np.ndarray, begin: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Band hashes of sets (none of them empty). Each sample is the least of the hashes' upper halves
+    under a permutation of 32-bit numbers."""
     mul, add = _coefficients(bands * rows)
-    band = np.zeros((count, bands), np.uint64)
-    parity = np.zeros((count, bits), bool)
-    each = np.arange(count)
+    band = np.zeros((len(begin) - 1, bands), np.uint64)
     short = (values >> np.uint64(32)).astype(np.uint32)
     for k in range(bands * rows):
         least = mix(np.minimum.reduceat(short * mul[k] + add[k], begin[:-1]).astype(np.uint64) + (np.uint64(k + 1) << np.uint64(32)))
         band[:, k // rows] = mix(band[:, k // rows] ^ least)
-        parity[each, (least >> np.uint64(17)) % np.uint64(bits)] ^= True
     band ^= mix(np.arange(1, bands + 1, dtype=np.uint64))[None, :]
-    return band.view(np.int64), np.packbits(parity, axis=1)
+    return band.view(np.int64)
+
+
+def _sketches(values: np.ndarray, begin: np.ndarray, bits: int = SKETCH_BITS, bins: int = BINS) -> np.ndarray:
+    """Odd sketches of sets (sorted hashes, no set empty).
+
+    MinHash by one permutation: the hash's range is cut into ``bins``, and the least hash in each is a sample.
+    The sketch folds the samples into the parity of bits: equal samples of two sets cancel in the XOR.
+    """
+    count = len(begin) - 1
+    row = np.repeat(np.arange(count), np.diff(begin))
+    part = values // np.uint64((1 << 64) // bins)
+    new = np.ones(len(values), bool)
+    new[1:] = (part[1:] != part[:-1]) | (row[1:] != row[:-1])
+    place, row = ((mix(values[new]) >> np.uint64(17)) % np.uint64(bits)).astype(np.int64), row[new]
+    out = np.zeros((count, bits // 8), np.uint8)
+    for first in range(0, count, 256):
+        mine = slice(*np.searchsorted(row, [first, first + 256]))
+        size = min(256, count - first)
+        odd = np.bincount((row[mine] - first) * bits + place[mine], minlength=size * bits) & 1
+        out[first : first + size] = np.packbits(odd.astype(np.uint8).reshape(size, bits), axis=1)
+    return out
 
 
-def signatures(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS, bits: int = SKETCH_BITS) -> DataFrame:
+def signatures(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, set_key (digest of the set, null if empty), bands, sketch."""
     lowered = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 
@@ -94,7 +107,8 @@ def signatures(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS,
             band_rows: list = [None] * len(n)
             sketch_rows: list = [None] * len(n)
             if len(full):
-                band, sketch = _signatures(values, np.append(begin[:-1][full], begin[-1]), bands, rows, bits)
+                ends = np.append(begin[:-1][full], begin[-1])
+                band, sketch = _bands(values, ends, bands, rows), _sketches(values, ends)
                 for i, at in enumerate(full.tolist()):
                     keys[at] = xxhash.xxh128_digest(values[begin[at] : begin[at + 1]].tobytes())
                     band_rows[at] = band[i]
@@ -123,19 +137,30 @@ def shingle_sets(docs: DataFrame, size: int, pressed: bool) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def most_bits(percent: int, samples: int, bits: int = SKETCH_BITS, deviations: float = DEVIATIONS) -> int:
-    """Most differing bits of the sketches of two sets at the limit or above it.
+def most_bits(total: np.ndarray, percent: int, bits: int = SKETCH_BITS, bins: int = BINS, deviations: float = DEVIATIONS) -> np.ndarray:
+    """Most differing bits of the sketches of two sets at the limit or above it, by the sum of their sizes.
 
-    Of the ``samples`` about ``(1 - limit) * samples`` differ, two elements each; n elements leave
-    ``(1 - (1 - 2 / bits) ** n) / 2`` of the bits odd.
+    Of the union's samples a share of 1 - limit differs; a sample of one set alone, in a range where the other has
+    nothing, is one element of the XOR, else there are two. Samples are drawn without replacement, so small sets hardly
+    vary. n elements leave ``(1 - (1 - 2 / bits) ** n) / 2`` of the bits odd.
     """
-    limit = percent / 100
-    flips = 2 * samples * (1 - limit)
+    limit, union = percent / 100, np.maximum(total, 1) / (1 + percent / 100)
+    load = union / bins
+    alone = load * (1 - limit) / 2
+    filled = -np.expm1(-load)
+    flips = 2 * bins * (filled * (1 - limit) + np.exp(-load * limit - alone) * np.expm1(-alone))
+    spread = 2 * np.sqrt(bins * filled * limit * (1 - limit) * np.maximum(0, 1 - bins * filled / union))
     kept = (1 - 2 / bits) ** flips
-    mean = bits * (1 - kept) / 2
-    of_samples = 2 * np.sqrt(samples * limit * (1 - limit)) * kept  # a flip more changes ``kept`` bits on average
-    of_places = np.sqrt(bits * (1 - kept**2)) / 2
-    return int(np.ceil(mean + deviations * np.hypot(of_samples, of_places)))
+    places = bits * (bits - 1) / 4 * (1 - 4 / bits) ** flips + bits / 4 - bits**2 / 4 * kept**2
+    return np.ceil(bits * (1 - kept) / 2 + deviations * np.sqrt((spread * kept) ** 2 + np.maximum(places, 0)) + 3).astype(np.int64)
+
+
+#: Sums of sizes for which the bound is worked out; it rises with the sum, so the next larger one serves those between.
+_SUMS = np.unique(np.ceil(np.geomspace(1, 1 << 40, 4000)).astype(np.int64))
+
+
+def _most(total: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    return bounds[np.minimum(np.searchsorted(_SUMS, total), len(_SUMS) - 1)]
 
 
 def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -187,14 +212,16 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * (size - both)).select("a", "b")
 
 
-def _partners(left: dict, right: dict, most: int, end: int, percent: int) -> list[np.ndarray]:
+def _partners(left: dict, right: dict, bounds: np.ndarray, end: int, percent: int) -> list[np.ndarray]:
     """(a, b, differing bits) of the likeliest ``end`` partners of other components that each row of a block has."""
     out = []
     for at in range(0, len(left["doc"]), 64):
         rows = slice(at, at + 64)
         bits = np.bitwise_count(left["sketch"][rows, None, :] ^ right["sketch"][None, :, :]).sum(axis=2, dtype=np.int32)
-        near = (bits <= most) & (left["comp"][rows, None] != right["comp"][None, :])
-        small, large = (f(left["n_shingles"][rows, None], right["n_shingles"][None, :]) for f in (np.minimum, np.maximum))
+        near = (bits <= bounds[-1]) & (left["comp"][rows, None] != right["comp"][None, :])
+        m, n = left["n_shingles"][rows, None], right["n_shingles"][None, :]
+        small, large = np.minimum(m, n), np.maximum(m, n)
+        near &= bits <= _most(m + n, bounds)
         near &= 100 * small >= percent * large  # else even a set inside the other is too small
         for i in np.flatnonzero(near.any(axis=1)):
             some = np.flatnonzero(near[i])
@@ -203,13 +230,14 @@ def _partners(left: dict, right: dict, most: int, end: int, percent: int) -> lis
     return out
 
 
-def proposals(tasks: DataFrame, most: int, end: int, percent: int) -> DataFrame:
+def proposals(tasks: DataFrame, end: int, percent: int) -> DataFrame:
     """a, b, bits: likely pairs; and, with null ``bits``, the buckets (``a``) that have any.
 
     Each task's rows (two blocks of at most ``BLOCK`` rows or so) lie together, sorted, in one partition;
     they pass by in order, so memory holds one task.
     """
     names = ["bucket", "kind", "i", "j"]
+    limits = most_bits(_SUMS, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -227,7 +255,7 @@ def proposals(tasks: DataFrame, most: int, end: int, percent: int) -> DataFrame:
             for begin, stop in zip(bounds[:-1], bounds[1:], strict=True):
                 cut = begin + int(np.searchsorted(side[begin:stop], 1))
                 left, right = ({k: v[x:y] for k, v in data.items()} for x, y in ((cut, stop), (begin, cut)))
-                found = _partners(left, right, most, end, percent)
+                found = _partners(left, right, limits, end, percent)
                 pairs += found
                 if found:
                     again.append(keys[begin, 0])
@@ -289,15 +317,21 @@ def _tasks(split: DataFrame) -> DataFrame:
     return dealt.select("bucket", "doc_id", "comp", F.inline(F.when(F.col("outer"), outer).otherwise(each("outs", 0, 0, False))))
 
 
-def _differing(pairs: DataFrame, sketches: DataFrame, most: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those whose sketches differ in at most ``most`` bits and whose sizes allow a link, with ``bits``."""
-    words = [F.conv(F.hex(F.substring("sketch", 8 * k + 1, 8)), 16, -10).cast("long") for k in range(SKETCH_BITS // 64)]
-    flat = sketches.select("doc_id", "n_shingles", F.array(*words).alias("s"))
-    left = flat.withColumnsRenamed({"doc_id": "a", "s": "_x", "n_shingles": "_m"})
-    right = flat.withColumnsRenamed({"doc_id": "b", "s": "_y", "n_shingles": "_n"})
-    fits = 100 * F.least("_m", "_n") >= percent * F.greatest("_m", "_n")
-    bits = sum((F.bit_count(F.col("_x")[k].bitwiseXOR(F.col("_y")[k])) for k in range(SKETCH_BITS // 64)), F.lit(0))
-    return pairs.join(left, "a").join(right, "b").filter(fits).select("a", "b", bits.cast("long").alias("bits")).filter(F.col("bits") <= most)
+def _differing(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b) those whose sketches and sizes allow a link, with ``bits``, the bits that differ."""
+    bounds = most_bits(_SUMS, percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m, n = (batch.column(x).to_numpy() for x in ("m", "n"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(m), SKETCH_BITS // 64) for c in ("x", "y"))
+            bits = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            keep = (100 * np.minimum(m, n) >= percent * np.maximum(m, n)) & (bits <= _most(m + n, bounds))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(bits)], ["a", "b", "bits"]).filter(pa.array(keep))
+
+    left = sketches.withColumnsRenamed({"doc_id": "a", "sketch": "x", "n_shingles": "m"})
+    right = sketches.withColumnsRenamed({"doc_id": "b", "sketch": "y", "n_shingles": "n"})
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "m", "n", "x", "y").mapInArrow(run, "a long, b long, bits long")
 
 
 def near_components(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
@@ -322,8 +356,7 @@ def near_components(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
     once = buckets.groupBy("n", "lo", "mark").agg(F.min("bucket").alias("bucket"))
     members = scratch.keep("members", exploded.join(once.select("bucket", "lo"), "bucket"))
     sketches = classes.select(F.col("rep").alias("doc_id"), "n_shingles", "sketch")
-    most = most_bits(percent, BANDS * ROWS)
-    leads = _differing(members.filter("doc_id <> lo").select(F.col("doc_id").alias("a"), F.col("lo").alias("b")).distinct(), sketches, most, percent)
+    leads = _differing(members.filter("doc_id <> lo").select(F.col("doc_id").alias("a"), F.col("lo").alias("b")).distinct(), sketches, percent)
     first = leads.groupBy("a").agg(F.min_by("b", F.struct("bits", "b")).alias("b"))
     label = docs.sparkSession.createDataFrame([], "node long, comp long")
 
@@ -345,7 +378,7 @@ def near_components(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
     end, open_members = PROPOSED, members.select("bucket", "doc_id")
     while True:
         tasks = _tasks(_open(open_members, label, scratch)).join(sketches, "doc_id")
-        found = scratch.keep("found", proposals(tasks, most, end + 1, percent))
+        found = scratch.keep("found", proposals(tasks, end + 1, percent))
         near = found.filter("bits is not null").groupBy("a", "b").agg(F.min("bits").alias("bits"))
         rank = F.row_number().over(Window.partitionBy("a").orderBy("bits", "b"))
         ranked = scratch.keep("ranked", near.withColumn("rank", rank).filter(F.col("rank") <= end + 1))

@@ -337,16 +337,23 @@ def test_near_against_all_pairs(make_docs, monkeypatch, block):
 
 
 def test_odd_sketch_bound():
-    """Pairs at the limit stay under the bound; unrelated sets do not."""
+    """Pairs at the limit stay under the bound, however their rest is shared out; those well below it do not."""
     rng = np.random.default_rng(4)
-    bound = near.most_bits(80, near.BANDS * near.ROWS)
-    for _ in range(40):
-        common, extra = rng.integers(0, 2**63, 800, dtype=np.uint64), rng.integers(0, 2**63, 200, dtype=np.uint64)
-        sets = [np.unique(np.concatenate([common, extra[:100]])), np.unique(np.concatenate([common, extra[100:]])), np.unique(rng.integers(0, 2**63, 900, dtype=np.uint64))]
-        begin = np.cumsum([0, *map(len, sets)])
-        _, sketch = near._signatures(np.concatenate(sets), begin, near.BANDS, near.ROWS, near.SKETCH_BITS)
-        bits = [int(np.bitwise_count(sketch[0] ^ sketch[k]).sum()) for k in (1, 2)]
-        assert bits[0] <= bound < bits[1]
+    bounds = near.most_bits(near._SUMS, 80)
+    assert (np.diff(bounds) >= 0).all()
+    for union in (5, 40, 333, 1000, 5000):
+        for _ in range(60):
+            hashes = rng.integers(0, 2**64, union, dtype=np.uint64)
+            bits = {}
+            for percent, one in ((80, None), (60, 0.5)):
+                rest = union * (100 - percent) // 100
+                cut = int(rng.integers(0, rest + 1)) if one is None else rest // 2
+                sets = [np.sort(np.concatenate([part, hashes[rest:]])) for part in (hashes[:cut], hashes[cut:rest])]
+                sketch = near._sketches(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+                bound = near._most(np.array([sum(map(len, sets))]), bounds)[0]
+                bits[percent] = int(np.bitwise_count(sketch[0] ^ sketch[1]).sum()), bound
+            assert bits[80][0] <= bits[80][1]
+            assert union < 333 or bits[60][0] > bits[60][1]
 
 
 def test_components(spark):
