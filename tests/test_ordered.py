@@ -228,3 +228,18 @@ def test_step_maps_compose():
                 due = int(exits[at]) if at < len(exits) else due
             assert kept == keep_after_gap(times, gap)
             assert due == times[kept[-1]] + gap
+
+
+def test_slices_do_not_grow_with_a_small_limit(spark):
+    """A small limit cuts a few slices a core, not one a row, and many names in a slice keep the right rows."""
+    from dnslens.operators.alerts import MAX_GROUP_ROWS, slice_count
+
+    assert slice_count(6_000_000, 1, 8) == 6_000_000 // MAX_GROUP_ROWS
+    assert slice_count(1000, 1, 2) == 8 and slice_count(1000, 400, 2) == 3 and slice_count(0, 1, 2) == 1
+    rng = random.Random(3)
+    rows = [(seq, rng.randrange(100), rng.choice(["hot.example", f"name{rng.randrange(300)}.example"])) for seq in range(1500)]
+    df = spark.createDataFrame(rows, "seq bigint, s bigint, domain string")
+    events = df.select("seq", F.timestamp_seconds("s").alias("event_ts"), "domain", F.lit("high").alias("threat_level"),
+                       F.array(F.lit("r1")).alias("threat_reasons"))
+    got = alerts(events, "17 seconds", max_group_rows=1).collect()
+    assert sorted(r.seq for r in got) == brute(rows, 17, "domain")
