@@ -246,3 +246,61 @@ def test_feed_equals_batch(spark, landing):
     feed = drain_update(streams.activity_feed(_envelope_messages(raw)), "feed", ["session_id", "first_seq"])
     want = sessions.activity_feed(_envelope_messages(spark.read.parquet(landing)))
     assert rows(feed.select(want.columns)) == rows(want)
+
+
+def test_names_of_a_bucket_share_one_state():
+    """Names that come once cost one read and one write of the state for their bucket; forgotten ones leave it."""
+    import pandas as pd
+
+    from dnslens.streaming.states import BucketSuppression
+
+    class State:
+        """One bucket's variable, timers and clock."""
+
+        def __init__(self):
+            self.value, self.calls, self.timers, self.now = None, 0, [], 0
+
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls += 1
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+    def batch(rows):
+        frame = pd.DataFrame(rows, columns=["seq", "event_ts", "domain"])
+        frame["event_ts"] = pd.to_datetime(frame["event_ts"], unit="s")
+        out = processor.handleInputRows((7,), iter([frame[:1], frame[1:]]), state)
+        return sorted(seq for part in out for seq in part["seq"])
+
+    state, processor = State(), BucketSuppression(10_000_000, ["seq"])
+    processor.init(state)
+    assert batch([(k, 100, f"n{k}") for k in range(500)] + [(500, 105, "n0"), (501, None, "n0"), (502, 110, "n0"), (503, 100, None)]) == [
+        *range(500), 501, 502, 503]
+    assert state.calls == 2 and state.timers == [120_001]
+    assert batch([(600, 109, "n1"), (601, 119, "n0"), (602, 109, None)]) == []
+    assert batch([(603, 111, "n1"), (604, 120, "n0")]) == [603, 604] and state.timers == [120_001]
+    state.now = 121_000
+    assert not list(processor.handleExpiredTimer((7,), state, None))
+    assert dict(zip(*state.value[:2])) == {"n0": 120_000_000, "n1": 111_000_000} and state.timers == [120_001, 130_001]
+    state.now = 130_001
+    assert not list(processor.handleExpiredTimer((7,), state, None)) and state.value is None and len(state.timers) == 2
+    assert batch([(700, 131, "n0")]) == [700]
+
+
+def test_state_of_a_name_gives_the_same_alerts(stream, batch):
+    got = drain_append(streams.alerts(stream, "6 hours", "1 day", buckets=None), "alerts")
+    assert rows(got) == rows(al.alerts(batch, "6 hours"))
