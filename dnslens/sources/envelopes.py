@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,18 +59,21 @@ class Envelopes(NamedTuple):
 
 
 def parse_envelopes(
-    lines: DataFrame, tool: str | None = None, mode: str | None = None, extra: bool = False
+    lines: DataFrame, tool: str | None = None, mode: str | None = None, extra: bool = False,
+    hold: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Envelopes:
     """Route lines (``value``, and ``seq`` if numbered) by ``kind``.
 
     Unreadable lines become error records of kind ``stderr`` (they leave the session
     status alone); lines without a known kind are dropped. ``extra`` keeps unknown
-    event keys in a map column.
+    event keys in a map column. ``hold`` (in batch, such as ``session.written``) keeps the parsed lines, which all kinds
+    are taken from; without it every kind parses the lines again.
     """
     keep = [name for name in lines.columns if name != "value"]
     text = lines.withColumn("value", strip(F.col("value"))).filter("value <> ''")
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}
     parsed = text.withColumn("_j", F.from_json("value", SCHEMA, options))
+    parsed = parsed if hold is None else hold(parsed)
     unreadable = F.col("_j").isNull() | F.col(f"_j.{_BAD}").isNotNull()
     good = parsed.filter(~unreadable)
 

@@ -261,3 +261,35 @@ def test_captures_with_damage(spark, tmp_path):
     (tmp_path / "simple.pcapng").write_bytes(pcapng([]) + struct.pack("<I", 3) + size + body + size)
     rows = captures.read_captures(spark, str(tmp_path)).collect()
     assert sorted((r.dns_id, r.domain) for r in rows) == [(8, "vlan.example"), (10, "simple.example")]
+
+
+def test_envelope_lines_are_parsed_once(spark):
+    """With ``hold`` all kinds come from the laid-down lines; the messages are the same."""
+    from dnslens.session import written
+    from dnslens.sources.envelopes import parse_envelopes, session_messages
+
+    texts = ['{"kind": "event", "domain": "a.example", "type": "A", "ttl": 5}', '{"kind": "event", "domain": "cut-',
+             '{"kind": "status", "status": "running", "note": " n "}', '{"kind": "error", "message": ""}', '{"kind": "other"}', " ", None]
+    lines = spark.createDataFrame([("s", i, text) for i, text in enumerate(texts * 2)], "session_id string, seq bigint, value string")
+    once, plain = session_messages(parse_envelopes(lines, hold=written)), session_messages(parse_envelopes(lines))
+    assert sorted(map(str, once.collect())) == sorted(map(str, plain.collect())) and once.count() == 8
+    assert "from_json" in str(plain._jdf.queryExecution().optimizedPlan())
+    assert "from_json" not in str(once._jdf.queryExecution().optimizedPlan())
+
+
+def test_events_are_dealt_by_rows(spark, tmp_path, monkeypatch):
+    """Tasks grow in number, not in size: a table in one row group is laid down in parts of bounded size, and lands so."""
+    from dnslens.plans import tables
+    from dnslens.streaming import run
+
+    assert tables.task_count(100, 8) == 8 and tables.task_count(36_000_001, 12) == 145
+    given = spark.range(1000).selectExpr("id AS event_id", "timestamp_ntz '2024-01-01' AS ts", "id AS user_id", "'view' AS event_type",
+                                         "2D AS value", "'' AS props").toPandas()
+    given.to_parquet(f"{tmp_path}/events.parquet", coerce_timestamps="us")
+    monkeypatch.setattr(tables, "TASK_ROWS", 100)
+    dealt = tables.raw_dealt(spark, str(tmp_path))
+    assert len(dealt.inputFiles()) == 10 and dealt.count() == dealt.select("seq").distinct().count() == 1000
+    assert "Repartition 10" in tables.raw_stream(spark, str(tmp_path))._jdf.queryExecution().analyzed().toString()
+    monkeypatch.setattr(run, "LANDING_ROWS", 50)
+    path, later = run.landings(spark, dealt, dealt["seq"])
+    assert len(spark.read.parquet(f"{path}/part=0").inputFiles()) == 5 and len(later) == 3
