@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,8 +26,10 @@ DEVIATIONS = 5.0
 BLOCK = 1024
 #: Documents whose ids are broadcast to pick their texts (8 bytes each).
 FILTER_IDS = 200_000
-#: Partners that a document proposes in the first round; each round takes four times as many.
-PROPOSED = 4
+#: Shingles of the members that one task compares with as many others (8 bytes each).
+BLOCK_SHINGLES = 1 << 20
+#: Nearest least members of its buckets that a class is compared with at first.
+PROPOSED = 1
 
 
 def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -212,9 +215,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * (size - both)).select("a", "b")
 
 
-def _partners(left: dict, right: dict, bounds: np.ndarray, end: int, percent: int) -> list[np.ndarray]:
-    """(a, b, differing bits) of the likeliest ``end`` partners of other components that each row of a block has."""
-    out = []
+def _likely(left: dict, right: dict, bounds: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of a block its partners of other labels that sketches and sizes allow, the likeliest first."""
     for at in range(0, len(left["doc"]), 64):
         rows = slice(at, at + 64)
         bits = np.bitwise_count(left["sketch"][rows, None, :] ^ right["sketch"][None, :, :]).sum(axis=2, dtype=np.int32)
@@ -225,59 +227,123 @@ def _partners(left: dict, right: dict, bounds: np.ndarray, end: int, percent: in
         near &= 100 * small >= percent * large  # else even a set inside the other is too small
         for i in np.flatnonzero(near.any(axis=1)):
             some = np.flatnonzero(near[i])
-            some = some[np.lexsort((right["doc"][some], bits[i][some]))]
-            out.append(np.stack([np.full(min(end, len(some)), left["doc"][at + i]), right["doc"][some[:end]], bits[i][some[:end]]], axis=1))
+            yield at + int(i), some[np.lexsort((right["doc"][some], bits[i][some]))]
+
+
+def _forest(left: dict, right: dict, bounds: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links (a, b) that join all labels of the two blocks which links of full sets join; one less than labels at most.
+
+    A pair is looked at only while its labels are apart, and then decided on the full sets.
+    """
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    out = []
+    for i, some in _likely(left, right, bounds, percent):
+        mine, own = left["sets"][i], root(int(left["comp"][i]))
+        for j in some.tolist():
+            other = root(int(right["comp"][j]))
+            if other == own:
+                continue
+            theirs = right["sets"][j]
+            at = np.searchsorted(mine, theirs)
+            both = int((mine[np.minimum(at, len(mine) - 1)] == theirs).sum())
+            if 100 * both >= percent * (len(mine) + len(theirs) - both):
+                out.append((int(left["doc"][i]), int(right["doc"][j])))
+                parent[max(own, other)] = own = min(own, other)
     return out
 
 
-def proposals(tasks: DataFrame, end: int, percent: int) -> DataFrame:
-    """a, b, bits: likely pairs; and, with null ``bits``, the buckets (``a``) that have any.
+def _by_task(tasks: DataFrame, columns: list[str], block: Callable[[tuple, dict, dict], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """``block`` of every task: its key, and its two sides as arrays by name.
 
-    Each task's rows (two blocks of at most ``BLOCK`` rows or so) lie together, sorted, in one partition;
+    Each task's rows (two blocks, see ``_tasks``) lie together, sorted, in one partition;
     they pass by in order, so memory holds one task.
     """
     names = ["bucket", "kind", "i", "j"]
-    limits = most_bits(_SUMS, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
 
-        def work(table: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table | None]:
+        def work(table: pa.Table, last: bool) -> tuple[list[pa.RecordBatch], pa.Table | None]:
             keys = np.stack([table.column(n).to_numpy() for n in names], axis=1)
             side = table.column("side").to_numpy(zero_copy_only=False)
             change = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
             bounds = np.concatenate([[0], change, [len(keys)]])
             if not last:
                 bounds = bounds[:-1]
-            data = {"doc": table.column("doc_id").to_numpy(), "comp": table.column("comp").to_numpy(), "n_shingles": table.column("n_shingles").to_numpy(),
-                    "sketch": np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(keys), -1)}
-            pairs, again = [np.zeros((0, 3), np.int64)], []
-            for begin, stop in zip(bounds[:-1], bounds[1:], strict=True):
-                cut = begin + int(np.searchsorted(side[begin:stop], 1))
-                left, right = ({k: v[x:y] for k, v in data.items()} for x, y in ((cut, stop), (begin, cut)))
-                found = _partners(left, right, limits, end, percent)
-                pairs += found
-                if found:
-                    again.append(keys[begin, 0])
-            both = np.concatenate(pairs)
-            bits = np.append(both[:, 2], np.zeros(len(again), np.int64))
-            out = pa.RecordBatch.from_arrays([
-                pa.array(np.append(both[:, 0], again).astype(np.int64)), pa.array(np.append(both[:, 1], again).astype(np.int64)),
-                pa.array(bits, mask=np.arange(len(bits)) >= len(both))], ["a", "b", "bits"])
-            return out, None if last else table.slice(int(bounds[-1]))
+            found = []
+            for begin, stop in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                part = table.slice(begin, stop - begin)
+                data: dict = {"doc": part.column("doc_id").to_numpy(), "comp": part.column("comp").to_numpy(), "outer": part.column("outer").to_numpy()}
+                if "sketch" in columns:
+                    data["n_shingles"] = part.column("n_shingles").to_numpy()
+                    data["sketch"] = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint64).reshape(stop - begin, -1)
+                else:
+                    lists = part.column("shingles").combine_chunks()
+                    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy().astype(np.int64))])
+                    values = lists.flatten().to_numpy().view(np.uint64)
+                    data["n_shingles"] = np.diff(ends)
+                    data["sketch"] = _sketches(values, ends).view(np.uint64)
+                    data["sets"] = np.empty(stop - begin, object)
+                    data["sets"][:] = [values[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+                cut = int(np.searchsorted(side[begin:stop], 1))
+                _, kind, i, j = key = tuple(keys[begin].tolist())
+                among = kind == 2 or kind == 1 and i == j  # the outside is compared with itself as well
+                left, right = {k: v[cut:] for k, v in data.items()}, data if among else {k: v[:cut] for k, v in data.items()}
+                if len(left["doc"]) and len(right["doc"]) and (made := block(key, left, right)) is not None:
+                    found.append(made)
+            return found, None if last else table.slice(int(bounds[-1]))
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
             rest = pa.concat_tables([rest, table]) if rest is not None else table
             if len(rest):
                 out, rest = work(rest, False)
-                yield out
+                yield from out
         if rest is not None and len(rest):
-            yield work(rest, True)[0]
+            yield from work(rest, True)[0]
 
     parts = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = tasks.repartition(parts, *names).sortWithinPartitions(*names, "side")
-    return dealt.select(*names, "side", "doc_id", "comp", "n_shingles", "sketch").mapInArrow(run, "a long, b long, bits long")
+    return dealt.select(*names, "side", "doc_id", "comp", "outer", *columns).mapInArrow(run, schema)
+
+
+def undecided(tasks: DataFrame, percent: int) -> DataFrame:
+    """bucket, doc_id, comp, outer, n_shingles: the rows of a bucket whose sketch allows a link to another label there."""
+    limits = most_bits(_SUMS, percent)
+    names = ["doc", "comp", "outer", "n_shingles"]
+
+    def block(key: tuple, left: dict, right: dict) -> pa.RecordBatch | None:
+        mine, theirs = np.zeros(len(left["doc"]), bool), np.zeros(len(right["doc"]), bool)
+        for i, some in _likely(left, right, limits, percent):
+            mine[i] = theirs[some] = True
+        if not mine.any():
+            return None
+        columns = [np.concatenate([left[n][mine], right[n][theirs]]) for n in names]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), key[0], np.int64)), *map(pa.array, columns)],
+                                          ["bucket", "doc_id", "comp", "outer", "n_shingles"])
+
+    found = _by_task(tasks, ["n_shingles", "sketch"], block, "bucket long, doc_id long, comp long, outer int, n_shingles long")
+    return found.groupBy("bucket", "doc_id").agg(F.min("comp").alias("comp"), F.max("outer").alias("outer"), F.max("n_shingles").alias("n_shingles"))
+
+
+def forests(tasks: DataFrame, percent: int) -> DataFrame:
+    """a, b: links of full sets that join, task by task, all labels which links join there."""
+    limits = most_bits(_SUMS, percent)
+
+    def block(key: tuple, left: dict, right: dict) -> pa.RecordBatch | None:
+        found = _forest(left, right, limits, percent)
+        if not found:
+            return None
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return _by_task(tasks, ["shingles"], block, "a long, b long").distinct()
 
 
 def _open(members: DataFrame, comp: DataFrame, scratch: Scratch) -> DataFrame:
@@ -290,31 +356,43 @@ def _open(members: DataFrame, comp: DataFrame, scratch: Scratch) -> DataFrame:
     lead = own.groupBy("bucket").agg(F.min_by("comp", "doc_id").alias("main"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
     lead = scratch.keep("lead", lead.filter("c0 < c1").select("bucket", "main"))
     split = own.join(broadcast_if_small(lead, FILTER_IDS), "bucket")
-    return scratch.keep("open", split.select("bucket", "doc_id", "comp", (F.col("comp") != F.col("main")).alias("outer")))
+    return scratch.keep("open", split.select("bucket", "doc_id", "comp", (F.col("comp") != F.col("main")).cast("int").alias("outer")))
 
 
-def _tasks(split: DataFrame) -> DataFrame:
-    """The blocks of open members that must still be compared: task, side, doc_id, comp.
+def _tasks(split: DataFrame, weight: Column) -> DataFrame:
+    """The blocks of open members that must still be compared: task, side, doc_id, comp, outer.
 
-    Links may be missing between outside and inside and among the outside. Both are dealt
-    into blocks; a task gets an outside block (side 1) and another block. Work so grows with the
-    outside, which is empty once a bucket's copies have one label.
+    Links may be missing between outside and inside and among the outside. Both are dealt into blocks of at most
+    ``BLOCK`` rows and ``BLOCK_SHINGLES`` of ``weight`` or so. A task (kind 0) gets an outside block (side 1) and an
+    inside one, or (kind 1) two outside blocks, or one alone; a bucket of one block each is one task (kind 2). Work so
+    grows with the outside, which is empty once a bucket's copies have one label.
     """
-    counts = split.groupBy("bucket").agg(
-        F.ceil(F.count_if("outer") / BLOCK).cast("int").alias("outs"), F.ceil(F.count_if(~F.col("outer")) / BLOCK).cast("int").alias("ins"))
+    def number(inside: bool) -> Column:
+        mine = F.col("outer") == (0 if inside else 1)
+        return F.ceil(F.greatest(F.count_if(mine) / BLOCK, F.sum(F.when(mine, weight).otherwise(0)) / BLOCK_SHINGLES)).cast("int")
+
+    counts = split.groupBy("bucket").agg(number(False).alias("outs"), number(True).alias("ins"))
     dealt = split.join(counts, "bucket").withColumn("h", F.xxhash64("doc_id"))
-    block = F.pmod("h", F.when(F.col("outer"), F.col("outs")).otherwise(F.col("ins")))
+    outside = F.col("outer") == 1
+    block = F.pmod("h", F.when(outside, F.col("outs")).otherwise(F.col("ins")))
     dealt = dealt.withColumn("block", block.cast("int"))
 
-    def each(count: str, kind: int, side: int, mine_first: bool) -> Column:
-        def task(other: Column) -> Column:
-            first, second = (F.col("block"), other) if mine_first else (other, F.col("block"))
-            return F.struct(F.lit(kind).alias("kind"), first.alias("i"), second.alias("j"), F.lit(side).alias("side"))
+    def task(kind: int, i: Column, j: Column, side: int) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
 
-        return F.transform(F.sequence(F.lit(0), F.col(count) - 1), task)
+    def up_to(count: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), count), lambda x: x < count)
 
-    outer = F.concat(each("ins", 0, 1, True), each("outs", 1, 1, True), each("outs", 1, 0, False))
-    return dealt.select("bucket", "doc_id", "comp", F.inline(F.when(F.col("outer"), outer).otherwise(each("outs", 0, 0, False))))
+    mine, outs, ins = F.col("block"), F.col("outs"), F.col("ins")
+    outer = F.concat(
+        F.transform(up_to(ins), lambda x: task(0, mine, x, 1)),
+        F.transform(F.sequence(mine, F.greatest(mine, outs - 1)), lambda x: task(1, mine, x, 1)),
+        F.transform(up_to(mine), lambda x: task(1, x, mine, 0)))
+    inner = F.transform(up_to(outs), lambda x: task(0, x, mine, 0))
+    alone = F.array(task(2, F.lit(0), F.lit(0), 1)), F.array(task(2, F.lit(0), F.lit(0), 0))
+    one = (outs <= 1) & (ins <= 1)
+    into = F.when(one & outside, alone[0]).when(one, alone[1]).when(outside, outer).otherwise(inner)
+    return dealt.select("bucket", "doc_id", "comp", "outer", F.inline(into))
 
 
 def _differing(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -339,12 +417,11 @@ def near_components(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
 
     ``docs``: doc_id, _text (bytes). Documents with the same set are one class, and only its least
     doc_id is compared. Classes that share a band are candidates; equal buckets are looked at once.
-    First every class is compared with the nearest, by odd sketch, of the least candidates of its buckets. Then
-    rounds propose, for every row of a bucket that still has several labels, the likeliest 4, 16, 64 … partners with
-    other labels over all its buckets, until no row has a further one below the bound on differing bits. A large
-    group of copies so costs a few pairs per copy, and no link between different sets is passed over. All
-    links are confirmed on full sets; only documents of such pairs have their sets made. Labels are brought up to date
-    from new links alone, and stages that are replaced are deleted.
+    First every class is compared with the nearest, by odd sketch, of the least candidates of its buckets. The rows of
+    buckets that still have several labels are compared by sketch, block by block; those that may have a link
+    to another label meet again with their full sets, and each task gives a forest of links: no more rows than it has read,
+    and no link between different sets is passed over. All links are confirmed on full sets; only documents of such
+    rows have their sets made. Labels are brought up to date from new links alone, and stages that are replaced are deleted.
     """
     scratch = Scratch(docs.sparkSession)
     marks = scratch.keep("marks", signatures(docs, size))
@@ -357,39 +434,31 @@ def near_components(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
     members = scratch.keep("members", exploded.join(once.select("bucket", "lo"), "bucket"))
     sketches = classes.select(F.col("rep").alias("doc_id"), "n_shingles", "sketch")
     leads = _differing(members.filter("doc_id <> lo").select(F.col("doc_id").alias("a"), F.col("lo").alias("b")).distinct(), sketches, percent)
-    first = leads.groupBy("a").agg(F.min_by("b", F.struct("bits", "b")).alias("b"))
+    nearest = leads.groupBy("a").agg(F.array_sort(F.collect_set(F.struct("bits", "b"))).alias("near"))  # BANDS of them at most
+    first = nearest.select("a", F.inline(F.slice("near", 1, PROPOSED))).select("a", "b")
     label = docs.sparkSession.createDataFrame([], "node long, comp long")
 
-    def linked(pairs: DataFrame) -> DataFrame:
+    def sets_of(ids: DataFrame) -> DataFrame:
         # repeated rows of one id give it several sets: a link of any of them counts
-        pairs = scratch.keep("pairs", pairs)
-        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        wanted = ids.distinct()
         if wanted.limit(FILTER_IDS + 1).count() <= FILTER_IDS:
             wanted = F.broadcast(wanted)
             texts, pressed = docs, False
         else:
             texts, pressed = squeezed(docs), True  # before the shuffle
-        sets = scratch.keep("sets", shingle_sets(texts.join(wanted, "doc_id", "left_semi"), size, pressed))
-        found = scratch.keep("links", confirmed(pairs, sets, percent))
-        scratch.drop("sets", "pairs")
-        return found
-
-    label = _merged(label, linked(first), scratch)
-    end, open_members = PROPOSED, members.select("bucket", "doc_id")
-    while True:
-        tasks = _tasks(_open(open_members, label, scratch)).join(sketches, "doc_id")
-        found = scratch.keep("found", proposals(tasks, end + 1, percent))
-        near = found.filter("bits is not null").groupBy("a", "b").agg(F.min("bits").alias("bits"))
-        rank = F.row_number().over(Window.partitionBy("a").orderBy("bits", "b"))
-        ranked = scratch.keep("ranked", near.withColumn("rank", rank).filter(F.col("rank") <= end + 1))
-        pairs = ranked.filter(F.col("rank") <= end).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        label = _merged(label, linked(pairs), scratch)
-        if ranked.filter(F.col("rank") > end).isEmpty():
-            break  # every pair across labels was proposed, and so confirmed or refuted
-        again = found.filter("bits is null").select(F.col("a").alias("bucket")).distinct()
-        open_members = scratch.keep("members", open_members.join(again, "bucket"))
-        end *= 4
-    scratch.drop("members", "open", "lead", "found", "ranked", "links", "edges")
+        return scratch.keep("sets", shingle_sets(texts.join(wanted, "doc_id", "left_semi"), size, pressed))
+
+    pairs = scratch.keep("pairs", first)
+    sets = sets_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")))
+    label = _merged(label, scratch.keep("links", confirmed(pairs, sets, percent)), scratch)
+    scratch.drop("pairs", "sets")
+    tasks = _tasks(_open(members.select("bucket", "doc_id"), label, scratch), F.lit(0)).join(sketches, "doc_id")
+    rest = scratch.keep("rest", undecided(tasks, percent))
+    scratch.drop("members", "open", "lead")
+    sets = sets_of(rest.select("doc_id"))
+    found = forests(_tasks(rest, F.col("n_shingles")).join(sets.filter(F.size("shingles") > 0), "doc_id"), percent)
+    label = _merged(label, scratch.keep("links", found), scratch)
+    scratch.drop("rest", "sets", "links", "edges")
     whole = marks.select("doc_id", "n_shingles", "set_key").join(classes.select("set_key", "rep"), "set_key", "left").join(
         label.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("comp", "rep", "doc_id")

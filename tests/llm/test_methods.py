@@ -336,6 +336,31 @@ def test_near_against_all_pairs(make_docs, monkeypatch, block):
     assert all(r.n_shingles == len(_sets({0: docs[r.doc_id]}, 4)[0]) for r in out)
 
 
+@pytest.mark.parametrize(("block", "shingles"), [(near.BLOCK, 1 << 20), (4, 200)])
+def test_near_unlinked_group(make_docs, monkeypatch, block, shingles):
+    """Texts just below the limit to each other share many buckets: no stage holds more rows than the buckets do."""
+    monkeypatch.setattr(near, "BLOCK", block)
+    monkeypatch.setattr(near, "BLOCK_SHINGLES", shingles, raising=False)
+    keep, counts = near.Scratch.keep, []
+
+    def counted(self, name, df):
+        out = keep(self, name, df)
+        counts.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(near.Scratch, "keep", counted)
+    docs = {}
+    for k, at in enumerate(range(3, 71, 4)):  # two texts share 63 of 79 shingles
+        words = [f"w{x}" for x in range(74)]
+        words[at] = f"e{k}"
+        docs[k] = " ".join(words)
+        docs[100 + k] = docs[k] + " more" if k % 5 == 0 else f"other {k}"
+    out = near.near_duplicates(make_docs(list(docs.items())), size=4).collect()
+    assert {r.doc_id: r.component_id for r in out} == _expected(docs, 4)
+    most = next(n for name, n in counts if name == "members")
+    assert most > 300 and all(n <= most for _, n in counts)
+
+
 def test_odd_sketch_bound():
     """Pairs at the limit stay under the bound, however their rest is shared out; those well below it do not."""
     rng = np.random.default_rng(4)
