@@ -173,22 +173,35 @@ def sweep(docs: dict[int, int], slots: dict[int, int]) -> dict[int, tuple[int, i
     return out
 
 
-def _slots(gap: int, most: int) -> list[int]:
-    """A gap's slots: as many as items of the largest size ``most`` fit, the last with all that is left."""
+def topmost(docs: dict[int, int], slots: dict[int, int], heights: dict[int, tuple[int, int, int]]) -> dict[int, int]:
+    """How many slots of each size the sweep takes: those at its top, the others stay under all that is taken later."""
+    out, floor = {}, 1 << 62
+    for size in sorted(heights):
+        low, high, served = heights[size]
+        floor = min(floor, high + 1 - served)
+        out[size] = min(slots.get(size, 0), max(0, low + slots.get(size, 0) - floor))
+    return out
+
+
+def _slots(gap: int, most: int) -> list[tuple[int, int]]:
+    """A gap's slots (size, number): as many as items of the largest size ``most`` fit, the last with all that is left."""
     n = max(1, gap // most)
-    return [most] * (n - 1) + [gap - (n - 1) * most]
+    return [(most, n - 1), (gap - (n - 1) * most, 1)]
 
 
 def _rank(rows: DataFrame, largest: int) -> Column:
-    """Adds ``rank``: a number from 0 within (kind, size). Classes of more than ``CLASS_ROWS`` rows
-    are ranked bucket by bucket, each behind the counts of the buckets before it."""
+    """Adds ``rank``: a number from 0 within (kind, size); a row of several slots (``number``) has the least of theirs.
+
+    Slots are numbered from the largest id down, documents from the least up. Classes of more than ``CLASS_ROWS``
+    rows are ranked bucket by bucket, each behind the counts of the buckets before it."""
     buckets = 1 + largest // CLASS_ROWS
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("id", "slot"), F.lit(buckets)).cast("int"))
-    own = Window.partitionBy("kind", "size", "bucket").orderBy("id", "slot")
-    ranked = dealt.withColumn("rank", F.row_number().over(own).cast("long") - 1)
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("id", "run"), F.lit(buckets)).cast("int"))
+    turned = F.when(F.col("kind") == 0, -F.col("id")).otherwise(F.col("id"))
+    own = Window.partitionBy("kind", "size", "bucket").orderBy(turned, F.desc("run")).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = dealt.withColumn("rank", F.coalesce(F.sum("number").over(own), F.lit(0)).cast("long"))
     if buckets == 1:
         return ranked
-    counts = dealt.groupBy("kind", "size", "bucket").count()
+    counts = dealt.groupBy("kind", "size", "bucket").agg(F.sum("number").alias("count"))
     before = Window.partitionBy("kind", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("kind", "size", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"))
     return ranked.join(offsets, ["kind", "size", "bucket"]).withColumn("rank", F.col("rank") + F.col("ahead"))
@@ -202,7 +215,8 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     fits into. Documents that want the same gap are ranked, the next takes the next gap: slots and
     documents at the same height of the pile (``sweep``) meet in a window by height, which holds at most
     two rows a size. A gap offers as many slots as documents of the largest size fit, so it can take
-    several in a round. Then gaps are updated, and as many sequences are opened, by the largest documents
+    several in a round; slots are ranked as runs, and only those that a document takes become rows, as many
+    in all rounds as there are documents. Then gaps are updated, and as many sequences are opened, by the largest documents
     without a place, as ``least_bins`` says that those without any gap need, or the room that is short.
     Smaller documents wait, to fill what the larger ones leave. Every round serves the largest documents,
     so it ends; the number of rounds depends on the sizes, about twice the logarithm of the capacity.
@@ -229,29 +243,34 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         lowest = min(docs)
         slots: dict[int, int] = {}
         for gap, n in gaps.items():
-            for size in _slots(gap, most) if gap >= lowest else ():
-                slots[size] = slots.get(size, 0) + n
+            for size, number in _slots(gap, most) if gap >= lowest else ():
+                if number:
+                    slots[size] = slots.get(size, 0) + number * n
         heights = sweep(docs, slots)
+        tops = topmost(docs, slots, heights)
         opened = max(least_bins({size: n for size, n in docs.items() if size > widest}, capacity), -(-short // capacity))
         table = []
         for size, (low, high, served) in heights.items():
             new = max(0, min(opened, docs.get(size, 0) - served))
             opened -= new
-            table.append((size, low, high, served, served + new))
+            table.append((size, low + slots.get(size, 0) - 1, tops[size], high, served, served + new))
         plan = spark.createDataFrame(pa.table({name: pa.array(column, pa.int64()) for name, column in zip(
-            ["size", "low", "high", "served", "opening"], zip(*table, strict=True), strict=True)}))
+            ["size", "top", "taken", "high", "served", "opening"], zip(*table, strict=True), strict=True)}))
 
-        number = F.greatest(F.lit(1), F.floor(F.col("size") / most)).cast("int")
-        room = F.when(F.col("slot") < F.col("number") - 1, most).otherwise(F.col("size") - (F.col("number") - 1) * most).cast("int")
+        full = F.greatest(F.lit(1), F.floor(F.col("size") / most)).cast("int") - 1
         active = F.col("size") >= lowest
-        offered = state.filter((F.col("kind") == 0) & active).withColumn("number", number).withColumn(
-            "slot", F.explode(F.sequence(F.lit(0), F.col("number") - 1))).select(
-            "kind", "id", "slot", room.alias("size"), F.col("size").alias("gap"))
-        wanted = state.filter((F.col("kind") == 1) & active).select("kind", "id", F.lit(0).alias("slot"), "size", F.lit(None).cast("int").alias("gap"))
-        ranked = _rank(offered.unionByName(wanted), max(max(docs.values()), max(slots.values(), default=0)))
-        put = ranked.join(F.broadcast(plan), "size").withColumn(
-            "height", F.when(F.col("kind") == 0, F.col("low") + F.col("rank")).when(F.col("rank") < F.col("served"), F.col("high") - F.col("rank")))
-        opens = F.col("rank") < F.col("opening")
+        runs = F.array(F.struct(F.lit(0).alias("run"), F.lit(most).alias("part"), full.alias("number")),
+                       F.struct(F.lit(1).alias("run"), (F.col("size") - full * most).cast("int").alias("part"), F.lit(1).alias("number")))
+        offered = state.filter((F.col("kind") == 0) & active).select("kind", "id", F.col("size").alias("gap"), F.inline(runs)).filter(
+            "number > 0").select("kind", "id", "run", "number", F.col("part").alias("size"), "gap")
+        wanted = state.filter((F.col("kind") == 1) & active).select(
+            "kind", "id", F.lit(0).alias("run"), F.lit(1).alias("number"), "size", F.lit(None).cast("int").alias("gap"))
+        ranked = _rank(offered.unionByName(wanted), max(max(docs.values()), max(slots.values(), default=0))).join(F.broadcast(plan), "size")
+        matched = F.when(F.col("kind") == 0, F.least(F.col("number").cast("long"), F.col("taken") - F.col("rank"))).otherwise(F.lit(1).cast("long"))
+        each = F.explode_outer(F.when(matched > 0, F.sequence(F.lit(0).cast("long"), matched - 1)))
+        put = ranked.withColumn("slot", each).withColumn(
+            "height", F.when(F.col("kind") == 0, F.col("top") - F.col("rank") - F.col("slot")).when(F.col("rank") < F.col("served"), F.col("high") - F.col("rank")))
+        opens = (F.col("kind") == 1) & (F.col("rank") < F.col("opening"))
         loose = put.filter("height is null").select("kind", "id", "size", "gap", F.when(opens, F.col("id")).alias("bin"), F.lit(0).alias("used"))
         level = Window.partitionBy("height").orderBy(F.desc("size"), "kind")
         taken = F.when(F.col("kind") == 1, F.lag("id").over(level))

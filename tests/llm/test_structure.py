@@ -225,6 +225,39 @@ def test_sweep_takes_successors():
     assert packing.least_bins({33: 3, 5: 1}, 64) == 3 and packing.least_bins({22: 5}, 64) == 3 and packing.least_bins({}, 64) == 0
 
 
+def test_taken_slots_alone_become_rows(spark, monkeypatch):
+    """A few documents of the largest size and many short ones: all rounds' slots are no more than the documents."""
+    rng = random.Random(6)
+    sizes = [40, 30, 20, 12] * 4 + [rng.randrange(3, 7) for _ in range(900)]
+    kept, staged = [], packing.staged
+
+    def counted(df):
+        out = staged(df)
+        if "used" in out.columns:
+            kept.append(out.filter("kind = 0").count() - out.filter("kind = 0").select("id").distinct().count())
+        return out
+
+    monkeypatch.setattr(packing, "staged", counted)
+    items = spark.createDataFrame([(k, size) for k, size in enumerate(sizes)], "item long, size int")
+    rows = packing.best_fit(items, 64).collect()
+    assert sorted(r["item"] for r in rows) == list(range(len(sizes)))
+    assert check_places([(r["sequence_id"], r["offset"], sizes[r["item"]]) for r in rows], 64) <= best_fit_decreasing(sizes, 64) + 1
+    assert sum(kept) <= len(sizes)
+
+
+def test_topmost():
+    """As many slots as a pile of them loses, size by size."""
+    rng = random.Random(8)
+    for _ in range(200):
+        docs, slots = ({rng.randrange(1, 12): rng.randrange(1, 9) for _ in range(rng.randrange(1, 7))} for _ in range(2))
+        pile, lost = [], dict.fromkeys({*docs, *slots}, 0)
+        for size in sorted(lost, reverse=True):
+            pile += [size] * slots.get(size, 0)
+            for _ in range(min(docs.get(size, 0), len(pile))):
+                lost[pile.pop()] += 1
+        assert packing.topmost(docs, slots, packing.sweep(docs, slots)) == lost
+
+
 def test_byte_bpe_ids():
     """Ids equal the library's, for texts of every character of the fast way and for others."""
     coder, rng = packing.ByteBpe(packing.default_path()), random.Random(1)
