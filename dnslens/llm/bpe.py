@@ -9,14 +9,13 @@ import sys
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dnslens.llm.common import blocks, read_table, text_bytes
+from dnslens.llm.common import blocks, kept, let_go, read_table, text_bytes
 
 #: What a task remembers at most: words, runs between white space (two generations of so many), arcs.
 CACHE_WORDS, CACHE_CHUNKS, MAX_ARCS = 200_000, 80_000, 500_000
@@ -270,9 +269,9 @@ class WordBpe:
         return " ".join([self.labels[i] for i in ids])
 
 
-@lru_cache(maxsize=2)
 def word_bpe(path: str) -> WordBpe:
-    return WordBpe(path)
+    """The coder of a file, with all it remembers (some 200 MB) kept for the worker's next tasks of this step."""
+    return kept("word_bpe", path, lambda: WordBpe(path))
 
 
 def default_path() -> str:
@@ -285,7 +284,7 @@ def _map_texts(docs: DataFrame, key: str, text: str, path: str | None, schema: s
                fields: Callable[[WordBpe, str], list]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_bpe(path or default_path())
-        for batch in blocks(batches, "_text", 8 << 20):
+        for batch in blocks(batches, "_text", 8 << 20, "word_bpe"):
             rows = [fields(coder, x.decode("utf-8", "replace")) for x in batch.column("_text").to_pylist()]
             columns = [pa.array(list(column)) for column in zip(*rows, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("_key"), *columns], names)
@@ -309,6 +308,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
 def decode(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", path: str | None = None) -> DataFrame:
     """``key`` and ``text``: the labels of the ids, joined by blanks; null ids give an empty text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go("word_bpe")
         labels = word_bpe(path or default_path()).labels
         for batch in batches:
             texts = [" ".join([labels[i] for i in row or ()]) for row in batch.column(1).to_pylist()]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -66,8 +66,32 @@ def text_bytes(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches whose ``column`` has at most ``limit`` bytes (a longer row comes alone)."""
+_kept: dict[str, tuple] = {}
+
+
+def kept[T](step: str, key: str, make: Callable[[], T]) -> T:
+    """``make()``, kept in the Python worker for the step's next tasks with the same ``key``, until another step's calls ``let_go``."""
+    if step not in _kept or _kept[step][0] != key:
+        _kept[step] = key, make()
+    return _kept[step][1]
+
+
+def let_go(step: str | None = None) -> None:
+    """Frees what the worker keeps for others than ``step``, and what Arrow holds without use.
+
+    Spark's workers outlive their tasks and serve the steps of all queries in turn.
+    """
+    for name in [x for x in _kept if x != step]:
+        del _kept[name]
+    pa.default_memory_pool().release_unused()
+
+
+def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES, step: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches whose ``column`` has at most ``limit`` bytes (a longer row comes alone).
+
+    A task's start: what the worker keeps for others than ``step`` goes.
+    """
+    let_go(step)
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         first, total = 0, 0

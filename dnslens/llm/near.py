@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dnslens.llm.common import UPPER, Scratch, WordHashes, blocks, grams, mix, read_table, squeezed, text_bytes, unsqueezed
+from dnslens.llm.common import UPPER, Scratch, WordHashes, blocks, grams, let_go, mix, read_table, squeezed, text_bytes, unsqueezed
 from dnslens.session import broadcast_if_small
 
 #: 48 bands of 6 rows: two sets that share 0.8 of their union miss every band with probability 5e-7, two
@@ -268,6 +268,7 @@ def _by_task(tasks: DataFrame, columns: list[str], block: Callable[[tuple, dict,
     names = ["bucket", "kind", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         rest: pa.Table | None = None
 
         def work(table: pa.Table, last: bool) -> tuple[list[pa.RecordBatch], pa.Table | None]:
@@ -400,6 +401,7 @@ def _differing(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
     bounds = most_bits(_SUMS, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             m, n = (batch.column(x).to_numpy() for x in ("m", "n"))
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(m), SKETCH_BITS // 64) for c in ("x", "y"))
